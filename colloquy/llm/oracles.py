@@ -16,3 +16,57 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+MIXING = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
+         ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM s
+),
+o AS (
+  SELECT *, coalesce(sum(cap) OVER b, 0) AS capped, sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
+         (SELECT 1.5::DOUBLE * sum(source_size) FROM s) AS goal, row_number() OVER (ORDER BY cap / weight, source) AS k
+  FROM w WINDOW b AS (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+l AS (SELECT coalesce(arg_min((goal - capped) / open, k) FILTER (WHERE (goal - capped) / open * weight < cap), max(cap / weight)) AS level FROM o),
+t AS (SELECT source, source_size, least(cap, level * weight) AS target FROM w, l),
+r AS (
+  SELECT doc_id, d.source, size, source_size, target, coalesce(target / nullif(source_size, 0)::DOUBLE, 0) AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+),
+c AS (
+  SELECT *, (floor(rate) + (('0x' || substr(md5('7:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate))::INT)::BIGINT AS copies
+  FROM r
+)
+SELECT doc_id, size, source_size, target, size * copies AS taken, source, rate, copies FROM c
+"""
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 2), ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+often AS (SELECT s FROM sh GROUP BY s HAVING count(*) > 1),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM (SELECT * FROM sh SEMI JOIN often USING (s)) a JOIN (SELECT * FROM sh SEMI JOIN often USING (s)) b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY ALL
+),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (
+  SELECT a AS doc_id, b AS r FROM both_ways
+  UNION
+  SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, m.r) AS component_id, d.doc_id = least(d.doc_id, m.r) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""

@@ -6,21 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import oracles
+from colloquy.llm.mixing import mix_sources
+from colloquy.llm.near_dedup import near_duplicates
 from colloquy.llm.shared import table
 from colloquy.llm.substring_dedup import dedup_substrings
 
 documents, pages, benchmark, labels = (table(x) for x in ("documents", "pages", "benchmark", "labels"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(documents(spark, sf_dir).select("doc_id", "text", "source"), weights=(3, 1, 2), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"), window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), words=3, percent=85)
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_minhash": op6_minhash,
 }
 
 ORACLES = {
+    "op1_mixing": oracles.MIXING,
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op6_minhash": oracles.NEAR_DEDUP,
 }
