@@ -13,10 +13,12 @@ only its cell is sent, and a very frequent anchor costs one entry a task.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ SKETCH_CELLS_LOG2 = 24
 #: Anchors (or windows) a task holds before it sends them.
 HELD = 1_500_000
 
-_SENT = "part int, keys binary, cells binary, docs binary, at binary, twice binary, known_docs binary, known_at binary"
+_SENT = "part int, block long, keys binary, cells binary, docs binary, at binary, twice binary, known binary, known_docs binary, known_at binary"
 
 
 class Units:
@@ -72,7 +74,7 @@ def possibly_repeated(keyed_docs: DataFrame, text_col: str, kind: str, window: i
     parts = max(1, round(units * 2 / (per_window + 1) / RANGE_ANCHORS + 0.5))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, blocks = [], 0, block_ids()
         for batch in B.as_batch(batches, text_col):
             units = Units(kind, batch.column(text_col))
             grams, _, at, _ = units.windows(window, gram)
@@ -80,16 +82,16 @@ def possibly_repeated(keyed_docs: DataFrame, text_col: str, kind: str, window: i
             held.append((grams[at], doc, at - units.first[doc], batch.column("_key").to_numpy()))
             count += len(at)
             if count >= HELD:
-                yield from _cells(held, parts)
+                yield from _cells(held, parts, next(blocks))
                 held, count = [], 0
-        yield from _cells(held, parts)
+        yield from _cells(held, parts, next(blocks))
 
     def merge(group: pa.Table) -> pa.Table:
         return _repeated(group)
 
     sent = keyed_docs.select("_key", text_col).mapInArrow(sketch, _SENT)
-    found = sent.groupBy("part").applyInArrow(merge, "_key long, at binary, level binary")
-    return stored(found.groupBy("_key").agg(F.collect_list("at").alias("at"), F.collect_list("level").alias("level")), "repeated-anchors")
+    found = sent.groupBy("part").applyInArrow(merge, replied("at", "level"))
+    return by_document(found, "at", "level")
 
 
 def join_held(held: list) -> tuple[list[np.ndarray], np.ndarray]:
@@ -102,7 +104,7 @@ def join_held(held: list) -> tuple[list[np.ndarray], np.ndarray]:
     return columns, np.concatenate([x[-1] for x in held])
 
 
-def _cells(held: list, parts: int) -> Iterator[pa.RecordBatch]:
+def _cells(held: list, parts: int, block: int) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     (grams, doc, at), keys = join_held(held)
@@ -125,8 +127,8 @@ def _cells(held: list, parts: int) -> Iterator[pa.RecordBatch]:
         used, renumbered = np.unique(doc[own], return_inverse=True)
         of = dict(zip(("single", "known"), (renumbered[alone[own]], renumbered[~alone[own]])))
         twice = own[new[own] & ~alone[own]]
-        rows.append((p, B.packed(keys[used], np.int64), B.packed(grams[single], np.uint32), B.packed(of["single"], np.uint32), B.packed(at[single], np.uint32), B.packed(grams[twice], np.uint32), B.packed(of["known"], np.uint32), B.packed(at[known], np.uint32)))
-    yield from as_rows(rows, ["part", "keys", "cells", "docs", "at", "twice", "known_docs", "known_at"], [pa.int32()] + [pa.binary()] * 7)
+        rows.append((p, block, B.packed(keys[used], np.int64), B.packed(grams[single], np.uint32), B.packed(of["single"], np.uint32), B.packed(at[single], np.uint32), B.packed(grams[twice], np.uint32), B.packed(grams[known], np.uint32), B.packed(of["known"], np.uint32), B.packed(at[known], np.uint32)))
+    yield from as_rows(rows, ["part", "block", "keys", "cells", "docs", "at", "twice", "known", "known_docs", "known_at"], [pa.int32(), pa.int64()] + [pa.binary()] * 8)
 
 
 def as_rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType], each: int = 64) -> Iterator[pa.RecordBatch]:
@@ -139,41 +141,83 @@ def arrays_of(group: pa.Table, name: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in group.column(name).to_pylist()]
 
 
-def per_doc(keys: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-    """One row (key, bytes of each column) for each document."""
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
-    ends = np.append(heads[1:], len(doc))
-    columns = [c[order] for c in columns]
-    return [(int(keys[doc[a]]), *(c[a:b].tobytes() for c in columns)) for a, b in zip(heads, ends)]
+def block_ids() -> Iterator[int]:
+    """Numbers of the blocks of documents that this task sends."""
+    return itertools.count(TaskContext.get().partitionId() << 32)
+
+
+def shifted(keys: list[np.ndarray], *docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Document numbers of all requests one after the other, counted over all requests' documents."""
+    shifts = np.append(0, np.cumsum([len(k) for k in keys]))[:-1]
+    return [np.concatenate([d.astype(np.int64) + s for d, s in zip(x, shifts)]) for x in docs]
+
+
+def replied(*names: str) -> str:
+    return "block long, keys binary, docs binary, " + ", ".join(f"{n} binary" for n in names)
+
+
+def replies(group: pa.Table, keys: list[np.ndarray], docs: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """One row for each request that has something found: its block, and the documents and values found."""
+    order = np.argsort(docs, kind="stable")
+    docs = docs[order]
+    shifts = np.append(0, np.cumsum([len(k) for k in keys]))
+    cuts = np.searchsorted(docs, shifts)
+    rows = []
+    for i, block in enumerate(group.column("block").to_pylist()):
+        own = order[cuts[i] : cuts[i + 1]]
+        if len(own):
+            used, of = np.unique(docs[cuts[i] : cuts[i + 1]] - shifts[i], return_inverse=True)
+            rows.append((block, keys[i][used].tobytes(), of.astype(np.uint32).tobytes(), *(c[own].tobytes() for c in columns.values())))
+    kinds = [pa.int64()] + [pa.binary()] * (2 + len(columns))
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["block", "keys", "docs", *columns])
+
+
+def by_document(found: DataFrame, *names: str) -> DataFrame:
+    """Stored rows (_key, list of each of `names`), one for each document that `found` has replies for.
+
+    The replies of a block are gathered first, so that their number follows the documents and
+    not documents times hash ranges. Documents may lie in two blocks if a task ran again.
+    """
+    widths = {"level": 1, "runs": 16}
+
+    def gather(group: pa.Table) -> pa.Table:
+        keys = arrays_of(group, "keys", np.int64)
+        (docs,) = shifted(keys, arrays_of(group, "docs", np.uint32))
+        _, number = np.unique(np.concatenate(keys), return_inverse=True)
+        docs = number[docs]
+        order = np.argsort(docs, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(docs[order]) != 0))
+        ends = np.append(heads[1:], len(order))
+        out = [pa.array(np.unique(np.concatenate(keys))[docs[order][heads]])]
+        for name in names:
+            width = widths.get(name, 4)
+            values = np.frombuffer(b"".join(group.column(name).to_pylist()), np.dtype((np.void, width)))[order]
+            out.append(pa.array([values[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary()))
+        return pa.Table.from_arrays(out, names=["_key", *names])
+
+    gathered = found.groupBy("block").applyInArrow(gather, "_key long, " + ", ".join(f"{n} binary" for n in names))
+    return stored(gathered.groupBy("_key").agg(*(F.collect_list(n).alias(n) for n in names)), "found")
 
 
 def _repeated(group: pa.Table) -> pa.Table:
     """Anchors of one hash range whose estimated count is 2 or more."""
-    keys, shift, docs, known_docs = arrays_of(group, "keys", np.int64), 0, [], []
-    for k, d, known in zip(keys, arrays_of(group, "docs", np.uint32), arrays_of(group, "known_docs", np.uint32)):
-        docs.append(d.astype(np.int64) + shift)
-        known_docs.append(known.astype(np.int64) + shift)
-        shift += len(k)
+    keys = arrays_of(group, "keys", np.int64)
+    docs, known_docs = shifted(keys, arrays_of(group, "docs", np.uint32), arrays_of(group, "known_docs", np.uint32))
     cells, twice = (arrays_of(group, x, np.uint32) for x in ("cells", "twice"))
-    cells_all = np.concatenate(cells)
+    known = np.concatenate(arrays_of(group, "known", np.uint32))
+    asked = np.concatenate([*cells, known])
     estimate = None
     for factor in (1, 0x9E3779B1):
         row = np.zeros(1 << SKETCH_CELLS_LOG2, np.uint32)
         for part, weight in [*((c, 1) for c in cells), *((t, 2) for t in twice)]:
             np.add.at(row, _cell(part, factor), np.uint32(weight))
-        counts = row[_cell(cells_all, factor)]
+        counts = row[_cell(asked, factor)]
         estimate = counts if estimate is None else np.minimum(estimate, counts)
         del row
     keep = estimate >= 2
-    keys, docs, at = np.concatenate(keys), np.concatenate(docs)[keep], np.concatenate(arrays_of(group, "at", np.uint32))[keep]
-    level = np.log2(estimate[keep]).astype(np.uint8)
-    known_at = np.concatenate(arrays_of(group, "known_at", np.uint32))
-    docs = np.concatenate([docs, *known_docs])
-    rows = per_doc(keys, docs, np.concatenate([at, known_at]), np.concatenate([level, np.ones(len(known_at), np.uint8)]))
-    names, kinds = ["_key", "at", "level"], [pa.int64(), pa.binary(), pa.binary()]
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+    at = np.concatenate(arrays_of(group, "at", np.uint32) + arrays_of(group, "known_at", np.uint32))[keep]
+    docs = np.concatenate([docs, known_docs])[keep]
+    return replies(group, keys, docs, at=at, level=np.log2(estimate[keep]).astype(np.uint8))
 
 
 def _cell(prints: np.ndarray, factor: int) -> np.ndarray:
@@ -196,10 +240,10 @@ def levels_of(column: pa.Array) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint8)
 
 
-def candidates(units: Units, window: int, gram: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows whose anchor is among `marked` grams, and each window's least gram."""
+def candidates(units: Units, window: int, gram: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows whose anchor is among `marked` grams, each window's least gram, and all grams."""
     grams, valid, _, least = units.windows(window, gram)
     masked = np.full(len(grams), np.iinfo(np.uint64).max, np.uint64)
     masked[marked] = grams[marked]
     hit = B.sliding(masked, window - gram + 1)[: len(valid)] == least
-    return np.flatnonzero(hit & valid), least
+    return np.flatnonzero(hit & valid), least, grams

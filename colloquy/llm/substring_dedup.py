@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 
 from colloquy.llm import blocks as B
 from colloquy.llm import repeats as R
-from colloquy.llm.shared import release, stored, text_bytes
+from colloquy.llm.shared import release, text_bytes
 
 #: Candidate windows a hash range is planned for, if all windows were candidates.
 RANGE_WINDOWS = 2_000_000
 #: Words in the grams that serve as anchors.
 GRAM = 8
 
-_SENT = "part int, ids binary, keys binary, first binary, second binary, docs binary, at binary, known_docs binary, known_at binary"
+_SENT = "part int, block long, ids binary, keys binary, first binary, second binary, docs binary, at binary, known_docs binary, known_at binary"
 
 
 def repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,11 +39,11 @@ def repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     parts = max(1, round(total / 6 / RANGE_WINDOWS + 0.5))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, blocks = [], 0, R.block_ids()
         for batch in B.as_batch(batches, text_col):
             units = R.Units("words", batch.column(text_col), both=True)
             marked, _ = R.marks_of(batch.column("at"), units.first)
-            at, _ = R.candidates(units, window, gram, marked)
+            at, _, _ = R.candidates(units, window, gram, marked)
             first = B.gram_hashes(units.codes, window)[at]
             second = B.gram_hashes(units.codes2, window, 1)[at].astype(np.uint32)
             doc = units.doc_of(at)
@@ -51,19 +51,16 @@ def repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
             held.append((first, doc, second, at - units.first[doc], ids[doc], batch.column("_key").to_numpy()))
             count += len(at)
             if count >= R.HELD:
-                yield from _send(held, parts)
+                yield from _send(held, parts, next(blocks))
                 held, count = [], 0
-        yield from _send(held, parts)
+        yield from _send(held, parts, next(blocks))
 
     joined = source.join(anchors.select("_key", "at").hint("shuffle_hash"), "_key")
     sent = joined.select(id_col, "_key", text_col, "at").mapInArrow(windows, _SENT)
-    later = sent.groupBy("part").applyInArrow(_later, "_key long, at binary")
-    found = stored(later.groupBy("_key").agg(F.collect_list("at").alias("at")), "repeated-windows")
-    release(spark)
-    return found
+    return R.by_document(sent.groupBy("part").applyInArrow(_later, R.replied("at")), "at")
 
 
-def _send(held: list, parts: int) -> Iterator[pa.RecordBatch]:
+def _send(held: list, parts: int, block: int) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     (first, doc, second, at, ids), keys = R.join_held(held)
@@ -80,8 +77,8 @@ def _send(held: list, parts: int) -> Iterator[pa.RecordBatch]:
             continue
         used, head, of = np.unique(doc[own], return_index=True, return_inverse=True)
         lead = leads[own]
-        rows.append((p, B.packed(ids[own][head], np.int64), B.packed(keys[used], np.int64), B.packed(first[own][lead], np.uint64), B.packed(second[own][lead], np.uint32), B.packed(of[lead], np.uint32), B.packed(at[own][lead], np.uint32), B.packed(of[~lead], np.uint32), B.packed(at[own][~lead], np.uint32)))
-    yield from R.as_rows(rows, ["part", "ids", "keys", "first", "second", "docs", "at", "known_docs", "known_at"], [pa.int32()] + [pa.binary()] * 8)
+        rows.append((p, block, B.packed(ids[own][head], np.int64), B.packed(keys[used], np.int64), B.packed(first[own][lead], np.uint64), B.packed(second[own][lead], np.uint32), B.packed(of[lead], np.uint32), B.packed(at[own][lead], np.uint32), B.packed(of[~lead], np.uint32), B.packed(at[own][~lead], np.uint32)))
+    yield from R.as_rows(rows, ["part", "block", "ids", "keys", "first", "second", "docs", "at", "known_docs", "known_at"], [pa.int32(), pa.int64()] + [pa.binary()] * 8)
 
 
 def _leads(first: np.ndarray, second: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -93,18 +90,13 @@ def _leads(first: np.ndarray, second: np.ndarray, ids: np.ndarray, at: np.ndarra
 
 
 def _later(group: pa.Table) -> pa.Table:
-    keys, ids, shift, docs, known_docs = R.arrays_of(group, "keys", np.int64), np.concatenate(R.arrays_of(group, "ids", np.int64)), 0, [], []
-    for k, d, known in zip(keys, R.arrays_of(group, "docs", np.uint32), R.arrays_of(group, "known_docs", np.uint32)):
-        docs.append(d.astype(np.int64) + shift)
-        known_docs.append(known.astype(np.int64) + shift)
-        shift += len(k)
-    docs = np.concatenate(docs)
+    keys, ids = R.arrays_of(group, "keys", np.int64), np.concatenate(R.arrays_of(group, "ids", np.int64))
+    docs, known_docs = R.shifted(keys, R.arrays_of(group, "docs", np.uint32), R.arrays_of(group, "known_docs", np.uint32))
     first, second, at, known_at = (np.concatenate(R.arrays_of(group, name, kind)) for name, kind in (("first", np.uint64), ("second", np.uint32), ("at", np.uint32), ("known_at", np.uint32)))
     order = np.lexsort((at, ids[docs], second, first))
     docs, at = docs[order], at[order]
     later = ~_leads(first[order], second[order], ids[docs], at)
-    rows = R.per_doc(np.concatenate(keys), np.concatenate([docs[later], *known_docs]), np.concatenate([at[later], known_at]))
-    return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["_key", "at"])
+    return R.replies(group, keys, np.concatenate([docs[later], known_docs]), at=np.concatenate([at[later], known_at]))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,6 +113,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     `_at` are reserved.
     """
     found = repeated_windows(docs, window, id_col, text_col).withColumnRenamed("at", "_at")
+    release(docs.sparkSession)
     joined = R.keyed(docs, id_col, text_col).join(found.hint("shuffle_hash"), "_key", "left")
     extra = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     passed = [f for f in docs.schema if f.name not in {x.name for x in extra}]
