@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import oracles
+from colloquy.llm.decontamination import contamination
+from colloquy.llm.language_id import identify, learn
 from colloquy.llm.mixing import mix_sources
 from colloquy.llm.near_dedup import near_duplicates
+from colloquy.llm.quality_rules import quality
 from colloquy.llm.shared import table
 from colloquy.llm.substring_dedup import dedup_substrings
+from colloquy.llm.suffix_dedup import dedup_strings
 
 documents, pages, benchmark, labels = (table(x) for x in ("documents", "pages", "benchmark", "labels"))
 
@@ -19,6 +23,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir).select("doc_id", "quality"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir), window=13, percent=5)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"), window=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -28,14 +42,35 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), words=3, percent=85)
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_strings(documents(spark, sf_dir).select("doc_id", "text"), window=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether a document is kept from learning: the CRC-32 of its id's text leaves `remainder`; a null id doesn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", held_out(3, 1))
+    model = learn(docs.where(~F.col("held_out")))
+    return identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_quality_rules": op2_quality_rules,
+    "op4_decontamination": op4_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash": op6_minhash,
+    "op8_suffix_array": op8_suffix_array,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES = {
     "op1_mixing": oracles.MIXING,
+    "op4_decontamination": oracles.DECONTAMINATION,
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_minhash": oracles.NEAR_DEDUP,
 }
