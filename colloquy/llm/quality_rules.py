@@ -115,7 +115,11 @@ def verdict(rules: list[Rule]) -> Column:
 def _histogram(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, list[list[int]]]:
     """Good and bad rows of each feature between its thresholds; the driver reads one row a bin."""
     made = features()
-    bins = F.array(*[F.struct(F.lit(n).alias("f"), F.size(F.filter(F.array(*[F.lit(t) for t in c]), lambda t, v=made[n]: v > t)).alias("b")) for n, c in cuts.items() if c])
+
+    def passed(value: Column, thresholds: list[float]) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: value > t))
+
+    bins = F.array(*[F.struct(F.lit(n).alias("f"), passed(made[n], c).alias("b")) for n, c in cuts.items() if c])
     counted = rows.select(F.explode(bins).alias("x"), "_bad").groupBy("x.f", "x.b").agg(F.count_if(~F.col("_bad")).alias("good"), F.count_if("_bad").alias("bad"))
     out = {n: [[0, 0] for _ in range(len(c) + 1)] for n, c in cuts.items() if c}
     for r in counted.collect():
@@ -197,10 +201,13 @@ def learn_rules(labelled: DataFrame, bad: Column, id_col: str = "doc_id") -> lis
     return rules
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     """`stats` with base_failed (under 50 words, or over half of them in repeated windows) and kept."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -214,4 +221,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """
     stats = stored(statistics(docs.select(id_col, text_col), text_col).drop(text_col), "statistics")
     labelled = stats.join(labels.select(id_col, F.col(label_col).alias("_label")), id_col)
-    return judged(stats, learn_rules(labelled, F.col("_label") == 0, id_col))
+    # texts that fail the base rules are dropped anyway
+    return judged(stats, learn_rules(labelled.where(~base_failed()), F.col("_label") == 0, id_col))
