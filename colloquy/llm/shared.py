@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,11 +32,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of jobs whose result is stored already."""
-    import gc
+    """Lets Spark's cleaner drop the shuffle files of jobs whose result is stored already.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Python's references reach the JVM with some delay, so a second collection follows the first.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
