@@ -94,3 +94,41 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+WARC = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+         strftime(DATE '2024-01-01' + (page_id * 37 % 365)::INT, '%Y-%m-%dT%H:%M:%SZ') AS timestamp
+  FROM pages
+),
+m AS (SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest AS payload_digest, CASE WHEN page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to, url, timestamp
+FROM p LEFT JOIN m ON m.payload_digest = p.payload_digest AND p.payload_bytes >= 1000
+"""
+
+URL_FILTERS = r"""
+WITH c AS (
+  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', ''), '') AS host,
+         DATE '2024-01-01' + (page_id * 37 % 365)::INT AS fetched
+  FROM pages
+),
+dom AS (
+  SELECT DISTINCT domain, ('0x' || substr(md5(domain), 1, 6))::BIGINT AS h
+  FROM (SELECT unnest([host, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 2, 1), len(string_split(host, '.'))), '.')]) AS domain FROM c WHERE host IS NOT NULL)
+),
+e AS (
+  SELECT domain, CASE WHEN h % 3 = 0 THEN 'block' ELSE 'allow' END AS action, DATE '2024-01-01' + (h % 200)::INT AS valid_from FROM dom WHERE h % 3 < 2
+  UNION ALL
+  SELECT domain, CASE WHEN h % 2 = 0 THEN 'end' ELSE 'allow' END, DATE '2024-01-01' + (h % 200)::INT + 90 FROM dom WHERE h % 3 = 0
+),
+s AS (SELECT *, lead(valid_from) OVER (PARTITION BY domain ORDER BY valid_from) AS valid_to FROM e),
+j AS (
+  SELECT page_id, s.domain, s.action, s.valid_from
+  FROM c JOIN s ON (c.host = s.domain OR (ends_with(c.host, '.' || s.domain) AND contains(s.domain, '.')))
+   AND s.valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to) AND s.action <> 'end'
+),
+b AS (SELECT page_id, arg_max({'d': domain, 'a': action, 'f': valid_from}, length(domain)) AS m FROM j GROUP BY page_id)
+SELECT c.page_id, host, fetched::VARCHAR AS fetched, m.d AS matched_domain, m.a AS action, m.f::VARCHAR AS valid_from, coalesce(m.a = 'block', false) AS blocked
+FROM c LEFT JOIN b USING (page_id)
+"""

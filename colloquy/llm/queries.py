@@ -10,10 +10,13 @@ from colloquy.llm.decontamination import contamination
 from colloquy.llm.language_id import identify, learn
 from colloquy.llm.mixing import mix_sources
 from colloquy.llm.near_dedup import near_duplicates
+from colloquy.llm.pitman_yor import scored
 from colloquy.llm.quality_rules import quality
 from colloquy.llm.shared import table
 from colloquy.llm.substring_dedup import dedup_substrings
 from colloquy.llm.suffix_dedup import dedup_strings
+from colloquy.llm.url_filters import filtered, host_of
+from colloquy.llm.warc import archived
 
 documents, pages, benchmark, labels = (table(x) for x in ("documents", "pages", "benchmark", "labels"))
 
@@ -28,6 +31,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pages` with a day of fetch, derived from the id; the table has none."""
+    return pages(spark, sf_dir).withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.coalesce("page_id", F.lit(0)) * 37, F.lit(365)).cast("int")))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(captured(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "timestamp")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir), window=13, percent=5)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -47,6 +59,22 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def dated_list(captures: DataFrame) -> DataFrame:
+    """A dated list over the hosts of `captures`: some are blocked, later let off or ended, by a hash of the domain."""
+    hosts = captures.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    domains = hosts.select(F.explode(F.array("host", F.substring_index("host", ".", -3))).alias("domain")).distinct()
+    drawn = domains.withColumn("h", F.conv(F.substring(F.md5("domain"), 1, 6), 16, 10).cast("long"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("h") % 200).cast("int"))
+    first = drawn.where("h % 3 < 2").select("domain", F.when(F.col("h") % 3 == 0, "block").otherwise("allow").alias("action"), day.alias("dated"))
+    second = drawn.where("h % 3 = 0").select("domain", F.when(F.col("h") % 2 == 0, "end").otherwise("allow").alias("action"), F.date_add(day, 90).alias("dated"))
+    return first.unionByName(second)
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = captured(spark, sf_dir).select("page_id", "url", "fetched")
+    return filtered(captures, dated_list(captures)).select("page_id", "host", F.col("fetched").cast("string").alias("fetched"), "matched_domain", "action", F.col("valid_from").cast("string").alias("valid_from"), "blocked")
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     """Whether a document is kept from learning: the CRC-32 of its id's text leaves `remainder`; a null id doesn't."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
@@ -58,19 +86,29 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return scored(docs, held_out(10, 0)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash": op6_minhash,
+    "op7_url_filters": op7_url_filters,
     "op8_suffix_array": op8_suffix_array,
     "op9_language_id": op9_language_id,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES = {
     "op1_mixing": oracles.MIXING,
+    "op3_warc": oracles.WARC,
     "op4_decontamination": oracles.DECONTAMINATION,
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_minhash": oracles.NEAR_DEDUP,
+    "op7_url_filters": oracles.URL_FILTERS,
 }
