@@ -2,5 +2,571 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from colloquy.functions import parsers as P
+from colloquy.functions import text as X
+from colloquy.operators import aggregates as A
+from colloquy.operators import deleak as D
+from colloquy.operators import filters as L
+from colloquy.operators import intervals as I
+from colloquy.operators import joins as K
+from colloquy.operators import scoring as R
+from colloquy.operators import sequences as Q
+from colloquy.plans import fixtures as fx
+from colloquy.plans.fixtures import C, J, S, U, table
+from colloquy.sources.readers import vtt_text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+TURNS = "t AS (SELECT conv_id, turn, role, text FROM conversations)"
+
+
+def turns(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("speaker_id"), "text", F.col("turn").cast("double").alias("start_sec"), (F.col("turn") + 1).cast("double").alias("end_sec"), F.col("turn").alias("utterance_id"))
+
+
+@query(f"""
+WITH {TURNS}, c AS (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS ch FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, sum(ch) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM c)
+SELECT conv_id, run::BIGINT AS run, first(role ORDER BY turn) AS speaker_id, min(turn) AS utterance_id, string_agg(text, ' ' ORDER BY turn) AS text, max(turn)::DOUBLE + 1 AS end_sec FROM r GROUP BY conv_id, run
+""")
+def turn_merge(spark, sf):
+    return Q.merged_runs(turns(spark, sf), ["conv_id"]).select("conv_id", "run", "speaker_id", "utterance_id", "text", "end_sec")
+
+
+@query(f"""
+WITH {U}, c AS (SELECT *, CASE WHEN speaker_id IS DISTINCT FROM lag(speaker_id) OVER w THEN 1 ELSE 0 END AS ch FROM utt WINDOW w AS (PARTITION BY recording ORDER BY pos)),
+r AS (SELECT *, sum(ch) OVER (PARTITION BY recording ORDER BY pos) AS run FROM c)
+SELECT recording, run::BIGINT AS run, min(speaker_id) AS speaker_id, first(utterance_id ORDER BY pos) AS utterance_id, min(start_sec) AS start_sec, last(end_sec ORDER BY pos) AS end_sec, string_agg(text, ' ' ORDER BY pos) AS text
+FROM r GROUP BY recording, run
+""")
+def event_runs(spark, sf):
+    return Q.merged_runs(fx.utterances(spark, sf), ["recording"])
+
+
+@query("""
+SELECT conv_id AS id, count(*) AS n_turns, string_agg('[' || CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END || '] ' || text, chr(10) ORDER BY turn) AS rendered, sum(length(text))::BIGINT AS n_chars
+FROM conversations WHERE trim(coalesce(text, '')) <> '' GROUP BY conv_id
+""")
+def sharegpt_assemble(spark, sf):
+    roles = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"))
+    rows = turns(spark, sf).where(~X.is_blank(F.col("text"))).withColumn("from", F.coalesce(F.try_element_at(roles, F.col("speaker_id")), F.col("speaker_id")))
+    made = rows.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", "from", F.col("text").alias("value")))).alias("conversations"))
+    line = F.transform("conversations", lambda t: F.concat(F.lit("["), t["from"], F.lit("] "), t["value"]))
+    return made.select("id", F.size("conversations").cast("long").alias("n_turns"), F.array_join(line, "\n").alias("rendered"), F.aggregate("conversations", F.lit(0).cast("long"), lambda s, t: s + F.length(t["value"])).alias("n_chars"))
+
+
+@query(f"""
+WITH {U}, g AS (
+  SELECT recording, speaker_id, string_agg(utterance_id::VARCHAR, ',' ORDER BY start_sec, pos) AS utterance_ids, string_agg(trim(text), ' ' ORDER BY start_sec, pos) AS full_text, count(*) AS utterance_count,
+         round(sum(end_sec - start_sec), 3) AS total_duration_sec, min(start_sec) AS first_start_sec, last(end_sec ORDER BY start_sec, pos) AS last_end_sec FROM utt GROUP BY ALL)
+SELECT * FROM g
+""")
+def speaker_profile(spark, sf):
+    return A.speaker_profiles(fx.utterances(spark, sf)).withColumn("utterance_ids", F.array_join("utterance_ids", ",")).withColumn("utterance_count", F.col("utterance_count").cast("long"))
+
+
+@query(f"""
+WITH {U}, {S}, p AS (
+  SELECT a.recording, a.utterance_id, b.slide_id, least(a.end_sec, b.end_sec) - greatest(a.start_sec, b.start_sec) AS ov, b.slide_pos
+  FROM utt a JOIN sl b ON a.recording = b.recording AND a.start_sec < b.end_sec AND b.start_sec < a.end_sec),
+m AS (SELECT recording, utterance_id, arg_max(slide_id, (ov, -slide_pos)) AS slide_id FROM p WHERE ov > 0 GROUP BY ALL)
+SELECT utt.recording, utt.utterance_id, utt.start_sec, m.slide_id FROM utt LEFT JOIN m USING (recording, utterance_id)
+""")
+def align_max_overlap(spark, sf):
+    return I.align_max_overlap(fx.utterances(spark, sf), fx.slides(spark, sf)).select("recording", "utterance_id", "start_sec", "slide_id")
+
+
+@query(f"""
+WITH {U}, {C} SELECT utt.recording, utterance_id, case_id FROM utt JOIN cs ON utt.recording = cs.recording AND utt.start_sec >= cs.start_sec AND utt.end_sec <= cs.end_sec
+""")
+def case_containment(spark, sf):
+    return I.within_cases(fx.utterances(spark, sf), fx.cases(spark, sf)).select("recording", "utterance_id", "case_id")
+
+
+@query(f"""
+WITH {U}, {S} SELECT sl.recording, sl.slide_id, coalesce(string_agg(utt.text, ' ' ORDER BY utt.pos), '') AS context
+FROM sl LEFT JOIN utt ON utt.recording = sl.recording AND utt.end_sec >= greatest(0, sl.start_sec - 60) AND utt.start_sec <= sl.end_sec GROUP BY ALL
+""")
+def context_band(spark, sf):
+    return I.slide_context(fx.slides(spark, sf), fx.utterances(spark, sf)).select("recording", "slide_id", "context")
+
+
+@query(f"""
+WITH {U}, {C}, k AS (SELECT utt.recording, case_id, utterance_id, utt.start_sec, cs.end_sec AS case_end FROM utt JOIN cs ON utt.recording = cs.recording AND utt.start_sec >= cs.start_sec AND utt.end_sec <= cs.end_sec WHERE speaker_id = 'view')
+SELECT recording, case_id, utterance_id, start_sec, coalesce(lead(start_sec) OVER (PARTITION BY recording, case_id ORDER BY start_sec, utterance_id), case_end) AS end_sec FROM k
+""")
+def slide_ends(spark, sf):
+    shown = I.within_cases(fx.utterances(spark, sf).where("speaker_id = 'view'"), fx.cases(spark, sf)).drop("end_sec")
+    w = Window.partitionBy("recording", "case_id").orderBy("start_sec", "utterance_id")
+    return shown.withColumn("end_sec", F.coalesce(F.lead("start_sec").over(w), F.col("case_end"))).select("recording", "case_id", "utterance_id", "start_sec", "end_sec")
+
+
+@query("""
+WITH RECURSIVE e AS (
+  SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings
+),
+k AS (
+  SELECT label, n, [v] AS kept, vec_id, true AS keep FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.label, e.n, CASE WHEN q.top < 0.3 THEN list_append(k.kept, e.v) ELSE k.kept END, e.vec_id, q.top < 0.3
+  FROM k JOIN e ON e.label = k.label AND e.n = k.n + 1,
+  LATERAL (SELECT list_max(list_transform(k.kept, lambda x: list_cosine_similarity(x, e.v))) AS top) q
+)
+SELECT label, vec_id FROM k WHERE keep
+""")
+def greedy_dedup(spark, sf):
+    return Q.greedy_dedup(table(spark, sf, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", threshold=0.3).select("label", "vec_id")
+
+
+@query()
+def lcs_f1(spark, sf):
+    items = table(spark, sf, "benchmark")
+    a = items.select("item_id", X.tokens(F.col("text")).alias("a"))
+    b = items.select((F.col("item_id") - 1).alias("item_id"), X.tokens(F.col("text")).alias("b"))
+    scored = a.join(b, "item_id").withColumn("lcs", X.lcs_length(F.col("a"), F.col("b")))
+    return scored.select("item_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), "lcs", F.round(X.f1(F.col("lcs"), F.size("a"), F.size("b")), 6).alias("f1"))
+
+
+@query(f"""
+WITH {J} SELECT model_key, count(*) AS items, count(*) FILTER (status = 'scored') AS scored, count(*) FILTER (status = 'format_failure') AS format_failures, count(*) FILTER (status = 'judge_failure') AS judge_failures,
+  round(avg(CASE status WHEN 'format_failure' THEN 1.0::DOUBLE WHEN 'scored' THEN score::DOUBLE END), 9) AS clinical_equivalence,
+  round(avg(critical_error::INT::DOUBLE) FILTER (status = 'scored'), 9) AS critical_error_rate, round(avg(unsupported_claim::INT::DOUBLE) FILTER (status = 'scored'), 9) AS unsupported_claim_rate
+FROM jr GROUP BY model_key
+""")
+def judge_summary(spark, sf):
+    out = A.judge_summary(fx.judged(spark, sf))
+    return out.withColumns({c: F.round(c, 9) for c in ("clinical_equivalence", "critical_error_rate", "unsupported_claim_rate")})
+
+
+@query(f"""
+WITH {J} SELECT model_key, qa_type, count(*) AS count, round(avg(score::DOUBLE), 9) AS clinical_equivalence, round(avg(critical_error::INT::DOUBLE), 9) AS critical_error_rate, round(avg(unsupported_claim::INT::DOUBLE), 9) AS unsupported_claim_rate
+FROM jr WHERE status = 'scored' GROUP BY ALL
+""")
+def summary_by_type(spark, sf):
+    out = A.summary_by_type(fx.judged(spark, sf))
+    return out.withColumns({c: F.round(c, 9) for c in ("clinical_equivalence", "critical_error_rate", "unsupported_claim_rate")})
+
+
+@query(f"""
+WITH {J}, d AS (SELECT model_key, doc_id % 7 - 1 AS therapy, doc_id % 5 - 1 AS surgery FROM jr WHERE status = 'scored')
+SELECT model_key, round(avg(therapy::DOUBLE) FILTER (therapy >= 0), 9) AS therapy_mean, count(*) FILTER (therapy >= 0) AS therapy_cases, round(avg(surgery::DOUBLE) FILTER (surgery >= 0), 9) AS surgery_mean, count(*) FILTER (surgery >= 0) AS surgery_cases
+FROM d GROUP BY model_key
+""")
+def decision_means(spark, sf):
+    rows = fx.judged(spark, sf).withColumns({"therapy": F.col("doc_id") % 7 - 1, "surgery": F.col("doc_id") % 5 - 1})
+    return A.decision_means(rows, ["therapy", "surgery"]).withColumns({c: F.round(c, 9) for c in ("therapy_mean", "surgery_mean")})
+
+
+@query(f"""
+WITH {J}, m AS (SELECT model_key, qa_type IN ('en', 'de') AS board, CASE WHEN status = 'scored' THEN (doc_id % 11) / 10.0::DOUBLE END AS metric FROM jr)
+SELECT model_key, board, round(avg(CASE WHEN board THEN coalesce(metric, 0) ELSE metric END), 9) AS mean, count(*) FILTER (metric IS NULL) AS format_failures FROM m GROUP BY ALL
+""")
+def metric_means(spark, sf):
+    rows = fx.judged(spark, sf).select("model_key", F.col("qa_type").isin("en", "de").alias("board"), F.when(F.col("status") == "scored", (F.col("doc_id") % 11) / 10.0).alias("metric"))
+    return rows.groupBy("model_key", "board").agg(F.round(A.metric_mean("metric", F.col("board")), 9).alias("mean"), F.count_if(F.col("metric").isNull()).alias("format_failures"))
+
+
+PAIRS = "p AS (SELECT source, lang, CASE WHEN l.toxic = 1 THEN 'circular' WHEN l.quality = 0 THEN 'trivial' END AS drop_reason FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id))"
+
+
+@query(f"""
+WITH {PAIRS}, t AS (SELECT source, lang, count(*) AS total, count(*) FILTER (drop_reason IS NULL) AS kept, count(drop_reason) AS dropped FROM p GROUP BY ROLLUP (source, lang)),
+r AS (SELECT source, lang, drop_reason, count(*) AS n FROM p WHERE drop_reason IS NOT NULL GROUP BY GROUPING SETS ((source, lang, drop_reason), (source, drop_reason), (drop_reason))),
+m AS (SELECT source, lang, string_agg(drop_reason || '=' || n, ',' ORDER BY drop_reason) AS dropped_by_reason FROM r GROUP BY source, lang)
+SELECT t.source, t.lang, total, kept, dropped, coalesce(dropped_by_reason, '') AS dropped_by_reason FROM t LEFT JOIN m ON t.source IS NOT DISTINCT FROM m.source AND t.lang IS NOT DISTINCT FROM m.lang
+""")
+def drop_counters(spark, sf):
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    docs = table(spark, sf, "documents").join(labels, "doc_id", "left")
+    rows = docs.select("source", "lang", F.when(F.col("toxic") == 1, "circular").when(F.col("quality") == 0, "trivial").alias("drop_reason"))
+    return A.drop_counters(rows, ["source", "lang"])
+
+
+@query("""
+SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, list_sort(list(value))[floor((count(value) - 1) * 0.95::DOUBLE)::INT + 1] AS p95, max(value) AS max FROM events GROUP BY event_type
+""")
+def latency_stats(spark, sf):
+    return A.latency_stats(table(spark, sf, "events"), "event_type", "value").withColumns({c: F.round(c, 6) for c in ("mean", "median")})
+
+
+@query("SELECT event_type, list_sort(list(value))[floor((count(value) - 1) * 0.95::DOUBLE)::INT + 1] AS percentile FROM events GROUP BY event_type")
+def latency_floor_rank(spark, sf):
+    return A.floor_rank_distributed(table(spark, sf, "events"), "event_type", "value", 0.95)
+
+
+@query("""
+WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) SELECT doc_id, quality, quality IS NULL AS missing FROM documents LEFT JOIN l USING (doc_id)
+""")
+def completeness(spark, sf):
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    return K.completed(table(spark, sf, "documents").select("doc_id"), labels, "doc_id", "quality").select("doc_id", "quality", "missing")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def resume_anti(spark, sf):
+    done = table(spark, sf, "labels").withColumn("error", F.when(F.col("quality") == 0, "failed"))
+    return K.remaining(table(spark, sf, "documents").select("doc_id", "source"), done, "doc_id")
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'format_failure' WHEN quality IS NOT NULL AND toxic = 0 AND doc_id % 4 <> 0 THEN 'scored' ELSE 'judge_failure' END AS status
+FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)
+""")
+def judge_status(spark, sf):
+    manifest = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 10 == 0).alias("candidate_format_failure"))
+    outputs = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    outputs = outputs.select("doc_id", "quality", F.when(F.col("toxic") == 1, "refused").alias("error"), F.when(F.col("doc_id") % 4 == 0, 500).otherwise(200).alias("status_code"))
+    return K.judged(manifest, outputs, F.col("quality").isNotNull(), "doc_id").select("doc_id", "status")
+
+
+@query("""
+WITH d AS (SELECT trim(text) AS question, lang AS qa_type, doc_id AS pos, source AS source_task FROM documents)
+SELECT question, min(pos) AS first_pos, count(*) AS n_aliases, string_agg(source_task || ':' || pos, ',' ORDER BY pos) AS aliases, string_agg(DISTINCT qa_type, ',' ORDER BY qa_type) AS candidates FROM d GROUP BY question
+""")
+def alias_dedup(spark, sf):
+    rows = table(spark, sf, "documents").select(X.strip(F.col("text")).alias("question"), F.col("lang").alias("qa_type"), F.col("doc_id").alias("pos"), F.col("source").alias("source_task"))
+    out = A.with_aliases(rows, ["question"], "pos", "qa_type", ["source_task"])
+    listed = F.transform("source_aliases", lambda a: F.concat_ws(":", a["source_task"], a["pos"]))
+    return out.select("question", F.col("pos").alias("first_pos"), F.size("source_aliases").cast("long").alias("n_aliases"), F.array_join(listed, ",").alias("aliases"), F.array_join("qa_type_candidates", ",").alias("candidates"))
+
+
+SPLIT = "CASE WHEN source IN ('src0', 'src1') THEN 'test' WHEN source = 'src2' THEN 'validation' ELSE 'train' END"
+
+
+def split_docs(spark, sf):
+    split = F.when(F.col("source").isin("src0", "src1"), "test").when(F.col("source") == "src2", "validation").otherwise("train")
+    return table(spark, sf, "documents").withColumn("split", split)
+
+
+@query(f"""
+WITH d AS (SELECT sha256(text) AS identity, {SPLIT} AS split FROM documents WHERE text IS NOT NULL)
+SELECT identity, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM d GROUP BY identity HAVING count(DISTINCT split) > 1
+""")
+def split_leakage(spark, sf):
+    return K.leaked(split_docs(spark, sf), "split", [F.sha2("text", 256)]).withColumn("splits", F.array_join("splits", ","))
+
+
+@query(f"""
+WITH d AS (SELECT sha256(text) AS identity, {SPLIT} AS split FROM documents) SELECT identity FROM d WHERE split = 'train' INTERSECT SELECT identity FROM d WHERE split = 'test'
+""")
+def split_intersect(spark, sf):
+    return K.in_both(split_docs(spark, sf), "split", "train", "test", F.sha2("text", 256))
+
+
+@query("SELECT doc_id, sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(source, ''), coalesce(lang, ''), n_chars::VARCHAR, coalesce(text, ''))) AS run_key FROM documents")
+def run_key(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.run_key(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]).alias("run_key"))
+
+
+@query(r"""
+SELECT page_id, concat_ws('_', 'task2', substr(regexp_replace(url, '[^a-zA-Z0-9]', '_', 'g'), 1, 20), substr(sha256('task2' || chr(31) || url || chr(31) || page_id), 1, 20)) AS custom_id FROM pages
+""")
+def custom_id(spark, sf):
+    digest = F.substring(X.sha256(F.concat_ws("\u001f", F.lit("task2"), F.col("url"), F.col("page_id").cast("string"))), 1, 20)
+    return table(spark, sf, "pages").select("page_id", F.concat_ws("_", F.lit("task2"), X.safe_id(F.col("url")), digest).alias("custom_id"))
+
+
+@query(r"""
+SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/]+/en/') THEN nullif(regexp_extract(url, '^https?://[^/]+/en/([^/?#]*)', 1), '') END AS video FROM pages
+""")
+def video_from_url(spark, sf):
+    mapped = F.regexp_replace("url", r"^(https?://[^/]+)/en/", "$1/embed/")
+    return table(spark, sf, "pages").select("page_id", F.when(F.col("url").rlike("^https?://[^/]+/en/"), X.video_id(mapped)).alias("video"))
+
+
+@query("SELECT doc_id AS id, text AS title, n_chars::DOUBLE AS duration FROM documents WHERE contains(lower(text), 'license') AND n_chars > 20 * 60")
+def search_filter(spark, sf):
+    videos = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"), F.col("n_chars").cast("double").alias("duration"))
+    return L.search_filter(videos, "License", 20).withColumn("id", F.col("id").cast("long"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || chr(10) || '[truncated]' ELSE text END AS shown FROM documents")
+def truncate_marker(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.truncated(F.col("text"), 2000, "\n[truncated]").alias("shown"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT doc_id, coalesce(string_agg(trim(x), ' ' ORDER BY n) FILTER (trim(x) <> '' AND NOT regexp_matches(trim(x), '^(WEBVTT|Kind:|Language:|NOTE)') AND NOT contains(x, '-->') AND NOT regexp_matches(trim(x), '^[0-9]+$')), '') AS transcript FROM l GROUP BY doc_id
+""")
+def vtt_parse(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", vtt_text(F.col("text")).alias("transcript"))
+
+
+@query("SELECT event_id, user_id, round(value - avg(value) OVER (PARTITION BY user_id), 9) AS advantage FROM events")
+def group_advantage(spark, sf):
+    return A.group_advantage(table(spark, sf, "events"), "user_id", "value").select("event_id", "user_id", F.round("advantage", 9).alias("advantage"))
+
+
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) % 4)::INT AS worker FROM orders")
+def round_robin(spark, sf):
+    return Q.round_robin(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
+@query("SELECT doc_id, 'qa_' || lpad((row_number() OVER (ORDER BY source, doc_id))::VARCHAR, 6, '0') AS qa_id FROM documents")
+def running_ids(spark, sf):
+    docs = Q.numbered(table(spark, sf, "documents").select("source", "doc_id"), ["source", "doc_id"], "n")
+    return docs.select("doc_id", X.numbered_id("qa", F.col("n") + 1).alias("qa_id"))
+
+
+@query("""
+SELECT l_suppkey, l_orderkey, l_linenumber, rk FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber)::INT AS rk FROM lineitem) WHERE rk <= 3
+""")
+def top_lines(spark, sf):
+    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    return table(spark, sf, "lineitem").withColumn("rk", F.row_number().over(w)).where("rk <= 3").select("l_suppkey", "l_orderkey", "l_linenumber", "rk")
+
+
+@query(f"WITH {J}, m AS (SELECT model_key, round(avg(score::DOUBLE), 9) AS score FROM jr WHERE status = 'scored' GROUP BY model_key) SELECT model_key, score, rank() OVER (ORDER BY score DESC)::INT AS place FROM m")
+def leaderboard(spark, sf):
+    means = fx.judged(spark, sf).where("status = 'scored'").groupBy("model_key").agg(F.round(F.avg(F.col("score").cast("double")), 9).alias("score"))
+    return means.withColumn("place", F.rank().over(Window.orderBy(F.desc("score"))))
+
+
+@query("SELECT conv_id, turn AS pos, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS turn_no FROM conversations WHERE trim(coalesce(text, '')) <> '' AND turn % 3 <> 1")
+def turn_numbers(spark, sf):
+    blanked = turns(spark, sf).withColumn("text", F.when(F.col("pos") % 3 == 1, "  ").otherwise(F.col("text")))
+    return Q.turn_numbers(blanked, ["conv_id"]).select("conv_id", "pos", "turn_no")
+
+
+@query("SELECT conv_id, turn AS pos, previous FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations) WHERE role <> 'system'")
+def previous_turn(spark, sf):
+    return Q.previous_text(turns(spark, sf), ["conv_id"]).where("speaker_id <> 'system'").select("conv_id", "pos", "previous")
+
+
+@query("SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 16 AS chunk FROM embeddings")
+def chunks(spark, sf):
+    return Q.chunked(table(spark, sf, "embeddings").select("label", "vec_id"), ["label"], ["vec_id"], 16)
+
+
+@query("SELECT user_id, arg_max(event_id, (value, -event_id)) AS event_id, max(value) AS value FROM events GROUP BY user_id")
+def first_best(spark, sf):
+    return Q.first_best(table(spark, sf, "events").select("user_id", "event_id", "value", F.col("event_id").alias("pos")), ["user_id"], "event_id", "value", "pos")
+
+
+@query(f"""
+WITH {U}, p AS (SELECT recording, speaker_id, arg_max(r, pos) AS r FROM (SELECT *, CASE utterance_id % 4 WHEN 0 THEN 'surgeon' WHEN 1 THEN 'moderator' WHEN 2 THEN 'driver' ELSE 'other' END AS r FROM utt WHERE speaker_id <> 'error') GROUP BY ALL)
+SELECT utt.recording, utterance_id, coalesce(CASE WHEN r IN ('surgeon', 'moderator', 'other') THEN r END, 'other') AS inferred_role FROM utt LEFT JOIN p USING (recording, speaker_id)
+""")
+def role_lookup(spark, sf):
+    u = fx.utterances(spark, sf)
+    role = F.element_at(F.array(*map(F.lit, ["surgeon", "moderator", "driver", "other"])), (F.col("utterance_id") % 4 + 1).cast("int"))
+    profiles = u.where("speaker_id <> 'error'").select("recording", "speaker_id", "pos", role.alias("inferred_role"))
+    return I.with_role(u, profiles, L.VALID_ROLES).select("recording", "utterance_id", "inferred_role")
+
+
+@query(f"""
+WITH {U}, l AS (SELECT recording, speaker_id, row_number() OVER (PARTITION BY recording ORDER BY speaker_id) - 1 AS n FROM (SELECT DISTINCT recording, speaker_id FROM utt WHERE speaker_id <> 'error'))
+SELECT utt.recording, utterance_id, CASE WHEN n IS NULL THEN utt.speaker_id ELSE printf('spk_%02d', n) END AS speaker FROM utt LEFT JOIN l USING (recording, speaker_id)
+""")
+def speaker_numbers(spark, sf):
+    u = fx.utterances(spark, sf).withColumnRenamed("speaker_id", "label")
+    return I.with_speaker_number(u, unknown="error").select("recording", "utterance_id", F.col("speaker_id").alias("speaker"))
+
+
+@query(f"""
+WITH {U}, {C}, g AS (SELECT recording, case_id, unnest(range(0, (ceil((end_sec - start_sec) / 900.0::DOUBLE))::BIGINT)) AS i, start_sec, end_sec FROM cs)
+SELECT recording, case_id, round(start_sec + i * 900.0::DOUBLE, 3) AS at_sec FROM g WHERE start_sec + i * 900.0::DOUBLE < end_sec
+""")
+def frame_grid(spark, sf):
+    return I.frame_grid(fx.cases(spark, sf), 1 / 900).select("recording", "case_id", "at_sec")
+
+
+@query(f"""
+WITH {U}, {S}, t AS (SELECT recording, list(slide_id) AS ids FROM sl GROUP BY recording)
+SELECT recording, string_agg(slide_id::VARCHAR, ',' ORDER BY slide_pos DESC) AS ids, count(*) AS n FROM sl GROUP BY recording
+""")
+def listed_slides(spark, sf):
+    s = fx.slides(spark, sf)
+    tasks = s.groupBy("recording").agg(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("slide_pos", "slide_id"))), lambda x: x["slide_id"])).alias("slide_ids")).withColumn("case_id", F.lit("all")).withColumn("slide_ids", F.concat("slide_ids", F.array(F.lit(-1).cast("long"))))
+    found = I.listed_slides(tasks, s.withColumn("caption", F.lit("")))
+    return found.select("recording", F.array_join(F.transform("slides", lambda x: x["slide_id"].cast("string")), ",").alias("ids"), F.size("slides").cast("long").alias("n"))
+
+
+@query("""
+SELECT doc_id, NOT (lower(coalesce(verdict, 'keep')) = 'drop') AS keep, CASE WHEN verdict = 'keep' AND trim(q) <> '' THEN q ELSE text END AS question, CASE WHEN verdict = 'drop' THEN reason END AS drop_reason
+FROM (SELECT doc_id, text, CASE WHEN l.doc_id IS NULL THEN NULL WHEN toxic = 1 THEN 'drop' ELSE 'keep' END AS verdict, CASE WHEN d.doc_id % 2 = 0 THEN 'edited ' || d.doc_id ELSE ' ' END AS q, CASE WHEN d.doc_id % 3 = 0 THEN 'circular' ELSE 'non_answer' END AS reason
+      FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id))
+""")
+def repair_decisions(spark, sf):
+    pairs = table(spark, sf, "documents").select(F.col("source").alias("case_id"), F.col("doc_id").alias("pos"), F.col("text").alias("question"), F.lit("a").alias("answer"))
+    made = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(pairs.select("case_id", F.col("pos").alias("doc_id")), "doc_id")
+    decisions = made.select(
+        "case_id", F.col("doc_id").alias("index"), F.lit(0).alias("order"), F.when(F.col("toxic") == 1, "Drop").otherwise("keep").alias("verdict"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("edited "), F.col("doc_id").cast("string"))).otherwise(" ").alias("question"), F.lit("").alias("answer"), F.when(F.col("doc_id") % 3 == 0, " Circular ").otherwise("whatever").alias("drop_reason"),
+    )
+    return L.repaired(pairs, decisions, ["case_id"]).select(F.col("pos").alias("doc_id"), "keep", "question", "drop_reason")
+
+
+@query(r"""
+SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+'))::INT AS n_tokens, regexp_replace(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g') AS collapsed, len(regexp_extract_all(text, '[.!?]'))::INT AS n_marks FROM documents
+""")
+def text_forms(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", F.size(X.tokens(t)).alias("n_tokens"), X.collapse(t).alias("collapsed"), F.regexp_count(t, F.lit("[.!?]")).alias("n_marks"))
+
+
+@query("""
+WITH e AS (SELECT doc_id, text AS before, array_to_string(list_filter(string_split(text, ' '), lambda x, i: i % 3 <> 0), ' ') AS after FROM documents)
+SELECT doc_id, true AS is_trim, length(after) < length(before) AS is_shorter FROM e
+""")
+def deleak_trims(spark, sf):
+    words = F.split("text", " ")
+    after = F.array_join(F.filter(words, lambda x, i: (i + 1) % 3 != 0), " ")
+    return table(spark, sf, "documents").select("doc_id", D.is_subsequence(after, F.col("text")).alias("is_trim"), (F.length(after) < F.length("text")).alias("is_shorter"))
+
+
+@query("""
+WITH e AS (SELECT a.item_id, list_distinct(list_filter(regexp_extract_all(lower(b.text), '[a-z0-9]+'), lambda x: length(x) >= 4)) AS nw, regexp_extract_all(lower(a.text), '[a-z0-9]+') AS old FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
+SELECT item_id, array_to_string(list_sort(list_filter(nw, lambda x: NOT list_contains(old, x))), ' ') AS added FROM e
+""")
+def deleak_new_words(spark, sf):
+    items = table(spark, sf, "benchmark")
+    pairs = items.alias("a").join(items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("after")), "item_id")
+    return pairs.select("item_id", F.array_join(F.array_sort(D.new_words(F.col("text"), F.col("after"))), " ").alias("added"))
+
+
+@query("""
+WITH t AS (SELECT count(*) AS n FROM documents), i AS (SELECT doc_id, count(*) AS n_in FROM documents GROUP BY doc_id), o AS (SELECT doc_id, count(*) AS n_out FROM labels GROUP BY doc_id)
+SELECT coalesce(i.doc_id, o.doc_id) AS doc_id, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out FROM i FULL JOIN o USING (doc_id) WHERE n_in IS DISTINCT FROM 1 OR n_out IS DISTINCT FROM 1
+""")
+def deleak_unmatched(spark, sf):
+    return D.unmatched(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("""
+SELECT event_type, count(*) FILTER (value >= 1) AS successes, sum(CASE WHEN value >= 1 THEN floor(value)::BIGINT ELSE 0 END)::BIGINT AS prompt_tokens, sum(CASE WHEN value >= 1 AND event_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS completion_tokens FROM events GROUP BY event_type
+""")
+def token_usage(spark, sf):
+    rows = table(spark, sf, "events").select("event_type", F.when(F.col("value") < 1, "failed").alias("error"), F.floor("value").alias("prompt_tokens"), F.when(F.col("event_id") % 2 == 0, F.lit(1).cast("long")).alias("completion_tokens"))
+    return A.token_usage(rows, "event_type")
+
+
+@query("""
+SELECT c.conv_id, concat('[', string_agg(text, '|' ORDER BY turn), ']') AS parts, count(*) AS n_text FROM conversations c WHERE text <> '' GROUP BY c.conv_id
+""")
+def interleaved_parts(spark, sf):
+    rows = turns(spark, sf).where("text <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))
+    joined = rows.withColumn("joined", F.array_join("t.text", "<image>")).withColumn("urls", F.transform("t", lambda x: x["pos"].cast("string")))
+    parts = X.text_parts(X.interleaved(F.col("joined"), F.col("urls")))
+    return joined.withColumn("p", parts).select("conv_id", F.concat(F.lit("["), F.array_join("p.text", "|"), F.lit("]")).alias("parts"), F.size("p").cast("long").alias("n_text"))
+
+
+@query("SELECT page_id, sha256('{\"html\":' || to_json(length(html)) || ',\"page_id\":' || page_id || ',\"url\":' || to_json(url) || '}') AS h FROM pages")
+def canonical_hash(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", X.sha256(X.canonical_json(url=F.col("url"), page_id=F.col("page_id"), html=F.length("html"))).alias("h"))
+
+
+@query("SELECT user_id, floor(min(value))::INT AS x1, 0 AS y1, least(max(floor(value)::INT + 10), 40)::INT AS x2, 20 AS y2 FROM events GROUP BY user_id")
+def union_boxes(spark, sf):
+    boxes = table(spark, sf, "events").select("user_id", F.floor("value").cast("int").alias("x"), F.lit(-5).alias("y"), F.lit(10).alias("w"), F.lit(30).alias("h"))
+    return A.union_box(boxes, ["user_id"], F.lit(40), F.lit(20))
+
+
+def responses(spark, sf):
+    """Each conversation as a tagged response of numbered turns; the last turn is the conclusion."""
+    c = turns(spark, sf)
+    last = F.max("pos").over(Window.partitionBy("conv_id"))
+    rows = c.withColumn("last", last).withColumn("text", X.collapse(F.col("text")))
+    line = F.concat(F.lit("<turn "), (F.col("pos") + 1).cast("string"), F.lit("> "), F.col("speaker_id"), F.lit(": "), F.col("text"))
+    made = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("pos") < F.col("last"), F.struct("pos", line.alias("line"))))).alias("l"), F.max(F.when(F.col("pos") == F.col("last"), F.col("text"))).alias("c"))
+    return made.select("conv_id", F.concat(F.lit("<discussion>\n"), F.array_join("l.line", "\n"), F.lit("\n</discussion>\n<conclusion>"), F.col("c"), F.lit("</conclusion>")).alias("response"))
+
+
+@query()
+def parse_simulation(spark, sf):
+    p = responses(spark, sf).select("conv_id", P.parse_simulation(F.col("response")).alias("p"))
+    return p.select("conv_id", "p.status", F.array_join("p.warnings", "; ").alias("warnings"), "p.conclusion", "p.discussion_row_count", "p.unique_role_count", "p.conclusion_sentence_count")
+
+
+@query("SELECT conv_id, turn AS pos, CASE turn % 3 WHEN 0 THEN 'parsed' WHEN 1 THEN 'parsed_after_cleanup' ELSE 'raw_fallback' END AS status, CASE WHEN turn % 3 < 2 THEN text END AS answer FROM conversations")
+def parse_qa(spark, sf):
+    body = F.to_json(F.struct(F.col("text").alias("answer")))
+    wrapped = F.when(F.col("pos") % 3 == 0, body).when(F.col("pos") % 3 == 1, F.concat(F.lit("<think>so</think>\n"), body)).otherwise("it depends")
+    p = turns(spark, sf).select("conv_id", "pos", P.parse_qa(wrapped).alias("p"))
+    return p.select("conv_id", "pos", "p.status", "p.answer")
+
+
+@query("SELECT conv_id, turn AS pos, text AS answer, CASE turn % 2 WHEN 0 THEN 'raw_json' ELSE 'raw_json_wrapper_recovered' END AS method FROM conversations WHERE trim(text) <> '' AND text = trim(text)")
+def extract_answer(spark, sf):
+    t = turns(spark, sf).where((X.strip(F.col("text")) != "") & (F.col("text") == F.trim("text")))
+    body = F.to_json(F.struct(F.col("text").alias("answer")))
+    raw = F.when(F.col("pos") % 2 == 0, body).otherwise(F.substring(body, F.lit(1), F.length(body) - 1))
+    none = F.lit(None).cast("string")
+    return t.select("conv_id", "pos", P.parse_answer(none, F.lit("plain"), none, none, none, raw).alias("p")).select("conv_id", "pos", F.col("p.text").alias("answer"), "p.method")
+
+
+@query("SELECT conv_id, turn AS pos, CASE WHEN trim(text) = '' THEN NULL ELSE trim(text) END AS final, CASE turn % 2 WHEN 0 THEN 'markdown_final_answer' ELSE 'closed_think_suffix' END AS method FROM conversations WHERE trim(text) <> '' AND text = trim(text)")
+def extract_final(spark, sf):
+    t = turns(spark, sf).where((X.strip(F.col("text")) != "") & (F.col("text") == F.trim("text")))
+    content = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("notes\n## Final Answer\n"), F.col("text"))).otherwise(F.concat(F.lit("well</think> "), F.col("text")))
+    return t.select("conv_id", "pos", P.parse_final(content, F.lit(None).cast("string")).alias("p")).select("conv_id", "pos", F.col("p.text").alias("final"), "p.method")
+
+
+@query()
+def format_score(spark, sf):
+    r = responses(spark, sf).withColumns({"response_truncated": F.col("conv_id") % 11 == 0, "valid_response_length": F.length("response"), "response_length_limit": F.lit(None).cast("int")})
+    return R.format_scores(r, "response").select("conv_id", "format_failure_reason", F.round("format_base_score", 6).alias("format_base_score"), F.round("format_score", 6).alias("format_score"))
+
+
+@query()
+def rewards(spark, sf):
+    r = responses(spark, sf).withColumns({"response_truncated": F.lit(False), "valid_response_length": F.length("response"), "response_length_limit": F.lit(8192)})
+    s = R.format_scores(r, "response")
+    k = F.col("conv_id")
+    scores = {"alignment_score": k % 5 + 1, "discussion_quality": k % 6, "discussion_conclusion_consistency": k % 4 + 1, "grounding_and_safety": k % 5, "major_contradiction": k % 9 == 0, "unsafe_addition": k % 13 == 0}
+    for i, n in enumerate(R.DIMENSION_WEIGHTS):
+        scores[f"scope_{n}"] = F.when((k + i) % 3 == 0, "absent").otherwise("positive")
+        scores[n] = F.when((k + i) % 3 == 0, -1).otherwise((k + i) % 6)
+    judged = R.reward(R.consistency_scores(R.conclusion_details(s.withColumns(scores))))
+    return judged.select("conv_id", "judge_called", *[F.round(c, 6).alias(c) for c in ("anchor_score", "decisions_normalized", "consistency_match", "audit_match", "match_score", "score")])
+
+
+@query("""
+WITH s AS (SELECT conv_id AS k FROM (SELECT DISTINCT conv_id FROM conversations)),
+d AS (SELECT k, unnest([1.0, 1.25, 1.15, 2.0]::DOUBLE[]) AS w, unnest([0, 1, 2, 3]) AS i FROM s),
+w AS (SELECT k, coalesce(sum(CASE WHEN (k + i) % 3 <> 0 THEN w * ((k + i) % 6) / 5 END) / sum(CASE WHEN (k + i) % 3 <> 0 THEN w END), 0) AS dn FROM d GROUP BY k)
+SELECT k AS conv_id, round((k % 5) / 4.0::DOUBLE, 6) AS alignment_normalized, round(dn, 6) AS decisions_normalized, round(0.45::DOUBLE * ((k % 5) / 4.0::DOUBLE) + 0.55::DOUBLE * dn, 6) AS anchor_score FROM w
+""")
+def conclusion_scores(spark, sf):
+    k = F.col("conv_id")
+    rows = table(spark, sf, "conversations").select("conv_id").distinct().withColumn("alignment_score", k % 5 + 1)
+    for i, n in enumerate(R.DIMENSION_WEIGHTS):
+        rows = rows.withColumn(f"scope_{n}", F.when((k + i) % 3 == 0, "absent").otherwise("positive")).withColumn(n, F.when((k + i) % 3 == 0, -1).otherwise((k + i) % 6))
+    out = R.conclusion_details(rows)
+    return out.select("conv_id", *[F.round(c, 6).alias(c) for c in ("alignment_normalized", "decisions_normalized", "anchor_score")])
+
+
+@query()
+def repetition_scan(spark, sf):
+    d = Q.with_repetition(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    return d.select("doc_id", "repetition.detected", "repetition.longest_run", "repetition.top_count", F.round("repetition.top_share", 6).alias("top_share"))
+
+
+@query("SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def sanity_star(spark, sf):
+    """An engine check only: the star schema isn't part of the domain."""
+    o, c, n = (table(spark, sf, x) for x in ("orders", "customer", "nation"))
+    joined = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
