@@ -58,7 +58,7 @@ def lost_negator(before: Column, after: Column) -> Column:
 
 def without_empty_sections(text: Column) -> Column:
     """The text without `## ` headings that another heading or the end follows."""
-    return F.regexp_replace(text, r"(?m)^## [^\n]*\n(?=\s*(?:^## |\z))", "")
+    return F.regexp_replace(text, r"(?m)^## [^\n]*\n\s*(?=^## |\z)", "")
 
 
 def repair_holds(before: Column, after: Column) -> Column:

@@ -159,7 +159,7 @@ def marker_mask(tokens: Column, start: list[int], end: list[int], valid: Column,
     Without an end the span goes to the last of `valid` tokens; without a start it is the last
     `fallback` ones.
     """
-    at = lambda marker, low: F.filter(F.sequence(F.lit(1), F.greatest(valid - len(marker) + 1, F.lit(1))), lambda i: (i > low) & (F.slice(tokens, i, len(marker)) == F.array(*map(F.lit, marker))))[0]
+    at = lambda marker, low: F.get(F.filter(F.sequence(F.lit(1), F.greatest(valid - len(marker) + 1, F.lit(1))), lambda i: (i > low) & (F.slice(tokens, i, len(marker)) == F.array(*map(F.lit, marker)))), F.lit(0))
     first = at(start, F.lit(0))
     last = F.coalesce(at(end, first + len(start) - 1) + len(end) - 1, valid)
     low = F.coalesce(first - preceding, valid - fallback + 1)

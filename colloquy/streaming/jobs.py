@@ -36,32 +36,34 @@ RUN_ROWS = "recording string, speaker_id string, utterance_id string, start_sec
 
 
 def _extend(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one recording, in order of pos in each batch; a run goes out when another speaker begins."""
+    """Rows of one recording, in order of pos in each batch; a run goes out when another speaker begins, or none."""
     names = ["speaker_id", "utterance_id", "start_sec", "end_sec", "text"]
     run = list(state.get) if state.exists else None
     out = []
-    if state.hasTimedOut:
-        out.append(run)
-        state.remove()
-    else:
-        rows = pd.concat(list(pdfs)).sort_values("pos", kind="stable")
-        for row in rows[names].itertuples(index=False):
-            if run is not None and run[0] == row.speaker_id:
-                run[3], run[4] = row.end_sec, f"{run[4]} {row.text}"
-            else:
-                if run is not None:
-                    out.append(run)
-                run = list(row)
+    rows = pd.concat(list(pdfs)).sort_values("pos", kind="stable")
+    for row in rows[names].itertuples(index=False):
+        if run is not None and run[0] == row.speaker_id:
+            run[3], run[4] = row.end_sec, f"{run[4]} {row.text}"
+            continue
+        if run is not None:
+            out.append(run)
+        run = list(row) if row.speaker_id is not None else None
+    if run is not None:
         state.update(tuple(run))
-        state.setTimeoutDuration(600_000)
+    elif state.exists:
+        state.remove()
     if out:
         yield pd.DataFrame([[key[0], *r] for r in out], columns=["recording", *names])
 
 
 def merged_stream(utterances: DataFrame) -> DataFrame:
-    """A stream of merged runs of speakers of each recording; the open run waits for its next row, or ten minutes."""
+    """A stream of merged runs of speakers of each recording; the open run waits for its next row.
+
+    A row without a speaker ends the open run, so a source can close a recording. There is no
+    timeout: one would keep a stream that only takes what is there from ever ending.
+    """
     state = "speaker_id string, utterance_id string, start_sec double, end_sec double, text string"
-    return utterances.groupBy("recording").applyInPandasWithState(_extend, RUN_ROWS, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return utterances.groupBy("recording").applyInPandasWithState(_extend, RUN_ROWS, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_activity(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
