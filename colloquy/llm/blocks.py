@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer document is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240601))
@@ -92,7 +92,7 @@ def _power(which: int, n: int, inverse: bool) -> np.ndarray:
         have = np.full(size, base, U64)
         have[0] = 1
         have = np.cumprod(have, dtype=U64)
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _powers[which, inverse] = have
     return have[:n]
 

@@ -14,6 +14,7 @@ everywhere is asked about once a block.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ DISCOUNT, STRENGTH = 0.75, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 10.0
 SAMPLES = 3
 #: Bytes of text in a block, and bytes of the corpus for each shard.
-BLOCK_BYTES = 6 << 20
-SHARD_BYTES = 24 << 20
+BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 12 << 20
 #: Steps of a hundredth of a decade, in which predictive shares travel.
 SHARE_STEP = 1000.0
 
@@ -193,8 +194,8 @@ def _of(group: pa.Table, kind: int) -> list[tuple[int, bytes]]:
 def _ask_words(shards: int):
     """For each distinct word of a block: how often it is trained on, and tables that contexts have for it."""
 
-    def run(group: pa.Table) -> pa.Table:
-        p = Pairs(opened(_of(group, 0)[0][1]), shards)
+    def run(blocks: pa.Table, group: pa.Table) -> pa.Table:
+        p = Pairs(opened(blocks.column("blob")[0].as_py()), shards)
         (tables,) = _replies(_of(group, 1), "tables")
         at_parent = np.bincount(p.word, tables, len(p.words)).astype(np.int64)
         part, order = _word_parts(p.words[:-1], shards)
@@ -203,7 +204,7 @@ def _ask_words(shards: int):
         for s in range(shards):
             own = order[cuts[s] : cuts[s + 1]]
             if len(own):
-                rows.append((s, group.column("block")[0].as_py(), squeezed(words=p.words[own], counts=p.word_count[own].astype(np.uint32), tables=at_parent[own].astype(np.uint32))))
+                rows.append((s, blocks.column("block")[0].as_py(), squeezed(words=p.words[own], counts=p.word_count[own].astype(np.uint32), tables=at_parent[own].astype(np.uint32))))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["part", "block", "blob"])
 
     return run
@@ -235,8 +236,8 @@ def _parents(group: pa.Table) -> pa.Table:
 
 
 def _scores(shards: int, n: int, v: int, customers: int, tables: int):
-    def run(group: pa.Table) -> pa.Table:
-        block = opened(_of(group, 0)[0][1])
+    def run(blocks: pa.Table, group: pa.Table) -> pa.Table:
+        block = opened(blocks.column("blob")[0].as_py())
         p = Pairs(block, shards)
         own, left = _replies(_of(group, 1), "own", "left")
         _, order = _word_parts(p.words[:-1], shards)
@@ -281,22 +282,29 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.withColumn("_held", held_out).withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
     source = keyed.select("_row", "_held", text_col)
     shards = max(1, round(text_bytes(docs, text_col) / SHARD_BYTES + 0.5))
-    blocks = stored(source.mapInArrow(_numbered(id_col, text_col), "block long, blob binary"), "lm-blocks")
+    # bucketed by block, so that replies come to the blocks and not the blocks to the replies
+    name = f"colloquy_lm_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = source.mapInArrow(_numbered(id_col, text_col), "block long, blob binary")
+    numbered.repartition(n, "block").write.bucketBy(n, "block").saveAsTable(name)
+    del numbered
+    release(spark)
+    blocks = spark.table(name)
     asked = blocks.mapInArrow(_ask_contexts(shards), "part int, block long, blob binary")
     contexts = stored(asked.groupBy("part").applyInArrow(_restaurants, "block long, part int, reply binary"), "lm-contexts")
     del asked
     release(spark)
-    one = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("part"), "blob")
     two = contexts.select("block", F.lit(1).alias("kind"), "part", F.col("reply").alias("blob"))
-    words = one.unionByName(two).groupBy("block").applyInArrow(_ask_words(shards), "part int, block long, blob binary")
+    words = blocks.groupBy("block").cogroup(two.groupBy("block")).applyInArrow(_ask_words(shards), "part int, block long, blob binary")
     parents = stored(words.groupBy("part").applyInArrow(_parents, "block long, part int, reply binary, n long, v long, customers long, tables long"), "lm-words")
     del words
     release(spark)
     sums = parents.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in ("n", "v", "customers", "tables")]).first()
     three = parents.select("block", F.lit(2).alias("kind"), "part", F.col("reply").alias("blob"))
     schema = "_row long, n_tokens long, n_known long, base_score double, score double"
-    found = one.unionByName(two).unionByName(three).groupBy("block").applyInArrow(_scores(shards, *sums), schema)
+    found = blocks.groupBy("block").cogroup(two.unionByName(three).groupBy("block")).applyInArrow(_scores(shards, *sums), schema)
     found = stored(found.dropDuplicates(["_row"]), "lm-scores")
+    spark.sql(f"DROP TABLE {name}")
     release(spark)
     slim = keyed.select(*(c for c in docs.columns if c not in results), F.col("_held").alias("held_out"), "_row")
     return slim.join(found, "_row").withColumn("train_tokens", F.lit(sums[0]).cast(T.LongType())).drop("_row")
