@@ -21,6 +21,8 @@ MANTISSA_BITS = 10
 SLACK = 5.0
 #: Rows of a bucket that one task compares with as many others.
 BLOCK = 2000
+#: Bytes of a table of bits that says which sets of a block pair hold which members; beyond it posting lists are counted.
+BITMAP_BYTES = 64 << 20
 #: Stands for a null id while links are sought.
 NO_ID = -(2**63)
 
@@ -157,29 +159,110 @@ def _estimate(threshold: float):
     return run
 
 
-def _across(threshold: float):
-    """Pairs of unlike components in one block pair of a bucket whose estimate is plausible."""
+class Forest:
+    """Union-find over small numbers; `join` says whether two were apart."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.up = np.unique(labels, return_inverse=True)
+        self.at = self.up.copy()
+        self.up = np.arange(self.at.max() + 1 if len(self.at) else 0)
+
+    def root(self, i: int) -> int:
+        x = self.at[i]
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def roots(self) -> np.ndarray:
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return self.up[self.at]
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.root(i), self.root(j)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
+def _joined(group: pa.Table, linked) -> pa.Table:
+    """Edges (a, b) that join components of one block pair, where `linked(i, others)` says which of `others` go with i.
+
+    A row is compared with those rows only that no edge has brought into its component yet,
+    and an edge goes out only if it joins two components.
+    """
+    side, node, comp = (group.column(c).to_numpy() for c in ("side", "node", "comp"))
+    left, right = (side & 1).nonzero()[0], (side & 2).nonzero()[0]
+    same = bool((side == 3).all())
+    forest = Forest(comp)
+    a, b = [], []
+    for n, i in enumerate(left):
+        rest = right[n + 1 :] if same else right
+        others = rest[forest.roots()[rest] != forest.root(i)]
+        for j in others[linked(i, others)] if len(others) else ():
+            if forest.join(i, j):
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _plausible_joins(threshold: float):
+    """Edges of plausible estimates that join the components in one block pair of a bucket."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        side, node, comp, filled = (group.column(c).to_numpy() for c in ("side", "node", "comp", "filled"))
-        registers = _matrix(group.column("registers"))
-        left, right = (side & 1).nonzero()[0], (side & 2).nonzero()[0]
-        same = bool(len(left) == len(right) and (left == right).all())
-        out_a, out_b = [], []
-        for i in left:
-            others = right[comp[right] != comp[i]]
-            if same:
-                others = others[node[others] > node[i]]
-            others = others[_plausible(registers[i], registers[others], np.minimum(filled[i], filled[others]), threshold)] if len(others) else others
-            out_a.append(np.full(len(others), node[i]))
-            out_b.append(node[others])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
+        registers, filled = _matrix(group.column("registers")), group.column("filled").to_numpy()
+        return _joined(group, lambda i, others: _plausible(registers[i], registers[others], np.minimum(filled[i], filled[others]), threshold))
 
     return run
 
 
+def _verified_joins(percent: int):
+    """Links, by the full sets, that join the components in one block pair of a plausible cluster."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, B.U64) for x in group.column("members").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        tokens, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        # only members that two sets or more share count towards an intersection
+        shared = counts[number] > 1
+        number, owner = (np.cumsum(counts > 1) - 1)[number[shared]], owner[shared]
+        width = (int((counts > 1).sum()) + 63) // 64
+        if len(sets) * width * 8 <= BITMAP_BYTES:
+            bits = np.zeros((len(sets), width), B.U64)
+            np.bitwise_or.at(bits, (owner, number // 64), B.U64(1) << (number % 64).astype(B.U64))
+            common = lambda i, others: np.bitwise_count(bits[i] & bits[others]).sum(axis=1, dtype=np.int64)
+        else:
+            by_token, first = np.argsort(number, kind="stable"), np.searchsorted(np.sort(number), np.arange(int((counts > 1).sum()) + 1))
+            own = np.searchsorted(owner, np.arange(len(sets) + 1))
+
+            def common(i, others):
+                at = number[own[i] : own[i + 1]]
+                n = first[at + 1] - first[at]
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
+                return np.bincount(owner[by_token[place]], minlength=len(sets))[others]
+
+        def linked(i, others):
+            both = common(i, others)
+            return 100 * both >= percent * (sizes[i] + sizes[others] - both)
+
+        return _joined(group, linked)
+
+    return run
+
+
+def _blocked(df: DataFrame, key: str, others: list[str]) -> DataFrame:
+    """Rows of each `key` (n rows) dealt to pairs (i, j) of blocks of BLOCK rows; side says on which side of the pair a row is."""
+    last = (F.ceil(F.col("n") / BLOCK) - 1).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("_last") + 1).cast("int")
+    dealt = df.withColumn("_last", last).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    side = F.when(F.col("_own") == F.col("_other"), 3).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+    return dealt.select(key, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), side.alias("side"), "node", "comp", *others)
+
+
 def _sets(text_col: str, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.as_batch(batches, text_col):
@@ -220,10 +303,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     that links reach, and kept says that it is the row's own.
 
     Texts of equal sets form a class, and one of each class goes on. HyperMinHash registers are
-    banded. In each bucket every class is compared with the least one; then, where a bucket
-    holds classes of more than one component, all its pairs across components, in blocks. A
-    pair whose corrected estimate is plausible is verified on the full sets, so no cap applies
-    to buckets, and no link is reported that does not hold.
+    banded. In each bucket every class is compared with the least one, by the corrected
+    estimate and then on the full sets. Where a bucket holds classes of more than one component
+    after that, estimates across components tell which may belong together; these clusters are
+    compared on the full sets, in blocks. Only edges that join components leave a block, so a
+    large group makes as many rows as it has members; no cap applies, and no link is reported
+    that does not hold.
 
     Null or empty text, or one without words: an empty set, linked with nothing. A null id
     counts as the least. Rows with equal ids are
@@ -241,33 +326,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     centers = bands.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
     stars = stored(bands.join(centers, "band").where("node > a").select("a", F.col("node").alias("b")).distinct(), "stars")
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Those of `pairs` (a, b) that hold on the full sets."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        needed = reps.select("node", "id").join(nodes, "node")
+    def members_of(nodes: DataFrame) -> DataFrame:
+        """Full sets of `nodes`, stored."""
+        needed = reps.select("node", "id").join(nodes.distinct(), "node")
         members = source.join(needed.hint("shuffle_hash"), "id").select("node", "text").mapInArrow(_sets("text", words), "node long, members binary")
-        members = stored(members.dropDuplicates(["node"]), "sets")
-        both = pairs.join(members.toDF("a", "members_a"), "a").join(members.toDF("b", "members_b"), "b")
-        return both.mapInArrow(_verify(percent), "a long, b long")
+        return stored(members.dropDuplicates(["node"]), "sets")
 
     side = reps.select("node", "filled", "registers")
     plausible = stars.join(side.toDF("a", "filled_a", "registers_a"), "a").join(side.toDF("b", "filled_b", "registers_b"), "b").mapInArrow(_estimate(threshold), "a long, b long")
-    links = stored(checked(stored(plausible, "plausible")), "links")
+    plausible = stored(plausible, "plausible")
+    sets = members_of(plausible.select(F.explode(F.array("a", "b")).alias("node")))
+    both = plausible.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b")
+    links = stored(both.mapInArrow(_verify(percent), "a long, b long"), "links")
+    del both
     release(spark)
     comps = components(links, "a", "b")
 
+    # buckets that hold several components: which of these may belong together
     placed = bands.join(comps, "node", "left").select("band", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("band", "n")
-    left = placed.join(mixed, "band").join(side, "node")
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    last = (F.ceil(F.col("n") / BLOCK) - 1).cast("int")
-    spread = left.withColumn("_own", block).withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
-    spread = spread.select("band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), F.when(F.col("_own") == F.col("_other"), 3).when(F.col("_own") < F.col("_other"), 1).otherwise(2).alias("side"), "node", "comp", "filled", "registers")
-    across = spread.groupBy("band", "i", "j").applyInArrow(_across(threshold), "a long, b long").distinct()
-    more = stored(across.join(stars, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
-        links = links.unionByName(stored(checked(more), "links"))
-        comps = components(links, "a", "b")
+    several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("band", "n")
+    spread = _blocked(placed.join(several, "band").join(side, "node"), "band", ["filled", "registers"])
+    may = stored(spread.groupBy("band", "i", "j").applyInArrow(_plausible_joins(threshold), "a long, b long").distinct(), "plausible-joins")
+    del placed, several, spread
+    release(spark)
+    if not may.isEmpty():
+        # clusters of components that plausible edges hold together, verified on the full sets
+        clusters = components(may.unionByName(links), "a", "b").withColumnRenamed("root", "cluster")
+        named = clusters.join(comps, "node", "left").select("cluster", "node", F.coalesce("root", "node").alias("comp"))
+        open_ = named.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("cluster", "n")
+        inside = stored(named.join(open_, "cluster"), "open-clusters")
+        spread = _blocked(inside.join(members_of(inside.select("node")), "node"), "cluster", ["members"])
+        more = stored(spread.groupBy("cluster", "i", "j").applyInArrow(_verified_joins(percent), "a long, b long"), "links")
+        comps = components(links.unionByName(more), "a", "b")
     release(spark)
     least = comps.join(classes.select("node", "least"), "node")
     by_root = least.groupBy("root").agg(F.min("least").alias("smallest"))
