@@ -17,7 +17,7 @@ from colloquy.llm.shared import release, stored, text_bytes
 #: Bytes in the grams that serve as anchors.
 GRAM = 32
 #: Bytes of segments that a shard is planned for; a class of segments beyond it is split over several.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 #: Window starts a segment holds at most; a longer run goes on in the next.
 MAX_STARTS = 4096
 #: Window representatives that one merge range is planned for.
@@ -34,25 +34,25 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     of more than one are sorted again, by the group of the suffix h bytes on, which doubles h.
     """
     n = len(text)
-    padded = np.zeros(n + 8, B.U64)
-    padded[:n] = text
-    padded[:n] += B.U64(1)
-    key = padded[:-1] * B.U64(257) + padded[1:]
-    key = key[:-2] * B.U64(257**2) + key[2:]
-    key = key[:-4][:n] + B.U64(0)  # four bytes, no two alike
-    sa = np.argsort(key, kind="stable").astype(np.int64)
+    one = np.zeros(n + 8, B.U64)
+    one[:n] = text
+    one[:n] += B.U64(1)  # 0 is the end
+    two = one[:-1] * B.U64(257) + one[1:]
+    three = two[:-1] * B.U64(257) + one[2:]
+    key = (three[:n] * B.U64(257**3) + three[3 : n + 3]) * B.U64(257) + one[6 : n + 6]
+    sa = np.argsort(key)
     ordered = key[sa]
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     heads = np.ones(n, bool)
     heads[1:] = ordered[1:] != ordered[:-1]
     rank[sa] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-    h = 4
+    h = 7
     slots = _crowded(heads, np.arange(n))
     while len(slots):
         at = sa[slots]
         key = rank[at] * (n + 1) + rank[np.minimum(at + h, n)] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, at = key[order], at[order]
         sa[slots] = at
         heads = np.ones(len(slots), bool)
@@ -84,7 +84,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, lanes: np.ndarray, steps:
     walked[sa] = True
     padded = np.zeros(n + cap + 16, np.uint8)
     padded[:n] = text
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    eight = np.ndarray(n + cap, "<u8", padded, strides=(1,))
     shared = np.zeros(len(sa), np.int32)
     order = np.argsort(-steps, kind="stable")
     lanes, steps = lanes[order], steps[order]
@@ -100,8 +100,9 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, lanes: np.ndarray, steps:
         while len(going):
             a, b = i[going] + now[going], j[going] + now[going]
             inside = np.minimum(n - np.maximum(a, b), 8)
-            unlike = eight[np.minimum(a, n)] != eight[np.minimum(b, n)]
-            found = np.where(unlike.any(axis=1), unlike.argmax(axis=1), 8)
+            x = eight[a] ^ eight[b]
+            # whole bytes below the lowest bit that differs; all 8 if none does
+            found = (np.bitwise_count((x & (~x + B.U64(1))) - B.U64(1)) >> 3).astype(np.int64)
             more = np.minimum(found, np.maximum(inside, 0))
             now[going] += more
             going = going[(more == 8) & (now[going] < cap)]
@@ -180,6 +181,19 @@ def _send(held: list, shards: int, block: int) -> Iterator[pa.RecordBatch]:
     yield from R.as_rows(rows, [x.split()[0] for x in _SENT.split(", ")], [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 9, each=8)
 
 
+def _distinct(text: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of unlike text: the text, lengths and summed weights (up to 2) of each, and each segment's number among them."""
+    ends = np.cumsum(lengths)
+    hashes = [B.range_hash(B.sums_of(B.byte_codes(text, w), w), ends - lengths, ends, w) for w in (0, 1)]
+    order = np.lexsort(hashes)
+    new = np.append(True, (np.diff(hashes[0][order]) != 0) | (np.diff(hashes[1][order]) != 0))
+    rep = np.empty(len(order), np.int64)
+    rep[order] = np.cumsum(new) - 1
+    chosen = order[new]
+    kept = b"".join(text[ends[i] - lengths[i] : ends[i]].tobytes() for i in chosen)
+    return np.frombuffer(kept, np.uint8), lengths[chosen], np.minimum(np.bincount(rep, weights), 2), rep
+
+
 def _repeats(window: int, merges: int):
     """Settles a shard: which windows of its segments start at least twice; windows of split classes go on to the merge."""
 
@@ -188,7 +202,8 @@ def _repeats(window: int, merges: int):
         docs, known_docs = R.shifted(keys, R.arrays_of(group, "docs", np.uint32), R.arrays_of(group, "known_docs", np.uint32))
         lengths, weights = np.concatenate(lengths), np.concatenate(weights)
         at, known_at, known_counts = (np.concatenate(R.arrays_of(group, c, np.int64)) for c in ("at", "known_at", "known_starts"))
-        text = np.frombuffer(b"".join(group.column("text").to_pylist()), np.uint8)
+        whole = np.frombuffer(b"".join(group.column("text").to_pylist()), np.uint8)
+        text, lengths, heavy, rep = _distinct(whole, lengths, weights)
         base = np.append(0, np.cumsum(lengths))[:-1]
         counts = lengths - window + 1
         owner = np.repeat(np.arange(len(base)), lengths)
@@ -196,23 +211,29 @@ def _repeats(window: int, merges: int):
         spots = sa[sa - base[owner[sa]] < counts[owner[sa]]]
         shared = common_prefixes(text, spots, base, counts, window)
         # windows in suffix order; a new group begins where less than a window is shared
-        label = np.cumsum(shared < window)
-        _, label = np.unique(label, return_inverse=True)
-        total = np.bincount(label, weights[owner[spots]]) if len(spots) else np.zeros(0)
+        _, label = np.unique(np.cumsum(shared < window), return_inverse=True)
+        total = np.bincount(label, heavy[owner[spots]]) if len(spots) else np.zeros(0)
         hit = np.zeros(len(text), bool)
         hit[spots[total[label] >= 2]] = True
-        single = (weights == 1)[owner] & hit
-        where = np.flatnonzero(single)
+        where = np.flatnonzero(hit)
         begins, ends = _runs(where, owner)
-        own = owner[where[begins]] if len(begins) else np.zeros(0, np.int64)
-        from_ = at[own] + where[begins] - base[own]
-        to = from_ + (ends - begins)
+        # runs of each distinct segment, given to all its occurrences that no task has settled
+        of_run = owner[where[begins]] if len(begins) else np.zeros(0, np.int64)
+        first = np.searchsorted(of_run, np.arange(len(base) + 1))
+        singles = np.flatnonzero(weights == 1)
+        n_runs = np.diff(first)[rep[singles]]
+        own = np.repeat(singles, n_runs)
+        run = np.arange(len(own)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs) + first[:-1][rep[own]]
+        from_ = at[own] + (where[begins] - base[of_run])[run] if len(own) else np.zeros(0, np.int64)
+        to = from_ + (ends - begins)[run] if len(own) else from_
         runs = np.stack([np.concatenate([from_, known_at]), np.concatenate([to, known_at + known_counts])], axis=1)
         out = R.replies(group, keys, np.concatenate([docs[own], known_docs]), runs=runs)
         found = [out.column(i) for i in range(4)]
         rows = []
         if group.column("split").to_numpy().any():
-            rows = _for_merge(text, window, spots, label, total, owner, base, docs, at, np.concatenate(keys), merges, int(group.column("shard")[0].as_py()))
+            lone = np.zeros(len(base), np.int64)
+            lone[rep] = np.arange(len(rep))
+            rows = _for_merge(text, window, spots, label, total, owner, base, docs[lone], at[lone], np.concatenate(keys), merges, int(group.column("shard")[0].as_py()))
         kinds = [pa.int64()] + [pa.binary()] * 3 + [pa.int32(), pa.int64()] + [pa.binary()] * 3
         none = [pa.nulls(out.num_rows, k) for k in kinds[4:]]
         names = [x.split()[0] for x in _SETTLED.split(", ")]
