@@ -66,8 +66,7 @@ def hits_of(keyed: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
     # the remaining terms are compared where they stand in the text
     by_doc = found.groupBy("_key").agg(F.collect_list(F.struct("start", "words")).alias("places"))
     places = stored(by_doc, "places")
-    n_bytes = places.agg(F.sum(F.size("places") * 256)).first()[0] or 0
-    texts = keyed.select("_key", text_col).join(small(places, 1, n_bytes), "_key")
+    texts = keyed.select("_key", text_col).join(places.hint("shuffle_hash"), "_key")
     holds = let(F.transform(words_of(F.col(text_col)), lowered), lambda words: F.filter(F.col("places"), lambda p: F.slice(words, p["start"] + 1, F.size(p["words"])) == p["words"]))
     kept = texts.select("_key", F.explode(holds).alias("p")).select("_key", "p.start", "p.words")
     return stored(kept.distinct(), "hits")
