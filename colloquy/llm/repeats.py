@@ -186,8 +186,8 @@ def by_document(found: DataFrame, *names: str) -> DataFrame:
         _, number = np.unique(np.concatenate(keys), return_inverse=True)
         docs = number[docs]
         order = np.argsort(docs, kind="stable")
-        heads = np.flatnonzero(np.append(True, np.diff(docs[order]) != 0))
-        ends = np.append(heads[1:], len(order))
+        heads = np.flatnonzero(np.diff(docs[order], prepend=-1) != 0)
+        ends = np.append(heads[1:], len(order))[: len(heads)]
         out = [pa.array(np.unique(np.concatenate(keys))[docs[order][heads]])]
         for name in names:
             width = widths.get(name, 4)

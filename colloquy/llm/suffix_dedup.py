@@ -284,7 +284,9 @@ def _merge(group: pa.Table) -> pa.Table:
         found_runs.append(np.stack([place[hits], place[hits] + 1], axis=1))
     found_keys, number = np.unique(np.concatenate(found_keys), return_inverse=True)
     row = (group.column("merge")[0].as_py(), 0, found_keys.tobytes(), number.astype(np.uint32).tobytes(), np.concatenate(found_runs).tobytes())
-    return pa.Table.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int32(), pa.int64()] + [pa.binary()] * 3)], names=["merge", "block", "keys", "docs", "runs"])
+    # a range may have nothing left to report: all settled by the pieces, or met once
+    rows = [row] if len(found_keys) else []
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int32(), pa.int64()] + [pa.binary()] * 3)], names=["merge", "block", "keys", "docs", "runs"])
 
 
 def repeated_strings(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
