@@ -149,6 +149,8 @@ def anchors(grams: np.ndarray, valid: np.ndarray, per_window: int) -> tuple[np.n
     A window holds `per_window` grams. Equal windows have equal least grams at equal places,
     so a window that repeats has anchors that repeat.
     """
+    if not len(valid):  # fewer units in all than one window has
+        return np.zeros(0, np.int64), np.zeros(0, U64)
     least = sliding(grams, per_window)[: len(valid)]
     held = np.zeros(len(least) + 2 * (per_window - 1), U64)
     held[per_window - 1 : per_window - 1 + len(least)] = np.where(valid, least, U64(0))
