@@ -64,8 +64,33 @@ def floor_rank(values: Column, fraction: float) -> Column:
 
 
 def latency_stats(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Count, mean, median, `floor_rank` at 0.95 and maximum of each group, nulls apart; groups of any size, none is collected."""
     v = F.col(value)
-    return df.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), floor_rank(v, 0.95).alias("p95"), F.max(v).alias("max"))
+    plain = df.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    last = F.col("_n") - 1
+    ranks = placed_values(df, by, value, {"_low": F.floor(last / 2), "_high": F.ceil(last / 2), "p95": F.floor(last * F.lit(0.95))})
+    median = (F.col("_low").cast("double") + F.col("_high").cast("double")) / 2
+    joined = plain.join(ranks.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left")
+    return joined.select(by, "n", "mean", median.alias("median"), "p95", "max")
+
+
+def placed_values(df: DataFrame, by: str, value: str, places: dict[str, Column]) -> DataFrame:
+    """Of each group, the values at the 0-based `places` of its sorted values, which may use `_n`, their number; nulls don't count.
+
+    Values are counted and the counts dealt by ranges of (group, value). Sums of the ranges say
+    in which of them a place lies, and only these are summed up in order, each by itself.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_c"))
+    dealt = counts.repartitionByRange("_by", "_value").withColumn("_range", F.spark_partition_id()).persist()
+    group = Window.partitionBy("_by")
+    sums = dealt.groupBy("_by", "_range").agg(F.sum("_c").alias("_sum"))
+    sums = sums.withColumn("_n", F.sum("_sum").over(group)).withColumn("_to", F.sum("_sum").over(group.orderBy("_range")))
+    sums = sums.select(F.col("_by").alias("_g"), F.col("_range").alias("_r"), (F.col("_to") - F.col("_sum")).alias("_from"), "_to", *(p.alias(f"_at_{k}") for k, p in places.items()))
+    asked = sums.where(" OR ".join(f"`_at_{k}` >= _from AND `_at_{k}` < _to" for k in places))
+    rows = dealt.join(asked, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    rows = rows.withColumn("_upto", F.col("_from") + F.sum("_c").over(Window.partitionBy("_by", "_range").orderBy("_value")))
+    inside = lambda k: (F.col(f"_at_{k}") < F.col("_upto")) & (F.col(f"_at_{k}") >= F.col("_upto") - F.col("_c"))
+    return rows.groupBy(F.col("_by").alias(by)).agg(*(F.max(F.when(inside(k), F.col("_value"))).alias(k) for k in places))
 
 
 def floor_rank_distributed(df: DataFrame, by: str, value: str, fraction: float) -> DataFrame:

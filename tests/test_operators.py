@@ -251,3 +251,18 @@ def test_files(spark, tmp_path):
 def test_search_source(spark):
     spark.dataSource.register(readers.VideoSearch)
     assert spark.read.format("video_search").option("keyword", "x").load().count() == 0
+
+
+def test_latency_stats_are_not_collected(spark):
+    rows = [("a", float(i * 7 % 1000)) for i in range(1000)] + [("a", 3.0)] * 501 + [("b", None), ("c", 2.5), (None, 4.0), (None, 1.0), ("d", None), ("d", -1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    stats = A.latency_stats(df, "k", "v")
+    plan = stats._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "median(" not in plan and "percentile" not in plan
+    got = {r.k: tuple(r)[1:] for r in stats.collect()}
+    want = {}
+    for k in {k for k, _ in rows}:
+        v = sorted(x for key, x in rows if key == k and x is not None)
+        n = len(v)
+        want[k] = (n, pytest.approx(sum(v) / n), (v[(n - 1) // 2] + v[n // 2]) / 2, v[int((n - 1) * 0.95)], v[-1]) if n else (0, None, None, None, None)
+    assert got == want
