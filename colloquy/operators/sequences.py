@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -101,17 +103,53 @@ def kept_greedily(vectors: np.ndarray, threshold: float) -> np.ndarray:
     return kept
 
 
+#: Rows of a group that one task scans, or filters, at most.
+SCAN_ROWS = 1024
+
+
 def greedy_dedup(crops: DataFrame, partition: str, order: str, vector: str = "embedding", threshold: float = 0.92) -> DataFrame:
-    """Rows that a scan of each group in `order` keeps: those unlike all kept before.
+    """Rows that a scan of each group in `order` (nulls last) keeps: those unlike all kept before.
 
-    The outcome depends on the order, so a group is one task; groups are cases of one recording.
+    The rows are numbered and cut into blocks. Each round scans the first rows left of every
+    group, at most SCAN_ROWS, and then filters all later blocks side by side against the rows
+    kept, so that no task holds a group. Rounds follow the rows kept over SCAN_ROWS. What is
+    left after a round is stored below `spark.checkpoint.dir`, and is not deleted.
     """
+    unit = lambda x: (v := np.array([list(y) for y in x], np.float64)) / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+        pdf = pdf.sort_values("_n", kind="stable")
         return pdf[kept_greedily(np.array(pdf[vector].tolist(), np.float64), threshold)] if len(pdf) else pdf
 
-    return crops.groupBy(partition).applyInPandas(scan, crops.schema)
+    def unlike(rows: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(kept):
+            return rows
+        return rows[(unit(rows[vector]) @ unit(kept["_kept"].iloc[0]).T).max(axis=1) < threshold]
+
+    numbers = numbered(crops, [F.col(partition), F.col(order).asc_nulls_last()], "_n")
+    rest = _stored(numbers.withColumn("_block", F.floor(F.col("_n") / SCAN_ROWS)))
+    found = []
+    while not rest.isEmpty():
+        w = Window.partitionBy("_g").orderBy("_b")
+        sizes = rest.groupBy(F.col(partition).alias("_g"), F.col("_block").alias("_b")).count()
+        sizes = sizes.withColumn("_now", (F.row_number().over(w) == 1) | (F.sum("count").over(w) <= SCAN_ROWS)).drop("count")
+        dealt = rest.join(sizes, rest[partition].eqNullSafe(sizes["_g"]) & (rest["_block"] == sizes["_b"]))
+        kept = _stored(dealt.where("_now").select(*rest.columns).groupBy(partition).applyInPandas(scan, rest.schema))
+        found.append(kept.select(*crops.columns))
+        vectors = kept.groupBy(F.col(partition).alias("_k")).agg(F.collect_list(vector).alias("_kept"))
+        sent = sizes.where("not _now").join(vectors, F.col("_g").eqNullSafe(F.col("_k"))).select("_g", "_b", "_kept")
+        later = dealt.where("not _now").select(*rest.columns)
+        rest = _stored(later.groupBy(partition, "_block").cogroup(sent.groupBy("_g", "_b")).applyInPandas(unlike, rest.schema))
+    return functools.reduce(DataFrame.unionByName, found) if found else crops.limit(0)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet below the folder that driver and executors share, and read again; this cuts the lineage."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/colloquy-checkpoints"
+    path = f"{base.rstrip('/')}/greedy-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Words with inner apostrophes or hyphens, or single CJK characters (fixed pattern).

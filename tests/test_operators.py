@@ -266,3 +266,26 @@ def test_latency_stats_are_not_collected(spark):
         n = len(v)
         want[k] = (n, pytest.approx(sum(v) / n), (v[(n - 1) // 2] + v[n // 2]) / 2, v[int((n - 1) * 0.95)], v[-1]) if n else (0, None, None, None, None)
     assert got == want
+
+
+@pytest.mark.parametrize("rows_a_task", [7, 1024])
+def test_greedy_dedup_scans_blocks_only(spark, monkeypatch, rows_a_task):
+    import numpy as np
+
+    monkeypatch.setattr(Q, "SCAN_ROWS", rows_a_task)
+    rng = np.random.default_rng(4)
+    rows = [(k, int(n), rng.normal(size=3).tolist()) for k, size in (("a", 90), ("b", 3), (None, 40)) for n in rng.permutation(size)]
+    rows += [("a", 500 + i, rows[i][2]) for i in range(30)] + [("c", 1, [0.0, 0.0, 0.0]), ("c", 2, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "k string, n long, embedding array<double>").repartition(3)
+    calls = []
+    scan = Q._stored
+    monkeypatch.setattr(Q, "_stored", lambda x: calls.append(1) or scan(x))
+    got = sorted(((str(r.k), r.n) for r in Q.greedy_dedup(df, "k", "n", threshold=0.95).collect()))
+    want = []
+    for k in ("a", "b", "c", None):
+        own = sorted((n, v) for key, n, v in rows if key == k)
+        keep = Q.kept_greedily(np.array([v for _, v in own]), 0.95)
+        want += [(str(k), n) for (n, _), x in zip(own, keep) if x]
+    assert got == sorted(want)
+    assert len(calls) > 3 if rows_a_task == 7 else len(calls) == 3
+    assert Q.greedy_dedup(df.limit(0), "k", "n").count() == 0
