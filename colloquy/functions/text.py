@@ -35,6 +35,11 @@ def collapse(text: Column) -> Column:
     return strip(F.regexp_replace(text, rf"{SPACE}+", " "))
 
 
+def folded(text: Column) -> Column:
+    """A form in which texts are alike that differ in case only, also where an upper form is longer (`ß`, `SS`)."""
+    return F.lower(F.upper(text))
+
+
 def numbered_id(prefix: str, number: Column, width: int = 6) -> Column:
     return F.format_string(f"{prefix}_%0{width}d", number)
 

@@ -494,34 +494,133 @@ def responses(spark, sf):
     return made.select("conv_id", F.concat(F.lit("<discussion>\n"), F.array_join("l.line", "\n"), F.lit("\n</discussion>\n<conclusion>"), F.col("c"), F.lit("</conclusion>")).alias("response"))
 
 
-@query()
+SIMULATED = """
+t AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+r AS (
+  SELECT conv_id, conv_id % 2 = 1 AS tabled, conv_id % 3 = 0 AS thought, coalesce(max(x) FILTER (turn = last), '') AS c,
+         list(turn + 1 ORDER BY turn) FILTER (turn < last AND x <> '') AS ns, count(*) FILTER (turn < last AND x <> '') AS n, count(DISTINCT lower(role)) FILTER (turn < last AND x <> '') AS u, count(*) FILTER (turn < last AND x IS NOT NULL) AS shown
+  FROM t GROUP BY conv_id
+),
+k AS (SELECT *, len(regexp_extract_all(c, '[.!?]+["'')\\]]*(\\s|$)')) AS s, n = 0 OR c = '' AS bad FROM r),
+w AS (SELECT *, CASE WHEN NOT tabled AND shown = 0 THEN ['missing Conclusion section'] WHEN bad AND tabled THEN ['missing table rows or conclusion text'] WHEN bad THEN ['missing turns or conclusion text'] ELSE
+  list_filter([CASE WHEN NOT tabled AND ns <> range(1, n + 1) THEN 'turn numbers are not 1..N in order' END, CASE WHEN tabled AND u <> n THEN 'duplicate specialist roles' END, CASE WHEN s NOT BETWEEN 2 AND 4 THEN 'expected a 2-4 sentence conclusion, found approximately ' || s END], lambda x: x IS NOT NULL) END AS warnings FROM k)"""
+
+
+def simulated(spark, sf):
+    """Each conversation as a response: numbered turns in tags, or a table for odd ids, behind a think block for every third; the last turn is the conclusion."""
+    rows = responses(spark, sf)
+    last = F.max("pos").over(Window.partitionBy("conv_id"))
+    cells = F.concat(F.lit("| "), F.col("speaker_id"), F.lit(" | "), X.collapse(F.col("text")), F.lit(" |"))
+    c = turns(spark, sf).withColumn("last", last).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("pos") < F.col("last"), F.struct("pos", cells.alias("line"))))).alias("l"),
+        F.coalesce(F.max(F.when(F.col("pos") == F.col("last"), X.collapse(F.col("text")))), F.lit("")).alias("c"),
+    )
+    tables = c.select("conv_id", F.concat(F.lit("| Role | Response |\n| :-- |---|\n"), F.array_join("l.line", "\n"), F.lit("\n## **Conclusion:** "), F.col("c")).alias("tabled"))
+    text = F.when(F.col("conv_id") % 2 == 1, F.col("tabled")).otherwise(F.col("response"))
+    thought = F.when(F.col("conv_id") % 3 == 0, F.lit("<think>let me\nsee</think>\n")).otherwise("")
+    return rows.join(tables, "conv_id").select("conv_id", F.concat(thought, text).alias("response"))
+
+
+@query(f"""
+WITH {SIMULATED}
+SELECT conv_id, CASE WHEN bad THEN 'raw_fallback' WHEN len(warnings) > 0 THEN 'parsed_with_warnings' WHEN thought THEN 'parsed_after_cleanup' ELSE 'parsed' END AS status, array_to_string(warnings, '; ') AS warnings,
+       CASE WHEN NOT bad THEN c END AS conclusion, CASE WHEN NOT bad THEN n END AS discussion_row_count, CASE WHEN NOT bad THEN u END AS unique_role_count, CASE WHEN NOT bad THEN s END AS conclusion_sentence_count FROM w
+""")
 def parse_simulation(spark, sf):
-    p = responses(spark, sf).select("conv_id", P.parse_simulation(F.col("response")).alias("p"))
-    return p.select("conv_id", "p.status", F.array_join("p.warnings", "; ").alias("warnings"), "p.conclusion", "p.discussion_row_count", "p.unique_role_count", "p.conclusion_sentence_count")
+    p = simulated(spark, sf).select("conv_id", P.parse_simulation(F.col("response")).alias("p"))
+    return p.select("conv_id", "p.status", F.array_join("p.warnings", "; ").alias("warnings"), "p.conclusion", *[F.col(f"p.{c}").cast("long").alias(c) for c in ("discussion_row_count", "unique_role_count", "conclusion_sentence_count")])
 
 
-@query("SELECT conv_id, turn AS pos, CASE turn % 3 WHEN 0 THEN 'parsed' WHEN 1 THEN 'parsed_after_cleanup' ELSE 'raw_fallback' END AS status, CASE WHEN turn % 3 < 2 THEN text END AS answer FROM conversations")
+@query("SELECT conv_id, turn AS pos, CASE WHEN turn % 7 = 0 THEN 'parsed' WHEN turn % 7 IN (1, 2, 3, 5) THEN 'parsed_after_cleanup' ELSE 'raw_fallback' END AS status, CASE WHEN turn % 7 IN (0, 1, 2, 3, 5) THEN text END AS answer FROM conversations WHERE text IS NOT NULL")
 def parse_qa(spark, sf):
+    rows = turns(spark, sf).where("text IS NOT NULL")
     body = F.to_json(F.struct(F.col("text").alias("answer")))
-    wrapped = F.when(F.col("pos") % 3 == 0, body).when(F.col("pos") % 3 == 1, F.concat(F.lit("<think>so</think>\n"), body)).otherwise("it depends")
-    p = turns(spark, sf).select("conv_id", "pos", P.parse_qa(wrapped).alias("p"))
+    forms = [body, F.concat(F.lit("<think>so</think>\n"), body), F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.concat(F.lit("so "), body, F.lit(" then")), F.lit("it depends"), F.concat(F.lit("["), body, F.lit("]x")), F.to_json(F.struct(F.col("text").alias("answer"), F.lit(1).alias("more")))]
+    p = rows.select("conv_id", "pos", P.parse_qa(F.element_at(F.array(*forms), (F.col("pos") % 7 + 1).cast("int"))).alias("p"))
     return p.select("conv_id", "pos", "p.status", "p.answer")
 
 
-@query("SELECT conv_id, turn AS pos, text AS answer, CASE turn % 2 WHEN 0 THEN 'raw_json' ELSE 'raw_json_wrapper_recovered' END AS method FROM conversations WHERE trim(text) <> '' AND text = trim(text)")
-def extract_answer(spark, sf):
-    t = turns(spark, sf).where((X.strip(F.col("text")) != "") & (F.col("text") == F.trim("text")))
+#: Columns of a response by case, and what is found: `text` stands for a turn's text, `json` for it as an answer object.
+WAYS = ["parsed", "mode", "final", "extraction", "reasoning", "raw"]
+DIRECT = {"mode": "reasoning_final", "extraction": "missing_explicit_final_boundary"}
+ANSWERS = [
+    ({"parsed": "text"}, True, "parsed"),
+    ({"parsed": " ", "raw": "text"}, False, "unrecoverable"),
+    ({"mode": "reasoning_final", "raw": "text"}, False, "unrecoverable_reasoning_final"),
+    ({**DIRECT, "raw": "json"}, True, "direct_final_json_no_reasoning_trace"),
+    ({"raw": "json"}, True, "raw_json"),
+    ({"raw": "cut json"}, True, "raw_json_wrapper_recovered"),
+    ({"raw": "text"}, True, "raw_plain_text"),
+    ({"raw": '{"other": 1}'}, False, "unrecoverable"),
+    ({**DIRECT, "raw": "text"}, False, "unrecoverable_reasoning_final"),
+]
+CONCLUSIONS = [
+    ({"parsed": "text"}, True, "parsed"),
+    ({"raw": "| A | x |\nConclusion: text"}, True, "raw_markdown_conclusion"),
+    ({**DIRECT, "raw": "| A | x |\nConclusion: text"}, True, "direct_final_markdown_no_reasoning_trace"),
+    ({"raw": "Conclusion: text"}, True, "conclusion_only_response"),
+    ({"raw": "so <conclusion>text</conclusion>"}, True, "conclusion_xml"),
+    ({"raw": "so <conclusion>text"}, True, "conclusion_xml"),
+    ({"raw": "text"}, False, "unavailable"),
+]
+FINALS = [
+    ({"reasoning": "why", "content": "text"}, True, "provider_separated_reasoning"),
+    ({"reasoning": "why", "content": " "}, False, "empty_provider_final_response"),
+    ({"content": "notes\n## Final Answer\ntext"}, True, "markdown_final_answer"),
+    ({"content": "# Final answer: no\n### **Final response**: text"}, True, "markdown_final_response"),
+    ({"content": "text\n# Final answer:"}, False, "empty_markdown_final_response"),
+    ({"content": "well</think> text"}, True, "closed_think_suffix"),
+    ({"content": "text</think>"}, False, "empty_think_suffix"),
+    ({"content": "a[/think]b[/THINK]text"}, True, "closed_bracket_think_suffix"),
+    ({"content": "text[/think]"}, False, "empty_bracket_think_suffix"),
+    ({"content": "text"}, False, "missing_explicit_final_boundary"),
+]
+PLAIN_TURNS = "trim(text) <> '' AND text = trim(text)"
+
+
+def in_ways(spark, sf, cases, names):
+    """Turns with the columns `names`, made by the case that id and turn deal them."""
     body = F.to_json(F.struct(F.col("text").alias("answer")))
-    raw = F.when(F.col("pos") % 2 == 0, body).otherwise(F.substring(body, F.lit(1), F.length(body) - 1))
-    none = F.lit(None).cast("string")
-    return t.select("conv_id", "pos", P.parse_answer(none, F.lit("plain"), none, none, none, raw).alias("p")).select("conv_id", "pos", F.col("p.text").alias("answer"), "p.method")
+    whole = {"text": F.col("text"), "json": body, "cut json": F.substring(body, F.lit(1), F.length(body) - 1)}
 
+    def made(pattern):
+        if pattern is None:
+            return F.lit(None).cast("string")
+        return whole.get(pattern, F.lit(pattern) if "text" not in pattern else F.concat(*[x for i, part in enumerate(pattern.split("text")) for x in ([F.col("text")] if i else []) + [F.lit(part)]]))
 
-@query("SELECT conv_id, turn AS pos, CASE WHEN trim(text) = '' THEN NULL ELSE trim(text) END AS final, CASE turn % 2 WHEN 0 THEN 'markdown_final_answer' ELSE 'closed_think_suffix' END AS method FROM conversations WHERE trim(text) <> '' AND text = trim(text)")
-def extract_final(spark, sf):
+    case = ((F.col("conv_id") + F.col("pos")) % len(cases) + 1).cast("int")
     t = turns(spark, sf).where((X.strip(F.col("text")) != "") & (F.col("text") == F.trim("text")))
-    content = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("notes\n## Final Answer\n"), F.col("text"))).otherwise(F.concat(F.lit("well</think> "), F.col("text")))
-    return t.select("conv_id", "pos", P.parse_final(content, F.lit(None).cast("string")).alias("p")).select("conv_id", "pos", F.col("p.text").alias("final"), "p.method")
+    return t.select("conv_id", "pos", *[F.element_at(F.array(*[made(c.get(n)) for c, _, _ in cases]), case).alias(n) for n in names])
+
+
+def in_ways_sql(cases, column, none="NULL", other={}):
+    """SQL for the rows of `in_ways`; `other` names what some methods find besides the text or `none`."""
+    arms = " ".join(f"WHEN {i} THEN {other.get(label, 'text') if found else none}" for i, (_, found, label) in enumerate(cases))
+    labels = " ".join(f"WHEN {i} THEN '{label}'" for i, (_, _, label) in enumerate(cases))
+    k = f"(conv_id + turn) % {len(cases)}"
+    return f"SELECT conv_id, turn AS pos, CASE {k} {arms} END AS {column}, CASE {k} {labels} END AS method FROM conversations WHERE {PLAIN_TURNS}"
+
+
+@query(in_ways_sql(ANSWERS, "answer"))
+def extract_answer(spark, sf):
+    t = in_ways(spark, sf, ANSWERS, WAYS)
+    return t.select("conv_id", "pos", P.parse_answer(*map(F.col, WAYS)).alias("p")).select("conv_id", "pos", F.col("p.text").alias("answer"), "p.method")
+
+
+# after the label's line the rest of the text goes on with the line end that closed it
+LABELLED = "regexp_replace(text, chr(10), chr(10) || chr(10))"
+
+
+@query(in_ways_sql(CONCLUSIONS, "conclusion", "''", {m: LABELLED for m in ("raw_markdown_conclusion", "direct_final_markdown_no_reasoning_trace")}))
+def extract_conclusion(spark, sf):
+    t = in_ways(spark, sf, CONCLUSIONS, WAYS)
+    return t.select("conv_id", "pos", P.parse_conclusion(*map(F.col, WAYS)).alias("p")).select("conv_id", "pos", F.col("p.text").alias("conclusion"), "p.method")
+
+
+@query(in_ways_sql(FINALS, "final"))
+def extract_final(spark, sf):
+    t = in_ways(spark, sf, FINALS, ["content", "reasoning"])
+    return t.select("conv_id", "pos", P.parse_final(F.col("content"), F.col("reasoning")).alias("p")).select("conv_id", "pos", F.col("p.text").alias("final"), "p.method")
 
 
 @query()

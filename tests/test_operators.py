@@ -85,63 +85,105 @@ def test_judge_scores_are_integers(spark):
     assert [r.v for r in got] == [4, None, None, None, 1] and [r.k for r in got] == [True, True, True, True, False]
 
 
-def test_answers():
-    assert P.qa_content('{"answer": "x"}')[0] == "parsed"
-    assert P.qa_content('<think>a</think>{"answer": "x"}')[0] == "parsed_after_cleanup"
-    assert P.qa_content('```json\n{"answer": "x"}\n```')[:3] == ("parsed_after_cleanup", None, "x")
-    assert P.qa_content('so {"answer": "x"} then')[0] == "parsed_after_cleanup"
-    for bad in ('{"answer": "x", "y": 1}', '{"answer": 1}', "[]", "", "{"):
-        assert P.qa_content(bad)[0] == "raw_fallback"
-    assert P.qa_content('{"answer": "x", "insufficient_evidence": 1}', True)[0] == "raw_fallback"
-
-
-def test_answer_ways():
-    go = lambda raw, **k: P.answer_text(k.get("parsed"), k.get("mode"), k.get("final"), k.get("extraction"), k.get("reasoning"), raw)
-    assert go(None, parsed=" a ") == ("a", "parsed")
-    assert go('{"answer": "a"}') == ("a", "raw_json")
-    assert go('{"answer": "a\\n\\u0041"') == ("a\nA", "raw_json_wrapper_recovered")
-    assert go("plain") == ("plain", "raw_plain_text")
-    assert go('{"other": 1}') == (None, "unrecoverable")
-    assert go(" ", mode="reasoning_final") == (None, "unrecoverable_reasoning_final")
-    direct = {"mode": "reasoning_final", "extraction": "missing_explicit_final_boundary"}
-    assert go('{"answer": "a"}', **direct) == ("a", "direct_final_json_no_reasoning_trace")
-    assert go('{"answer": "a", "b": 1}', **direct) == (None, "unrecoverable_reasoning_final")
+def parsed_by(spark, parser, rows, names):
+    """The parser's structs for rows of strings, in order."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{n} string" for n in names))
+    return [r.p for r in df.select("i", parser(*(F.col(n) for n in names)).alias("p")).orderBy("i").collect()]
+
+
+def test_answers(spark):
+    good = [("parsed", '{"answer": "x"}'), ("parsed", ' {"answer": "a \\n b"} '), ("parsed", '{"answer": "w", "answer": "x"}')]
+    good += [("parsed_after_cleanup", t) for t in ('<think>a</think>{"answer": "x"}', '```json\n{"answer": "x"}\n```', 'so {"answer": "x"} then', '{"answer": "x"} then', '```\n{"answer": "x"}')]
+    bad = ['{"answer": "x", "y": 1}', '{"answer": 1}', "[]", "", None, "{", '{"answer": "x"}{"answer": "x"}', "{'answer': 'x'}", '{"answer": null}', '"answer"', '{"answer": "x"],"end":true}']
+    got = parsed_by(spark, P.parse_qa, [(t,) for _, t in good] + [(t,) for t in bad], ["c"])
+    assert [p.status for p in got] == [s for s, _ in good] + ["raw_fallback"] * len(bad)
+    assert [p.answer for p in got[: len(good)]] == ["x", "a \n b"] + ["x"] * (len(good) - 2)
+    assert all(p.answer is None and p.error for p in got[len(good) :])
+    two = ['{"answer": "x", "insufficient_evidence": true}', '{"answer": "x", "insufficient_evidence": 1}', '{"answer": "x"}']
+    got = parsed_by(spark, lambda c: P.parse_qa(c, True), [(t,) for t in two], ["c"])
+    assert [(p.status, p.insufficient_evidence) for p in got] == [("parsed", True), ("raw_fallback", None), ("raw_fallback", None)]
+
 
+WAYS = ["parsed", "mode", "final", "extraction", "reasoning", "raw"]
 
-def test_final_ways():
-    assert P.final_response("x", "why") == ("x", "provider_separated_reasoning")
-    assert P.final_response(" ", "why") == (None, "empty_provider_final_response")
-    assert P.final_response("a\n## Final Answer: b\nc") == ("b\nc", "markdown_final_answer")
-    assert P.final_response("# **final response**\n") == (None, "empty_markdown_final_response")
-    assert P.final_response("a</think>b") == ("b", "closed_think_suffix")
-    assert P.final_response("a[/THINK]") == (None, "empty_bracket_think_suffix")
-    assert P.final_response("a") == (None, "missing_explicit_final_boundary")
 
+def ways(raw, **k):
+    return tuple({**k, "raw": raw}.get(n) for n in WAYS)
 
-def test_simulations():
-    turns = "<discussion>\n<turn 1> Surgeon: a\nb\n<turn 2> Nurse: c\n</discussion>\n<conclusion>One. Two.</conclusion>"
-    got = P.simulation(turns)
-    assert got["status"] == "parsed" and got["discussion"] == [{"role": "Surgeon", "response": "a\n\nb"}, {"role": "Nurse", "response": "c"}]
-    assert P.simulation(turns.replace("turn 2", "turn 3"))["warnings"] == ["turn numbers are not 1..N in order"]
-    assert P.simulation(turns.replace("</discussion>", ""))["status"] == "parsed_with_warnings"
-    assert P.simulation("<turn 1> A: b")["status"] == "raw_fallback"
-    table = "| Role | Response |\n|---|---|\n| **A** | x |\nmore\n| B | y |\n**Conclusion:** One. Two."
-    got = P.simulation("<think>z</think>" + table)
-    assert got["status"] == "parsed_after_cleanup" and got["discussion"] == [{"role": "A", "response": "x |\nmore"}, {"role": "B", "response": "y"}]
-    assert "duplicate specialist roles" in P.simulation(table.replace("| B |", "| a |"))["warnings"]
+
+def test_answer_ways(spark):
+    direct = {"mode": "reasoning_final", "extraction": "missing_explicit_final_boundary"}
+    cases = [
+        (ways(None, parsed=" a "), ("a", "parsed")), (ways('{"answer": "b"}', parsed=" "), (None, "unrecoverable")),
+        (ways('{"answer": "a"}'), ("a", "raw_json")), (ways('```json\n{"answer": "a", "b": 2}\n```'), ("a", "raw_json")), (ways('{"answer": " "}'), (None, "unrecoverable")),
+        (ways('{"answer": "a\\n\\u0041'), ("a\nA", "raw_json_wrapper_recovered")), (ways('{"Answer":"a \\ud83d\\ude00 \\q" }'), ("a \U0001f600 \\q", "raw_json_wrapper_recovered")), (ways('{"answer": ""} '), (None, "unrecoverable")),
+        (ways("plain"), ("plain", "raw_plain_text")), (ways("```\nplain\n```"), ("plain", "raw_plain_text")),
+        (ways('{"other": 1}'), (None, "unrecoverable")), (ways("[1"), (None, "unrecoverable")), (ways('""'), (None, "unrecoverable")), (ways(None), (None, "unrecoverable")), (ways(" \n"), (None, "unrecoverable")),
+        (ways(" ", mode="reasoning_final"), (None, "unrecoverable_reasoning_final")), (ways("x", mode="reasoning_final", final='{"answer": "f"}'), ("f", "raw_json")),
+        (ways('{"answer": "a"}', **direct), ("a", "direct_final_json_no_reasoning_trace")), (ways('{"answer": "a", "b": 1}', **direct), (None, "unrecoverable_reasoning_final")),
+        (ways('{"answer": "a"}', reasoning="r", **direct), (None, "unrecoverable_reasoning_final")),
+    ]
+    assert [tuple(p) for p in parsed_by(spark, P.parse_answer, [c for c, _ in cases], WAYS)] == [w for _, w in cases]
+
+
+def test_final_ways(spark):
+    cases = [
+        (("x", "why"), ("x", "provider_separated_reasoning")), ((" ", "why"), (None, "empty_provider_final_response")),
+        (("a\n## Final Answer: b\nc", None), ("b\nc", "markdown_final_answer")), (("# final response: x\n# Final  Answer\n\ny", None), ("y", "markdown_final_response")),
+        (("# **final response**\n", None), (None, "empty_markdown_final_response")),
+        (("a</think>b</think >c", None), ("c", "closed_think_suffix")), (("a</think> ", None), (None, "empty_think_suffix")),
+        (("a[/think]b", None), ("b", "closed_bracket_think_suffix")), (("a[/THINK]", None), (None, "empty_bracket_think_suffix")),
+        (("a", None), (None, "missing_explicit_final_boundary")), ((None, None), (None, "missing_explicit_final_boundary")),
+    ]
+    assert [tuple(p) for p in parsed_by(spark, P.parse_final, [c for c, _ in cases], ["content", "reasoning"])] == [w for _, w in cases]
+
+
+TURNS = "<discussion>\n<turn 1> **Surgeon**: a\nb\n<turn 2> Nurse: c\n</discussion>\n<conclusion>One. Two.</conclusion>"
+TABLE = "| Role | Response |\n|---|---|\n| **A** | x |\nmore\n| B | y |\n**Conclusion:** One. Two."
+
+
+def test_simulations(spark):
+    texts = [
+        TURNS, TURNS.replace("turn 2", "turn 3"), TURNS.replace("</discussion>", "").replace("<discussion>", "\U0001f600"), "<turn 1> A: b", TURNS.replace("One. Two.", " "), TURNS.replace("Two.", ""), "<think>z</think>" + TURNS,
+        TURNS.replace("Nurse", "Insufficient_Evidence"), TURNS.replace("</conclusion>", ""),
+        "<think>z</think>" + TABLE, TABLE.replace("| B |", "| a |"), "```\n" + TABLE + "\n```", TABLE.replace("**Conclusion:**", "## conclusion:"), "before\n" + TABLE, "no table\nConclusion: x", "nothing", None,
+    ]
+    got = parsed_by(spark, P.parse_simulation, [(t,) for t in texts], ["c"])
+    assert [p.status for p in got] == [
+        "parsed", "parsed_with_warnings", "parsed_with_warnings", "raw_fallback", "raw_fallback", "parsed_with_warnings", "parsed_after_cleanup", "parsed_with_warnings", "parsed_with_warnings",
+        "parsed_after_cleanup", "parsed_with_warnings", "parsed", "parsed", "parsed", "raw_fallback", "raw_fallback", "raw_fallback",
+    ]
+    assert [tuple(r) for r in got[0].discussion] == [("Surgeon", "a\n\nb"), ("Nurse", "c")]
+    assert (got[0].conclusion, got[0].discussion_row_count, got[0].unique_role_count, got[0].conclusion_sentence_count) == ("One. Two.", 2, 2, 2)
+    assert [p.warnings for p in (got[i] for i in (1, 2, 3, 4, 5, 7, 8))] == [
+        ["turn numbers are not 1..N in order"], ["missing <discussion> tag", "missing </discussion> tag"], ["missing <conclusion> section"], ["missing turns or conclusion text"],
+        ["expected a 2-4 sentence conclusion, found approximately 1"], ["disallowed insufficient_evidence role"], ["missing </conclusion> tag"],
+    ]
+    assert all([tuple(r) for r in got[i].discussion] == [("A", "x |\nmore"), ("B", "y")] and got[i].conclusion == "One. Two." for i in (9, 11, 12, 13))
+    assert got[10].warnings == ["duplicate specialist roles"] and (got[10].discussion_row_count, got[10].unique_role_count) == (2, 1)
+    assert [p.warnings for p in got[14:]] == [["missing table rows or conclusion text"], ["missing Conclusion section"], ["missing Conclusion section"]]
+
+
+def test_conclusions(spark):
+    direct = {"mode": "reasoning_final", "extraction": "missing_explicit_final_boundary"}
+    cases = [
+        (ways(TABLE, parsed=" p "), ("p", "parsed")), (ways(TURNS, parsed=" "), ("One. Two.", "raw_markdown_conclusion")),
+        (ways("Conclusion: do it."), ("do it.", "conclusion_only_response")), (ways("a <conclusion>do it"), ("do it", "conclusion_xml")), (ways("<conclusion> do it </conclusion> x"), ("do it", "conclusion_xml")),
+        (ways("| A | x |\nConclusion: y."), ("y.", "raw_markdown_conclusion")), (ways("| A | x |\nConclusion: y.", **direct), ("y.", "direct_final_markdown_no_reasoning_trace")),
+        (ways(" " + TURNS, reasoning="r", **direct), ("One. Two.", "conclusion_xml")), (ways("nothing"), ("", "unavailable")), (ways(None), ("", "unavailable")),
+    ]
+    assert [tuple(p) for p in parsed_by(spark, P.parse_conclusion, [c for c, _ in cases], WAYS)] == [w for _, w in cases]
 
 
-def test_conclusions():
-    go = lambda raw: P.conclusion_text(None, None, None, None, None, raw)
-    assert go("Conclusion: do it.") == ("do it.", "conclusion_only_response")
-    assert go("<conclusion>do it") == ("do it", "conclusion_xml")
-    assert go("| A | x |\nConclusion: y.") == ("y.", "raw_markdown_conclusion")
-    assert go("nothing") == ("", "unavailable")
+def test_judge_output_text(spark):
+    schema = "i int, o array<struct<type:string,content:array<struct<type:string,text:string>>>>"
+    rows = [(0, [("note", [("output_text", "no")]), ("message", [("refusal", "no"), ("output_text", None), ("output_text", "yes")])]), (1, []), (2, None), (3, [("message", [])])]
+    got = spark.createDataFrame(rows, schema).select("i", P.judge_output_text(F.col("o")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == ["yes", None, None, None]
 
 
 def test_webvtt(spark):
     text = "WEBVTT\nKind: captions\n\n1\n00:00 --> 00:01\n hello \nthere\nNOTE x\n"
-    assert P.webvtt_text(text) == "hello there"
     assert spark.range(1).select(readers.vtt_text(F.lit(text))).first()[0] == "hello there"
 
 
