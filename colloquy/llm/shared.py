@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import gc
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,30 +14,48 @@ BROADCAST_BYTES = 32 << 20
 
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        base = context_dir or "file:///tmp/colloquy-checkpoints"
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """`df` written as Parquet below the shared folder and read again; this cuts the lineage."""
+#: Lets Spark drop the shuffle files of a write once it is done; nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """`df` written to `path` as Parquet and read again; this cuts the lineage, and its shuffle files go."""
     spark = df.sparkSession
-    path = work_dir(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of jobs whose result is stored already.
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """`df` in a new folder below the shared one (see `written`)."""
+    return written(df, work_dir(df.sparkSession, label))
 
-    Python's references reach the JVM with some delay, so a second collection follows the first.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
+
+class Scratch:
+    """Tables that one run of an operator stores and drops again, by name."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.base = spark, work_dir(spark, label)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, f"{self.base}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later step reads; without a name, all of them."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in [f"{self.base}/{n}" for n in names] or [self.base]:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

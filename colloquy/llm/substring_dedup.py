@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from colloquy.llm import blocks as B
 from colloquy.llm import repeats as R
-from colloquy.llm.shared import release, text_bytes
+from colloquy.llm.shared import text_bytes
 
 #: Candidate windows a hash range is planned for, if all windows were candidates.
 RANGE_WINDOWS = 2_000_000
@@ -35,7 +35,6 @@ def repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     total = text_bytes(docs, text_col)
     source = R.keyed(docs.select(id_col, text_col), id_col, text_col)
     anchors = R.possibly_repeated(source, text_col, "words", window, gram, total)
-    release(spark)
     parts = max(1, round(total / 6 / RANGE_WINDOWS + 0.5))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +112,6 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     `_at` are reserved.
     """
     found = repeated_windows(docs, window, id_col, text_col).withColumnRenamed("at", "_at")
-    release(docs.sparkSession)
     joined = R.keyed(docs, id_col, text_col).join(found.hint("shuffle_hash"), "_key", "left")
     extra = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     passed = [f for f in docs.schema if f.name not in {x.name for x in extra}]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from colloquy.llm import blocks as B
 from colloquy.llm import repeats as R
-from colloquy.llm.shared import release, stored, text_bytes
+from colloquy.llm.shared import stored, text_bytes
 
 #: Bytes in the grams that serve as anchors.
 GRAM = 32
@@ -294,14 +294,12 @@ def repeated_strings(docs: DataFrame, window: int = 200, id_col: str = "doc_id",
     spark = docs.sparkSession
     source = R.keyed(docs.select(id_col, text_col), id_col, text_col)
     anchors = R.possibly_repeated(source, text_col, "bytes", window, GRAM, text_bytes(docs, text_col))
-    release(spark)
     marked = anchors.agg(F.sum(F.aggregate("at", F.lit(0).cast("long"), lambda s, x: s + (F.length(x) / 4).cast("long")))).first()[0] or 0
     shards = max(1, round(marked * 300 / SHARD_BYTES + 0.5))
     joined = source.join(anchors.hint("shuffle_hash"), "_key")
     sent = joined.select("_key", text_col, "at", "level").mapInArrow(_segments(window, text_col, shards), _SENT)
     merges = max(1, round(marked * 100 / MERGE_WINDOWS + 0.5))
     settled = stored(sent.groupBy("shard").applyInArrow(_repeats(window, merges), _SETTLED), "settled-shards")
-    release(spark)
     merged = settled.where("merge is not null").select("merge", "first", "second", "keys", "at").groupBy("merge").applyInArrow(_merge, "merge int, " + R.replied("runs"))
     # a merge range replies for documents of many blocks; spread those by the range
     merged = merged.select((-F.col("merge") - 1).cast("long").alias("block"), "keys", "docs", "runs")
@@ -323,7 +321,6 @@ def dedup_strings(docs: DataFrame, window: int = 200, id_col: str = "doc_id", te
     replaced; `_key` and `_runs` are reserved.
     """
     found = repeated_strings(docs, window, id_col, text_col).withColumnRenamed("runs", "_runs")
-    release(docs.sparkSession)
     joined = R.keyed(docs, id_col, text_col).join(found.hint("shuffle_hash"), "_key", "left")
     extra = [T.StructField("kept_bytes", T.BinaryType())] + [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")]
     passed = [f for f in docs.schema if f.name not in {x.name for x in extra}]

@@ -201,23 +201,6 @@ def test_language_id(spark):
     assert {r.lang_pred for r in identify(df, learn(df.limit(0))).collect()} == {"und"}
 
 
-def test_lm_scores(docs):
-    held = F.coalesce(F.col("doc_id") == 9, F.lit(False))
-    got = pitman_yor.scored(docs.drop("kept"), held).collect()
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = lambda t: WORD.findall((t or "").translate(low)) + [None]
-    counts = Counter(x for r in docs.collect() if r.doc_id != 9 for x in tokens(r.text))
-    n, v = sum(counts.values()), len(counts)
-    assert len(got) == docs.count()
-    for r in got:
-        t = tokens(r.text)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(counts[x] > 0 for x in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), rel=1e-9)
-        assert r.score < 0
-    learned = [r for r in got if r.doc_id in (1, 2)]
-    assert all(r.score > r.base_score for r in learned)
-
-
 def test_warc_round_trip(spark):
     big = "<p>é" + "x" * 1200
     rows = [(1, "http://b.com/x", big), (2, "http://a.com/", big), (3, None, None), (4, "http://a.com/y", "tiny"), (5, "http://a.com/z", "tiny"), (None, "http://c.com", "n\r\n\r\nm")]
