@@ -12,7 +12,7 @@ import zstandard
 def squeezed(**arrays: np.ndarray) -> bytes:
     """Named arrays as one compressed blob."""
     head = ";".join(f"{k},{a.dtype.str},{len(a)}" for k, a in arrays.items()).encode()
-    body = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays.values())
+    body = b"".join(planes(a).tobytes() for a in arrays.values())
     return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(body)
 
 
@@ -22,11 +22,17 @@ def opened(blob: bytes) -> dict[str, np.ndarray]:
     for part in blob[4 : 4 + n].decode().split(";"):
         name, kind, count = part.split(",")
         kind, count = np.dtype(kind), int(count)
-        out[name] = np.frombuffer(body, kind, count, at)
+        raw = np.frombuffer(body, np.uint8, kind.itemsize * count, at)
+        out[name] = np.ascontiguousarray(raw.reshape(kind.itemsize, count).T).view(kind).ravel() if count else np.zeros(0, kind)
         at += kind.itemsize * count
     return out
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones, and so on: bytes that are alike stand together."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T if len(x) else x
+
+
 def slim(x: np.ndarray) -> np.ndarray:
     """Whole numbers from 0 on in the smallest type that holds them."""
     most = int(x.max()) if len(x) else 0

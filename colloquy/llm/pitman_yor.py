@@ -69,12 +69,17 @@ def _numbered(text_col: str):
             vocabulary, token = np.unique(words, return_inverse=True)
             held = batch.column("_held").to_numpy(zero_copy_only=False).astype(np.uint8)
             rows = {k: batch.column(f"_{k}").to_numpy() for k in ("row1", "row2")}
-            blob = squeezed(**rows, held=held, sizes=slim(np.diff(first) + 1), words=vocabulary, tokens=slim(token))
+            blob = squeezed(**rows, held=held, sizes=slim(np.diff(first) + 1), words=np.diff(vocabulary, prepend=B.U64(0)), tokens=slim(token))
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((next(numbers), pa.int64()), (len(words), pa.int64()), (n, pa.int64()), (blob, pa.binary()))], names=["block", "tokens", "texts", "blob"])
 
     return run
 
 
+def read_block(blob: bytes) -> dict[str, np.ndarray]:
+    block = opened(blob)
+    return block | {"words": np.cumsum(block["words"], dtype=B.U64)}
+
+
 class Deal:
     """Which shard holds a pair or a word; `sliced` contexts are dealt over `slices` shards, by what follows."""
 
@@ -133,7 +138,7 @@ def _ask(make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist()):
-                yield from as_rows(list(make(number, opened(blob))), ["part", "block", "blob"], [pa.int32(), pa.int64(), pa.binary()])
+                yield from as_rows(list(make(number, read_block(blob))), ["part", "block", "blob"], [pa.int32(), pa.int64(), pa.binary()])
 
     return run
 
@@ -156,7 +161,7 @@ def _pairs_asked(deal: Deal):
         for p, a, b in runs(pairs.part):
             c, d = np.searchsorted(pairs.heads, (a, b))
             heads = pairs.heads[c:d]
-            yield p, number, squeezed(contexts=pairs.words[pairs.context[heads]], sizes=slim(np.diff(own[c : d + 1])), words=pairs.words[pairs.word[a:b]], counts=slim(pairs.count[a:b]))
+            yield p, number, squeezed(contexts=np.diff(pairs.words[pairs.context[heads]], prepend=B.U64(0)), sizes=slim(np.diff(own[c : d + 1])), words=pairs.words[pairs.word[a:b]], counts=slim(pairs.count[a:b]))
 
     return _ask(make)
 
@@ -212,7 +217,7 @@ def _context_shard(deal: Deal):
     def run(group: pa.Table) -> pa.Table:
         part, blocks, asks = _asks(group)
         sizes = [a["sizes"].astype(np.int64) for a in asks]
-        contexts, context_of = np.unique(_together(asks, "contexts"), return_inverse=True)
+        contexts, context_of = np.unique(np.concatenate([np.cumsum(a["contexts"], dtype=B.U64) for a in asks]), return_inverse=True)
         of_pair, words = np.repeat(context_of, np.concatenate(sizes)), _together(asks, "words")
         order = np.lexsort((words, of_pair))
         new = np.append(True, (of_pair[order][1:] != of_pair[order][:-1]) | (words[order][1:] != words[order][:-1]))
@@ -404,9 +409,9 @@ def _word_replies(group: pa.Table) -> pa.Table:
 def _scores(deal: Deal, n: int, v: int, samples: list[Sums]):
     """Per text of a block: its tokens, known tokens, base score and score."""
 
-    def run(group: pa.Table) -> pa.Table:
-        found = sorted(zip(group.column("kind").to_pylist(), group.column("part").to_pylist(), group.column("blob").to_pylist()))
-        block = opened(found[-1][2])
+    def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        found = sorted(zip(replies.column("kind").to_pylist(), replies.column("part").to_pylist(), replies.column("blob").to_pylist()))
+        block = read_block(blocks.column("blob")[0].as_py())
         of_pairs, of_words = ([opened(b) for k, _, b in found if k == kind] for kind in (0, 1))
         pairs = Pairs(block, deal)
         order, _ = word_order(pairs.words[:-1], deal)
@@ -489,7 +494,7 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
 
 def _found(scratch: Scratch, source: DataFrame, text_col: str, shard_tokens: int) -> tuple[DataFrame, int]:
     """Stored results by row, and the tokens learned."""
-    blocks = scratch.store(source.mapInArrow(_numbered(text_col), "block long, tokens long, texts long, blob binary"), "blocks")
+    blocks = scratch.buckets(source.mapInArrow(_numbered(text_col), "block long, tokens long, texts long, blob binary"), "block")
     tokens, texts = (x or 0 for x in blocks.agg(F.sum("tokens"), F.sum("texts")).first())
     shards = -(-tokens // shard_tokens) or 1
     least = max(1, tokens // min(shards, MOST_SLICED)) + 1
@@ -522,7 +527,6 @@ def _found(scratch: Scratch, source: DataFrame, text_col: str, shard_tokens: int
     replies = "block long, kind byte, part int, blob binary"
     of_pairs = _grouped(only(contexts, STATIC, ASKED).unionByName(only(now, STATE)), shards, _context_replies(deal, samples), replies)
     of_words = _grouped(only(words, STATIC, ASKED).unionByName(only(before, STATE)), shards, _word_replies, replies)
-    texts_ = blocks.select("block", F.lit(2).cast("byte").alias("kind"), F.lit(0).alias("part"), "blob")
     schema = "_row1 long, _row2 long, n_tokens long, n_known long, base_score double, score double"
-    all_of = of_pairs.unionByName(of_words).unionByName(texts_).groupBy("block").applyInArrow(_scores(deal, n, v, samples), schema)
+    all_of = blocks.groupBy("block").cogroup(of_pairs.unionByName(of_words).groupBy("block")).applyInArrow(_scores(deal, n, v, samples), schema)
     return stored(all_of.dropDuplicates(["_row1", "_row2"]), "lm-scores"), n

@@ -19,8 +19,8 @@ import numpy as np
 
 from colloquy.llm.blocks import U64, mix
 
-#: Proposals of a Gibbs step, and dishes that are seated at a time.
-PROPOSALS = 4
+#: Proposals of a Gibbs step of three customers or more, and dishes that are seated at a time.
+PROPOSALS = 3
 CHUNK = 1 << 14
 #: How far the weight of new tables bears on what a table costs later on; it sets how many proposals are taken, not what they lead to.
 AHEAD = 0.15
@@ -50,9 +50,8 @@ def proposed(customers: np.ndarray, weight: np.ndarray, step: np.ndarray, discou
     seatings of later customers lighter, by about ((seated + AHEAD * new) / (all + AHEAD * new))
     ** (discount - step) in all: the process has that in its chances, or it would open far too many.
     """
-    tables, gain = np.ones(len(customers), np.int64), np.zeros(len(customers))
-    own = np.flatnonzero(customers > 1)
-    c, w, s, k = customers[own].astype(np.float64), weight[own], step[own], key[own]
+    tables, gain, own = np.ones(len(customers), np.int64), np.zeros(len(customers)), np.arange(len(customers))
+    c, w, s, k = customers.astype(np.float64), weight, step, key
     t, seated, drawn = np.ones(len(own)), np.ones(len(own)), 0
     while len(own):
         new = w + s * t
@@ -70,8 +69,10 @@ def proposed(customers: np.ndarray, weight: np.ndarray, step: np.ndarray, discou
         calm = -rate * ((y + wait) ** bend - y**bend)
         opened = np.log(-np.expm1(-rate * ((y + wait + 1) ** bend - (y + wait) ** bend)))
         chance = np.where(opens, np.log(at_once), np.log1p(-at_once) + calm + np.where(more, opened, 0.0))
-        joined = lgamma(until - discount * t) - lgamma(seated - discount * t)
-        gain[own] += joined + np.where(more, np.log(new), 0.0) - chance
+        gain[own] += np.where(more, np.log(new), 0.0) - chance
+        joins = np.flatnonzero(~opens)
+        base = discount * t[joins]
+        gain[own[joins]] += lgamma(until[joins] - base) - lgamma(seated[joins] - base)
         t, seated, drawn = t + more, until + 1, drawn + 2
         tables[own] = t.astype(np.int64)
         live = more & (seated < c)
@@ -81,15 +82,16 @@ def proposed(customers: np.ndarray, weight: np.ndarray, step: np.ndarray, discou
 
 def seated(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength: float, key: np.ndarray, proposals: int = PROPOSALS) -> np.ndarray:
     """Tables of each dish after a Gibbs step, given the tables of the `others` in its restaurant and the parent's chance of the dish."""
-    tables = (customers > 0).astype(np.int64)
-    live = np.flatnonzero(customers > 1)  # who comes alone has a table of their own
+    tables = (customers > 0).astype(np.int64)  # who comes alone has a table of their own
+    two = np.flatnonzero(customers == 2)
+    new = (strength + discount * (others[two] + 1)) * parent[two]
+    tables[two] += uniform(mix(key[two]), 0) < new / (new + 1 - discount)
+    live = np.flatnonzero(customers > 2)
+    live = live[np.argsort(customers[live], kind="stable")]  # a chunk is done when its largest dish is
     for at in range(0, len(live), CHUNK):
         own = live[at : at + CHUNK]
         c, weight, step, keys = customers[own], (strength + discount * others[own]) * parent[own], discount * parent[own], mix(key[own])
         best, gain = proposed(c, weight, step, discount, keys)
-        tables[own] = best
-        three = c > 2  # for two customers the proposal has the very chances of the step
-        own, c, weight, step, keys, best, gain = own[three], c[three], weight[three], step[three], keys[three], best[three], gain[three]
         for n in range(1, proposals):
             keys = mix(keys + U64(n))
             other, its = proposed(c, weight, step, discount, keys)

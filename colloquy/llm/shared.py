@@ -45,13 +45,27 @@ class Scratch:
     """Tables that one run of an operator stores and drops again, by name."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base = spark, work_dir(spark, label)
+        self.spark, self.base, self.bucketed = spark, work_dir(spark, label), []
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         return written(df, f"{self.base}/{name}")
 
+    def buckets(self, df: DataFrame, column: str) -> DataFrame:
+        """`df` as a table of the warehouse in buckets of `column`, so that what is joined by it comes to the table and not the table to it."""
+        n, name = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"colloquy_{uuid.uuid4().hex}"
+        self.bucketed.append(name)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.repartition(n, column).write.bucketBy(n, column).saveAsTable(name)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        return self.spark.table(name)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads; without a name, all of them."""
+        while not names and self.bucketed:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.bucketed.pop()}")
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in [f"{self.base}/{n}" for n in names] or [self.base]:
             folder = jvm.org.apache.hadoop.fs.Path(path)
