@@ -2,13 +2,14 @@
 
 A window (so many words, or bytes) is represented by its anchor, the least hash among the
 shorter grams in it. Equal windows have equal anchors, so the count of an anchor is at least
-the count of each window around it. Every task ships the non-zero cells of its sketch of
-anchor counts, cut by hash range; for each range the tasks' sketches are merged (added) and
-read back. Cells may be shared, so counts are only ever too large: no repeated window is lost,
-and a few that do not repeat pass and fall out in the exact pass that follows.
-
-What a task knows by itself is settled there: an anchor that it saw twice repeats for sure, so
-only its cell is sent, and a very frequent anchor costs one entry a task.
+the count of each window around it. Every task counts its anchors by 32-bit prints and ships
+the counters that aren't zero, cut by hash range, each with where its anchors stand; for each
+range the tasks' counters are added into one table of two rows of cells, and read back. Cells
+may be shared, so counts are only ever too large: no repeated window is lost, and a few that do
+not repeat pass and fall out in the exact pass that follows.
+
+A very frequent anchor costs a task one counter. The table has a fixed number of cells a range,
+and there are as many ranges as the corpus asks for, so the share of false passes stays.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import blocks as B
+from colloquy.llm.blobs import runs
 from colloquy.llm.shared import stored
 
 #: Anchors a hash range is planned for, and cells in each of the two rows of its sketch.
@@ -31,7 +33,7 @@ SKETCH_CELLS_LOG2 = 24
 #: Anchors (or windows) a task holds before it sends them.
 HELD = 1_500_000
 
-_SENT = "part int, block long, keys binary, cells binary, docs binary, at binary, twice binary, known binary, known_docs binary, known_at binary"
+_SENT = "part int, block long, keys binary, cells binary, docs binary, at binary, twice binary, times binary, known binary, known_docs binary, known_at binary"
 
 
 class Units:
@@ -115,20 +117,17 @@ def _cells(held: list, parts: int, block: int) -> Iterator[pa.RecordBatch]:
     heads = np.flatnonzero(new)
     sizes = np.diff(np.append(heads, len(grams)))
     alone = np.repeat(sizes == 1, sizes)
-    part = (grams >> B.U64(32)) % B.U64(parts)
-    by_part = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[by_part], np.arange(parts + 1, dtype=B.U64))
+    part = ((grams >> B.U64(32)) % B.U64(parts)).astype(np.int64)
+    by_part, size_of = np.argsort(part, kind="stable"), np.repeat(sizes, sizes)
     rows = []
-    for p in range(parts):
-        own = by_part[bounds[p] : bounds[p + 1]]
-        if not len(own):
-            continue
+    for p, a, b in runs(part[by_part]):
+        own = by_part[a:b]
         single, known = own[alone[own]], own[~alone[own]]
         used, renumbered = np.unique(doc[own], return_inverse=True)
         of = dict(zip(("single", "known"), (renumbered[alone[own]], renumbered[~alone[own]])))
         twice = own[new[own] & ~alone[own]]
-        rows.append((p, block, B.packed(keys[used], np.int64), B.packed(grams[single], np.uint32), B.packed(of["single"], np.uint32), B.packed(at[single], np.uint32), B.packed(grams[twice], np.uint32), B.packed(grams[known], np.uint32), B.packed(of["known"], np.uint32), B.packed(at[known], np.uint32)))
-    yield from as_rows(rows, ["part", "block", "keys", "cells", "docs", "at", "twice", "known", "known_docs", "known_at"], [pa.int32(), pa.int64()] + [pa.binary()] * 8)
+        rows.append((p, block, B.packed(keys[used], np.int64), B.packed(grams[single], np.uint32), B.packed(of["single"], np.uint32), B.packed(at[single], np.uint32), B.packed(grams[twice], np.uint32), B.packed(size_of[twice], np.uint32), B.packed(grams[known], np.uint32), B.packed(of["known"], np.uint32), B.packed(at[known], np.uint32)))
+    yield from as_rows(rows, ["part", "block", "keys", "cells", "docs", "at", "twice", "times", "known", "known_docs", "known_at"], [pa.int32(), pa.int64()] + [pa.binary()] * 9)
 
 
 def as_rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType], each: int = 64) -> Iterator[pa.RecordBatch]:
@@ -203,14 +202,14 @@ def _repeated(group: pa.Table) -> pa.Table:
     """Anchors of one hash range whose estimated count is 2 or more."""
     keys = arrays_of(group, "keys", np.int64)
     docs, known_docs = shifted(keys, arrays_of(group, "docs", np.uint32), arrays_of(group, "known_docs", np.uint32))
-    cells, twice = (arrays_of(group, x, np.uint32) for x in ("cells", "twice"))
+    cells, twice, times = (arrays_of(group, x, np.uint32) for x in ("cells", "twice", "times"))
     known = np.concatenate(arrays_of(group, "known", np.uint32))
     asked = np.concatenate([*cells, known])
     estimate = None
     for factor in (1, 0x9E3779B1):
         row = np.zeros(1 << SKETCH_CELLS_LOG2, np.uint32)
-        for part, weight in [*((c, 1) for c in cells), *((t, 2) for t in twice)]:
-            np.add.at(row, _cell(part, factor), np.uint32(weight))
+        for prints, counts in [*((c, np.uint32(1)) for c in cells), *zip(twice, times)]:
+            np.add.at(row, _cell(prints, factor), counts)
         counts = row[_cell(asked, factor)]
         estimate = counts if estimate is None else np.minimum(estimate, counts)
         del row

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from colloquy.llm import blocks as B
 from colloquy.llm import repeats as R
+from colloquy.llm.blobs import runs
 from colloquy.llm.shared import text_bytes
 
 #: Candidate windows a hash range is planned for, if all windows were candidates.
@@ -27,7 +28,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     """Stored rows (_key, at list of binary uint32): starts of the windows that also start earlier.
 
     First pass: count-min estimates (see `repeats`). Second pass: the windows estimated repeated
-    are grouped by 96 bits of two independent hashes of their word sequence; in each group all
+    are grouped by 128 bits of two independent hashes of their word sequence; in each group all
     but the one with the smallest (id, start) are returned. A task settles its own repeats and
     sends one occurrence of each sequence, so a sequence met everywhere costs one entry a task.
     """
@@ -44,7 +45,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
             marked, _ = R.marks_of(batch.column("at"), units.first)
             at, _, _ = R.candidates(units, window, gram, marked)
             first = B.gram_hashes(units.codes, window)[at]
-            second = B.gram_hashes(units.codes2, window, 1)[at].astype(np.uint32)
+            second = B.gram_hashes(units.codes2, window, 1)[at]
             doc = units.doc_of(at)
             ids = pc.fill_null(batch.column(id_col).cast(pa.int64()), -(2**63)).to_numpy()
             held.append((first, doc, second, at - units.first[doc], ids[doc], batch.column("_key").to_numpy()))
@@ -66,17 +67,14 @@ def _send(held: list, parts: int, block: int) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((at, ids, second, first))
     first, doc, second, at, ids = (x[order] for x in (first, doc, second, at, ids))
     leads = _leads(first, second, ids, at)
-    part = (first >> B.U64(32)) % B.U64(parts)
+    part = ((first >> B.U64(32)) % B.U64(parts)).astype(np.int64)
     by_part = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[by_part], np.arange(parts + 1, dtype=B.U64))
     rows = []
-    for p in range(parts):
-        own = by_part[bounds[p] : bounds[p + 1]]
-        if not len(own):
-            continue
+    for p, a, b in runs(part[by_part]):
+        own = by_part[a:b]
         used, head, of = np.unique(doc[own], return_index=True, return_inverse=True)
         lead = leads[own]
-        rows.append((p, block, B.packed(ids[own][head], np.int64), B.packed(keys[used], np.int64), B.packed(first[own][lead], np.uint64), B.packed(second[own][lead], np.uint32), B.packed(of[lead], np.uint32), B.packed(at[own][lead], np.uint32), B.packed(of[~lead], np.uint32), B.packed(at[own][~lead], np.uint32)))
+        rows.append((p, block, B.packed(ids[own][head], np.int64), B.packed(keys[used], np.int64), B.packed(first[own][lead], np.uint64), B.packed(second[own][lead], np.uint64), B.packed(of[lead], np.uint32), B.packed(at[own][lead], np.uint32), B.packed(of[~lead], np.uint32), B.packed(at[own][~lead], np.uint32)))
     yield from R.as_rows(rows, ["part", "block", "ids", "keys", "first", "second", "docs", "at", "known_docs", "known_at"], [pa.int32(), pa.int64()] + [pa.binary()] * 8)
 
 
@@ -91,7 +89,7 @@ def _leads(first: np.ndarray, second: np.ndarray, ids: np.ndarray, at: np.ndarra
 def _later(group: pa.Table) -> pa.Table:
     keys, ids = R.arrays_of(group, "keys", np.int64), np.concatenate(R.arrays_of(group, "ids", np.int64))
     docs, known_docs = R.shifted(keys, R.arrays_of(group, "docs", np.uint32), R.arrays_of(group, "known_docs", np.uint32))
-    first, second, at, known_at = (np.concatenate(R.arrays_of(group, name, kind)) for name, kind in (("first", np.uint64), ("second", np.uint32), ("at", np.uint32), ("known_at", np.uint32)))
+    first, second, at, known_at = (np.concatenate(R.arrays_of(group, name, kind)) for name, kind in (("first", np.uint64), ("second", np.uint64), ("at", np.uint32), ("known_at", np.uint32)))
     order = np.lexsort((at, ids[docs], second, first))
     docs, at = docs[order], at[order]
     later = ~_leads(first[order], second[order], ids[docs], at)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from colloquy.llm import blocks as B
 from colloquy.llm import repeats as R
+from colloquy.llm.blobs import runs
 from colloquy.llm.shared import stored, text_bytes
 
 #: Bytes in the grams that serve as anchors.
@@ -24,7 +25,7 @@ MAX_STARTS = 4096
 MERGE_WINDOWS = 500_000
 
 _SENT = "shard long, block long, split int, text binary, lengths binary, weights binary, keys binary, docs binary, at binary, known_docs binary, known_at binary, known_starts binary"
-_SETTLED = R.replied("runs") + ", merge int, shard long, first binary, second binary, at binary"
+_SETTLED = R.replied("runs") + ", merge int, shard long, strings binary, at binary"
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, lanes: np.ndarray, steps:
     return shared
 
 
-def _segments(window: int, text_col: str, shards: int):
+def _segments(window: int, text_col: str, shards: int, shard_bytes: int):
     """Runs of candidate windows with one anchor, as (class, text, number of windows), sent to the class's shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,15 +141,15 @@ def _segments(window: int, text_col: str, shards: int):
             text = [units.data[a:b].tobytes() for a, b in zip(starts, ends)]
             held.append((anchor[heads], doc[heads], starts - units.first[doc[heads]], counts, spots, *hashes, np.array(text, object), batch.column("_key").to_numpy()))
             size += int((ends - starts).sum())
-            if size >= 8 * SHARD_BYTES:
-                yield from _send(held, shards, next(blocks))
+            if size >= 8 * shard_bytes:
+                yield from _send(held, shards, next(blocks), window, shard_bytes)
                 held, size = [], 0
-        yield from _send(held, shards, next(blocks))
+        yield from _send(held, shards, next(blocks), window, shard_bytes)
 
     return run
 
 
-def _send(held: list, shards: int, block: int) -> Iterator[pa.RecordBatch]:
+def _send(held: list, shards: int, block: int, window: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     (anchor, doc, at, counts, level, first, second, text), keys = R.join_held(held)
@@ -160,7 +161,8 @@ def _send(held: list, shards: int, block: int) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(np.append(heads, len(first)))
     alone = np.repeat(sizes == 1, sizes)
     group_level = np.maximum.reduceat(level, heads)
-    pieces = np.maximum(1, (2.0 ** (group_level.astype(np.float64) + 1) * 300 / SHARD_BYTES).astype(np.int64))
+    # a class has an anchor's estimated count of segments, each of a window and the places that share its anchor
+    pieces = np.maximum(1, (2.0 ** (group_level.astype(np.float64) + 1) * 1.5 * window / shard_bytes).astype(np.int64))
     shard = (anchor[heads] >> B.U64(20)) % B.U64(shards)
     # pieces of a split class are told apart by the segment's own hash, so equal segments meet
     target = shard.astype(np.int64) + np.where(pieces > 1, 1 + (first[heads] % pieces.astype(B.U64)).astype(np.int64), 0) * shards
@@ -234,7 +236,7 @@ def _repeats(window: int, merges: int):
             lone = np.zeros(len(base), np.int64)
             lone[rep] = np.arange(len(rep))
             rows = _for_merge(text, window, spots, label, total, owner, base, docs[lone], at[lone], np.concatenate(keys), merges, int(group.column("shard")[0].as_py()))
-        kinds = [pa.int64()] + [pa.binary()] * 3 + [pa.int32(), pa.int64()] + [pa.binary()] * 3
+        kinds = [pa.int64()] + [pa.binary()] * 3 + [pa.int32(), pa.int64()] + [pa.binary()] * 2
         none = [pa.nulls(out.num_rows, k) for k in kinds[4:]]
         names = [x.split()[0] for x in _SETTLED.split(", ")]
         settled = pa.Table.from_arrays([*found, *none], names=names)
@@ -253,74 +255,80 @@ def _runs(where: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _for_merge(text, window, spots, label, total, owner, base, docs, at, keys, merges, shard) -> list[tuple]:
-    """Each distinct window of a piece of a split class, in sorted order, with its place if the piece has not settled it."""
-    heads = np.flatnonzero(np.append(True, np.diff(label) != 0))
-    lead = spots[heads]
-    first, second = (B.range_hash(B.sums_of(B.byte_codes(text, w), w), lead, lead + window, w) for w in (0, 1))
-    order = np.lexsort((second, first))
-    lead, first, second, settled = lead[order], first[order], second[order], (total[label[heads]] >= 2)[order]
+    """Each distinct window of a piece of a split class, with its place if the piece has not settled it: dealt to ranges, in suffix order there."""
+    heads = np.flatnonzero(np.append(True, np.diff(label) != 0)) if len(label) else np.zeros(0, np.int64)
+    lead, settled = spots[heads], total[label[heads]] >= 2
     own = owner[lead]
     key, place = keys[docs[own]], np.where(settled, -1, at[own] + lead - base[own])
-    part = ((first >> B.U64(32)) * B.U64(merges)) >> B.U64(32)
-    bounds = np.searchsorted(part, np.arange(merges + 1, dtype=B.U64))
+    part = (B.range_hash(B.sums_of(B.byte_codes(text)), lead, lead + window) % B.U64(merges)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    strings = np.lib.stride_tricks.sliding_window_view(text, window) if len(text) >= window else None
     return [
-        (None, B.packed(key[a:b], np.int64), None, None, p, shard, B.packed(first[a:b], np.uint64), B.packed(second[a:b], np.uint64), B.packed(place[a:b], np.int64))
-        for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))
-        if b > a
+        (None, B.packed(key[own_], np.int64), None, None, p, shard, strings[lead[own_]].tobytes(), B.packed(place[own_], np.int64))
+        for p, own_ in ((p, order[a:b]) for p, a, b in runs(part[order]))
     ]
 
 
-def _merge(group: pa.Table) -> pa.Table:
+def _merge(window: int):
     """Windows of one range that a binary search finds in the sorted list of another shard as well."""
-    firsts, seconds, keys, places = (R.arrays_of(group, c, k) for c, k in (("first", np.uint64), ("second", np.uint64), ("keys", np.int64), ("at", np.int64)))
-    everything, other = np.concatenate(firsts), np.concatenate(seconds)
-    order = np.lexsort((other, everything))
-    everything, other = everything[order], other[order]
-    found_keys, found_runs = [], []
-    for first, second, key, place in zip(firsts, seconds, keys, places):
-        low, high = np.searchsorted(everything, first, "left"), np.searchsorted(everything, first, "right")
-        hits = [i for i in np.flatnonzero((high - low >= 2) & (place >= 0)) if (other[low[i] : high[i]] == second[i]).sum() >= 2]
-        found_keys.append(key[hits])
-        found_runs.append(np.stack([place[hits], place[hits] + 1], axis=1))
-    found_keys, number = np.unique(np.concatenate(found_keys), return_inverse=True)
-    row = (group.column("merge")[0].as_py(), 0, found_keys.tobytes(), number.astype(np.uint32).tobytes(), np.concatenate(found_runs).tobytes())
-    # a range may have nothing left to report: all settled by the pieces, or met once
-    rows = [row] if len(found_keys) else []
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int32(), pa.int64()] + [pa.binary()] * 3)], names=["merge", "block", "keys", "docs", "runs"])
-
-
-def repeated_strings(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored rows (_key, runs list of binary int64 pairs): starts [from, to) of byte windows that start elsewhere too."""
-    spark = docs.sparkSession
+
+    def run(group: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, np.dtype((np.void, window))) for x in group.column("strings").to_pylist()]
+        keys, places = (R.arrays_of(group, c, np.int64) for c in ("keys", "at"))
+        # the lists are in suffix order each, so sorting all of them merges runs
+        everything = np.sort(np.concatenate(lists), kind="stable")
+        found_keys, found_runs = [], []
+        for strings, key, place in zip(lists, keys, places):
+            open_ = np.flatnonzero(place >= 0)
+            low, high = (np.searchsorted(everything, strings[open_], side) for side in ("left", "right"))
+            hits = open_[high - low >= 2]
+            found_keys.append(key[hits])
+            found_runs.append(np.stack([place[hits], place[hits] + 1], axis=1))
+        found_keys, number = np.unique(np.concatenate(found_keys), return_inverse=True)
+        row = (group.column("merge")[0].as_py(), 0, found_keys.tobytes(), number.astype(np.uint32).tobytes(), np.concatenate(found_runs).tobytes())
+        # a range may have nothing left to report: all settled by the pieces, or met once
+        rows = [row] if len(found_keys) else []
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int32(), pa.int64()] + [pa.binary()] * 3)], names=["merge", "block", "keys", "docs", "runs"])
+
+    return run
+
+
+def settled_shards(docs: DataFrame, window: int, id_col: str, text_col: str, shard_bytes: int = SHARD_BYTES, merge_windows: int = MERGE_WINDOWS) -> DataFrame:
+    """Stored replies of the shards: runs of windows that start twice there, and (merge is not null) windows that other shards may have."""
     source = R.keyed(docs.select(id_col, text_col), id_col, text_col)
     anchors = R.possibly_repeated(source, text_col, "bytes", window, GRAM, text_bytes(docs, text_col))
     marked = anchors.agg(F.sum(F.aggregate("at", F.lit(0).cast("long"), lambda s, x: s + (F.length(x) / 4).cast("long")))).first()[0] or 0
-    shards = max(1, round(marked * 300 / SHARD_BYTES + 0.5))
+    shards = max(1, round(marked * 1.5 * window / shard_bytes + 0.5))
     joined = source.join(anchors.hint("shuffle_hash"), "_key")
-    sent = joined.select("_key", text_col, "at", "level").mapInArrow(_segments(window, text_col, shards), _SENT)
-    merges = max(1, round(marked * 100 / MERGE_WINDOWS + 0.5))
-    settled = stored(sent.groupBy("shard").applyInArrow(_repeats(window, merges), _SETTLED), "settled-shards")
-    merged = settled.where("merge is not null").select("merge", "first", "second", "keys", "at").groupBy("merge").applyInArrow(_merge, "merge int, " + R.replied("runs"))
+    sent = joined.select("_key", text_col, "at", "level").mapInArrow(_segments(window, text_col, shards, shard_bytes), _SENT)
+    merges = max(1, round(marked * 100 / merge_windows + 0.5))
+    return stored(sent.groupBy("shard").applyInArrow(_repeats(window, merges), _SETTLED), "settled-shards")
+
+
+def repeated_strings(settled: DataFrame, window: int) -> DataFrame:
+    """Stored rows (_key, runs list of binary int64 pairs): starts [from, to) of byte windows that start elsewhere too."""
+    merged = settled.where("merge is not null").select("merge", "strings", "keys", "at").groupBy("merge").applyInArrow(_merge(window), "merge int, " + R.replied("runs"))
     # a merge range replies for documents of many blocks; spread those by the range
     merged = merged.select((-F.col("merge") - 1).cast("long").alias("block"), "keys", "docs", "runs")
     return R.by_document(settled.where("merge is null").select("block", "keys", "docs", "runs").unionByName(merged), "runs")
 
 
-def dedup_strings(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_strings(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, merge_windows: int = MERGE_WINDOWS) -> DataFrame:
     """`docs` with kept_bytes, n_bytes, n_removed and n_spans: bytes in a string of `window` bytes that also starts elsewhere are removed.
 
     Texts are taken as UTF-8; matches never cross texts, may overlap, and are judged on the
     input. All copies go, the first included. Windows whose anchor may repeat (see `repeats`)
     are cut out as segments; segments with the same anchor meet in one shard, where a suffix
-    array and common prefixes group their windows. A class of segments too large for a shard is
-    split over several, and their sorted windows are merged by binary search.
+    array and common prefixes group their windows. A class of segments larger than `shard_bytes`
+    is split over several shards; what these don't settle alone, windows in suffix order, is
+    merged by ranges: a binary search on the bytes finds the windows that other shards have too.
 
     Null text: empty. Texts shorter than `window` keep all. Each row is a document of its own,
     also where rows are alike in id and text. A null id is an id. Text of any length is taken
     whole. An empty table gives an empty result. Columns of `docs` with a result's name are
     replaced; `_key` and `_runs` are reserved.
     """
-    found = repeated_strings(docs, window, id_col, text_col).withColumnRenamed("runs", "_runs")
+    found = repeated_strings(settled_shards(docs, window, id_col, text_col, shard_bytes, merge_windows), window).withColumnRenamed("runs", "_runs")
     joined = R.keyed(docs, id_col, text_col).join(found.hint("shuffle_hash"), "_key", "left")
     extra = [T.StructField("kept_bytes", T.BinaryType())] + [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")]
     passed = [f for f in docs.schema if f.name not in {x.name for x in extra}]

@@ -39,8 +39,7 @@ def test_substring_dedup(docs):
 
 
 @pytest.mark.parametrize("shard_bytes", [3 << 20, 500])
-def test_suffix_dedup(docs, monkeypatch, shard_bytes):
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
+def test_suffix_dedup(docs, shard_bytes):
     texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     seen = Counter(t[i : i + 50] for _, t in texts for i in range(len(t) - 49))
     want = []
@@ -51,7 +50,7 @@ def test_suffix_dedup(docs, monkeypatch, shard_bytes):
                 gone[i : i + 50] = b"\1" * 50
         spans = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(t)))
         want.append((d, len(t), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest()))
-    got = suffix_dedup.dedup_strings(docs, window=50).withColumn("h", F.sha2("kept_bytes", 256))
+    got = suffix_dedup.dedup_strings(docs, window=50, shard_bytes=shard_bytes).withColumn("h", F.sha2("kept_bytes", 256))
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "h") == sorted(want, key=str)
 
 
