@@ -12,6 +12,8 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Terms of each window, from the rarest on, whose posting lists are intersected.
 TERMS = 2
+#: Marks that the keys of candidate texts are mapped to; as many rows are broadcast at most.
+MARKS = 1 << 18
 
 
 def lowered(word: Column) -> Column:
@@ -41,8 +43,8 @@ def posting_index(keyed: DataFrame, terms: DataFrame, count: int, text_col: str)
     return stored(tokens.join(small(terms.select("word"), count, 64), "word"), "postings")
 
 
-def hits_of(keyed: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
-    """Stored (_key, start, words) for each place where the words of one of `windows` (words, distinct) stand."""
+def window_terms(keyed: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
+    """Stored (words, lists) for each window (distinct) all of whose words stand in some text: its TERMS rarest terms as (n, offset, word)."""
     terms = windows.select("words", F.posexplode("words").alias("offset", "word"))
     vocabulary = stored(terms.select("word").distinct(), "vocabulary")
     counted = _tokens(keyed, text_col).join(small(vocabulary, vocabulary.count(), 64), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -51,28 +53,68 @@ def hits_of(keyed: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
     ranked = terms.join(small(counts, counts.count(), 64), "word", "left")
     order = F.array_sort(F.collect_list(F.struct("n", "offset", "word")))
     lists = ranked.groupBy("words").agg(order.alias("lists"), F.count("n").alias("known")).where(F.col("known") == F.size("words"))
-    lists = stored(lists.select("words", F.slice("lists", 1, TERMS).alias("lists")), "window-terms")
+    return stored(lists.select("words", F.slice("lists", 1, TERMS).alias("lists")), "window-terms")
+
+
+def postings_of(keyed: DataFrame, lists: DataFrame, text_col: str) -> DataFrame:
+    """Stored posting lists (word, _key, pos) of the windows' chosen terms."""
     chosen = stored(lists.select(F.explode("lists.word").alias("word")).distinct(), "chosen-terms")
-    postings = posting_index(keyed, chosen, chosen.count(), text_col)
-    n_lists = lists.count()
+    return posting_index(keyed, chosen, chosen.count(), text_col)
+
+
+def anchored(lists: DataFrame, postings: DataFrame) -> DataFrame:
+    """(_key, pos, words, lists) for each place of the rarest term of each window."""
     first = lists.withColumn("word", F.col("lists")[0]["word"])
-    found = postings.join(small(first, n_lists, 512), "word").select("_key", (F.col("pos") - F.col("lists")[0]["offset"]).alias("start"), "words", "lists").where("start >= 0")
+    return postings.join(small(first, lists.count(), 512), "word").select("_key", "pos", "words", "lists")
+
+
+def nth_term(k: int) -> Column:
+    """The k-th of a window's chosen terms; the first again where it has fewer."""
+    return F.coalesce(F.get("lists", F.lit(k)), F.col("lists")[0])
+
+
+def hits_of(keyed: DataFrame, lists: DataFrame, postings: DataFrame, text_col: str) -> DataFrame:
+    """Stored (_key, start, words) for each place where the words of one of the windows stand."""
+    found = anchored(lists, postings).withColumn("start", F.col("pos") - F.col("lists")[0]["offset"]).where("start >= 0")
     for k in range(1, TERMS):
         other = postings.select("_key", F.col("word").alias("_word"), F.col("pos").alias("_pos"))
-        nth = F.get(F.col("lists"), F.lit(k))
-        placed = found.withColumn("_word", F.coalesce(nth["word"], F.col("lists")[0]["word"])).withColumn("_pos", F.col("start") + F.coalesce(nth["offset"], F.col("lists")[0]["offset"]))
+        placed = found.withColumns({"_word": nth_term(k)["word"], "_pos": F.col("start") + nth_term(k)["offset"]})
         found = placed.join(other, ["_key", "_word", "_pos"], "left_semi").drop("_word", "_pos")
     found = stored(found.select("_key", "start", "words").distinct(), "candidates")
-    # the remaining terms are compared where they stand in the text
-    by_doc = found.groupBy("_key").agg(F.collect_list(F.struct("start", "words")).alias("places"))
-    places = stored(by_doc, "places")
-    texts = keyed.select("_key", text_col).join(places.hint("shuffle_hash"), "_key")
+    # the remaining terms are compared where they stand in the text; of the other texts nearly none moves
+    places = stored(found.groupBy("_key").agg(F.collect_list(F.struct("start", "words")).alias("places")), "places")
+    mark = F.pmod(F.xxhash64("_key"), F.lit(MARKS))
+    marks = stored(found.select(mark.alias("_mark")).distinct(), "marks")
+    texts = keyed.select("_key", text_col, mark.alias("_mark")).join(F.broadcast(marks), "_mark", "left_semi").select("_key", text_col).join(places.hint("shuffle_hash"), "_key")
     holds = let(F.transform(words_of(F.col(text_col)), lowered), lambda words: F.filter(F.col("places"), lambda p: F.slice(words, p["start"] + 1, F.size(p["words"])) == p["words"]))
     kept = texts.select("_key", F.explode(holds).alias("p")).select("_key", "p.start", "p.words")
     return stored(kept.distinct(), "hits")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def near_of(lists: DataFrame, postings: DataFrame, near: int) -> DataFrame:
+    """Stored (_key, words) for each window whose chosen terms stand in a text within `near` words of a place of the rarest, in any order.
+
+    Places are met by stretches of `near` words, so a frequent term costs its postings and not
+    their pairs.
+    """
+    found = anchored(lists, postings)
+    for k in range(1, TERMS):
+        other = postings.select("_key", F.col("word").alias("_word"), F.floor(F.col("pos") / near).alias("_stretch"), F.col("pos").alias("_pos"))
+        stretch = F.floor(F.col("pos") / near)
+        spread = found.withColumns({"_word": nth_term(k)["word"], "_stretch": F.explode(F.array(stretch - 1, stretch, stretch + 1))}).alias("a")
+        b = other.alias("b")
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("_key", "_word", "_stretch")]
+        found = spread.join(b, [*same, F.abs(F.col("a.pos") - F.col("b._pos")) <= near], "left_semi").select("_key", "pos", "words", "lists").distinct()
+    return stored(found.select("_key", "words").distinct(), "near")
+
+
+def by_text(found: DataFrame, item_windows: DataFrame, name: str) -> DataFrame:
+    """(_key, `name`: sorted ids of the items whose windows are among `found` (_key, words))."""
+    named = found.select("_key", "words").distinct().join(item_windows.distinct(), "words").select("_key", "item").distinct()
+    return named.groupBy("_key").agg(F.array_sort(F.collect_list("item")).alias(name))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", near: int | None = None) -> DataFrame:
     """`docs` with n_words, n_hit, items (sorted item ids as strings) and contaminated.
 
     A-Z are lower-cased; words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. A window is `window`
@@ -85,6 +127,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent:
     each position is moved back by the term's place in the window; what is left is compared
     word by word. No text is cut, and no list is capped.
 
+    With `near`, a column near_items holds the ids of items with a proximity match: one of their
+    windows has its rarest terms within `near` words of each other's rarest, in any order. It
+    comes from the same posting lists, takes no part in the verdict, and holds all of items.
+
     Null or empty text: no words, not contaminated. Null items or ones without words have no
     window; a null item id is written as an empty one. Rows alike in id and text have equal
     results. Empty tables give empty results, or results without hits. Columns of `docs` with a
@@ -92,15 +138,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent:
     """
     keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash")))
     item_windows = stored(windows_of(items, window, item_id, item_text), "item-windows")
-    hits = hits_of(keyed.select("_key", text_col).where(F.col(text_col).isNotNull()), item_windows.select("words").distinct(), text_col)
+    texts = keyed.select("_key", text_col).where(F.col(text_col).isNotNull())
+    lists = window_terms(texts, item_windows.select("words").distinct(), text_col)
+    postings = postings_of(texts, lists, text_col)
+    hits = hits_of(texts, lists, postings, text_col)
     spans = hits.select("_key", "start", (F.col("start") + F.size("words")).alias("end"))
     before = F.max("end").over(Window.partitionBy("_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))), F.lit(0))
     n_hit = spans.select("_key", fresh.alias("n")).groupBy("_key").agg(F.sum("n").cast("long").alias("_n_hit"))
-    named = hits.select("_key", "words").distinct().join(item_windows.distinct(), "words").select("_key", "item").distinct()
-    of_items = named.groupBy("_key").agg(F.array_sort(F.collect_list("item")).alias("_items"))
-    found = stored(n_hit.join(of_items, "_key"), "contaminated")
-    n_bytes = found.agg(F.sum(F.size("_items") * 32 + 128)).first()[0] or 0
+    found = n_hit.join(by_text(hits, item_windows, "_items"), "_key")
+    if near is not None:
+        found = found.join(by_text(near_of(lists, postings, max(near, window)), item_windows, "_near_items"), "_key", "full")
+    found = stored(found, "contaminated")
+    n_bytes = found.agg(F.sum(sum(F.coalesce(F.size(c), F.lit(0)) * 32 for c in found.columns if c.endswith("_items")) + 128)).first()[0] or 0
     joined = keyed.join(small(found, 1, n_bytes), "_key", "left")
     n_words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     results = {
@@ -108,5 +158,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent:
         "n_hit": F.coalesce("_n_hit", F.lit(0).cast("long")),
         "items": F.coalesce("_items", F.array().cast("array<string>")),
     }
+    if near is not None:
+        results["near_items"] = F.coalesce("_near_items", F.array().cast("array<string>"))
     out = joined.withColumns(results).withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
     return out.select(*(c for c in docs.columns if c not in (*results, "contaminated")), *results, "contaminated")

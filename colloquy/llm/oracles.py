@@ -101,10 +101,13 @@ WITH p AS (
          strftime(DATE '2024-01-01' + (page_id * 37 % 365)::INT, '%Y-%m-%dT%H:%M:%SZ') AS timestamp
   FROM pages
 ),
-m AS (SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+m AS (SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest),
+u AS (SELECT page_id, url, regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)', ['h', 't']) AS x FROM p),
+k AS (SELECT page_id, CASE WHEN x.h = '' THEN lower(url) ELSE rtrim(regexp_replace(x.h, '^www[0-9]*\.', ''), '.') || ' ' || coalesce(nullif(rtrim(x.t, '/'), ''), '/') END AS urlkey FROM u),
+n AS (SELECT page_id, row_number() OVER (PARTITION BY urlkey ORDER BY timestamp, page_id) AS capture FROM k JOIN p USING (page_id))
 SELECT page_id, payload_bytes, p.payload_digest AS payload_digest, CASE WHEN page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id <> keep THEN keep END AS refers_to, url, timestamp
-FROM p LEFT JOIN m ON m.payload_digest = p.payload_digest AND p.payload_bytes >= 1000
+       CASE WHEN page_id <> keep THEN keep END AS refers_to, url, timestamp, capture
+FROM p JOIN n USING (page_id) LEFT JOIN m ON m.payload_digest = p.payload_digest AND p.payload_bytes >= 1000
 """
 
 URL_FILTERS = r"""

@@ -178,7 +178,7 @@ def learn_rules(labelled: DataFrame, bad: Column, id_col: str = "doc_id") -> lis
     rows = stored(known.where(F.col("_draw") < int(share * (1 << 20)) + 1).select("_bad", "_draw", *counts), "labelled")
     points = [i / (THRESHOLDS + 1) for i in range(1, THRESHOLDS + 1)]
     made = features()
-    both = rows.groupBy("_bad").agg(*[F.percentile_approx(c, points, 2000).alias(f) for f, c in made.items()]).collect()
+    both = rows.groupBy("_bad").agg(*[F.percentile(c, points).alias(f) for f, c in made.items()]).collect()
     if len(both) < 2:
         return []
     values = {f: sorted({v for r in both for v in r[f]}) for f in made}

@@ -37,7 +37,7 @@ def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archived(captured(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "timestamp")
+    return archived(captured(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "timestamp", "capture")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

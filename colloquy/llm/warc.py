@@ -11,10 +11,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.shared import small, stored, work_dir
@@ -39,6 +40,11 @@ def urlkey(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (match[2].lower().rstrip("/") or "/")
 
 
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of `uri` and the path in it; Spark's names for S3 are those of its Hadoop clients."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def record_id(page_id: int | None) -> str:
     return f"<urn:capture:{'none' if page_id is None else page_id}>"
 
@@ -105,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name = f"{folder}/captures-{context.partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
-        system, path = pafs.FileSystem.from_uri(name)
+        system, path = opened(name)
         system.create_dir(path.rpartition("/")[0], recursive=True)
         index, at = [], 0
         with system.open_output_stream(path, compression=None) as out:
@@ -215,19 +221,35 @@ def merged_index(runs: DataFrame) -> DataFrame:
         rows = list(LoserTree([list(zip(*(t.column(i).to_pylist() for i in range(8)))) for t in slices]))
         columns = [list(c) for c in zip(*rows)]
         out = [pa.array(c, k) for c, k in zip(columns, KINDS)]
-        return pa.Table.from_arrays([pa.array([number] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int64()), *out], names=["range", "place", *NAMES[:8]])
+        # captures of one URL key stand together, so they are numbered by where their key begins
+        new = np.append(True, np.array([a != b for a, b in zip(columns[0][1:], columns[0])], bool))
+        nth = np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0)) + 1
+        return pa.Table.from_arrays([pa.array([number] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int64()), pa.array(nth, pa.int64()), *out], names=["range", "place", "nth", *NAMES[:8]])
 
-    schema = "range int, place long, " + ", ".join(INDEX.split(", ")[:8])
+    schema = "range int, place long, nth long, " + ", ".join(INDEX.split(", ")[:8])
     return runs.mapInArrow(cut, sent).groupBy("range").applyInArrow(merge, schema)
 
 
+def histories(index: DataFrame) -> DataFrame:
+    """`index` with `capture`: the place of each capture in the history of its URL key, from 1 on.
+
+    Within a range that is `nth`; only a key with which a range begins may have captures in the
+    ranges before, and there are no more such keys than ranges.
+    """
+    going_on = index.where("place = 0 and range > 0").select("urlkey").distinct()
+    counts = index.select("urlkey", "range").join(going_on, "urlkey", "left_semi").groupBy("urlkey", "range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("urlkey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = counts.select("urlkey", "range", before.alias("_before")).where("_before is not null")
+    return index.join(earlier, ["urlkey", "range"], "left").withColumn("capture", F.col("nth") + F.coalesce("_before", F.lit(0))).drop("_before", "nth")
+
+
 def read_archives(index: DataFrame) -> DataFrame:
-    """The records that `index` points to, read from the archives: page_id, url, timestamp, record_type, refers_to, payload_bytes, payload_digest, payload, range, place.
+    """The records that `index` points to, read from the archives: page_id, url, timestamp, record_type, refers_to, payload_bytes, payload_digest, payload, range, place, capture.
 
     Size and digest of a response are those of the payload that is read; a revisit has them
     from its headers, and no payload. A response whose payload doesn't match its header fails.
     """
-    schema = "page_id long, url string, timestamp string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, range int, place long"
+    schema = "page_id long, url string, timestamp string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, range int, place long, capture long"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32()}
 
@@ -239,7 +261,7 @@ def read_archives(index: DataFrame) -> DataFrame:
                 for r in batch.slice(a, 64).to_pylist():
                     if r["file"] != name:
                         name = r["file"]
-                        system, path = pafs.FileSystem.from_uri(name)
+                        system, path = opened(name)
                         source = system.open_input_file(path)
                     found = parsed(zlib.decompress(source.read_at(r["length"], r["offset"]), 31))
                     size, digest = found["size"], found["digest"]
@@ -247,23 +269,23 @@ def read_archives(index: DataFrame) -> DataFrame:
                         size, digest = len(found["payload"]), hashlib.sha1(found["payload"]).hexdigest()
                         if (size, digest) != (found["size"], found["digest"]):
                             raise ValueError(f"payload of {found['page_id']} in {name} at {r['offset']} doesn't match its digest")
-                    rows.append((found["page_id"], found["url"], found["timestamp"], found["record_type"], found["refers_to"], size, digest, found["payload"], r["range"], r["place"]))
+                    rows.append((found["page_id"], found["url"], found["timestamp"], found["record_type"], found["refers_to"], size, digest, found["payload"], r["range"], r["place"], r["capture"]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows), schema.split(", "))], names=names)
 
     chunk = F.floor(F.col("offset") / CHUNK_BYTES)
-    wanted = index.select("file", "offset", "length", "range", "place")
+    wanted = index.select("file", "offset", "length", "range", "place", "capture")
     return wanted.repartition("file", chunk).sortWithinPartitions("file", "offset").mapInArrow(read, schema)
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str = "fetched") -> DataFrame:
     """Writes `pages` as WARC archives, merges their index, and reads every capture back by it.
 
-    Rows of `read_archives`; (range, place) is the place in the capture history, by URL key, time
-    and page. Null payload: an empty one. Null url: an empty key. Null time: an empty date. A
+    Rows of `read_archives`; (range, place) is the place in the order of all captures, by URL key,
+    time and page, and `capture` the place in the history of the URL key. Null payload: an empty one. Null url: an empty key. Null time: an empty date. A
     null id is written as none and read as null, and sorts first. Rows alike are each archived;
     rows that share the largest id of a payload are all responses. Other columns are not read.
     An empty table gives an empty result.
     """
     folder = work_dir(pages.sparkSession, "warc")
     runs = write_archives(pages, folder, id_col, url_col, payload_col, time_col)
-    return read_archives(stored(merged_index(runs), "capture-index"))
+    return read_archives(histories(stored(merged_index(runs), "capture-index")))

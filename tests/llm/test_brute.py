@@ -151,13 +151,22 @@ def test_mixing(docs):
 
 
 def test_quality_statistics(docs):
+    lines = [(20, "# a|b\n# a|b\n\n \n&amp; $5 *\n# a|b", "", "", 0, ""), (21, "x y\nx y \nx y", "", "", 0, "")]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(lines, docs.schema))
+    found = {(r.doc_id, r.n_words): r for r in quality_rules.quality(docs, docs.selectExpr("doc_id", "1 as quality").limit(0)).collect()}
     for r in quality_rules.statistics(docs).collect():
         t = r.text or ""
         w = WORD.findall(t)
         grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         twice = Counter(grams)
         again = {i + k for i, g in enumerate(grams) if twice[g] > 1 for k in range(3)}
-        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(again))
+        seen, twice_lines = set(), 0
+        for line in t.split("\n"):
+            twice_lines += bool(WORD.search(line)) and line in seen
+            seen.add(line)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), twice_lines, len(again))
+        one = found[r.doc_id, len(w)]
+        assert one.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and one.kept == (not one.base_failed)
 
 
 def test_rules_find_the_bad_ones(spark):
@@ -168,6 +177,30 @@ def test_rules_find_the_bad_ones(spark):
     assert quality_rules.quality(df, df.select("doc_id", "quality").limit(0)).where("not kept").count() == 0
 
 
+def test_rules_cover_several_features(spark):
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for i in range(1200):
+        if i % 6 == 0:  # bad by symbols
+            text = " ".join("#" + word(4) for _ in range(60))
+        elif i % 6 == 1:  # bad by long words, but only in short texts
+            text = " ".join(word(14) for _ in range(60))
+        elif i % 6 == 2:  # good: long words in long texts
+            text = " ".join(word(14) for _ in range(200))
+        else:
+            text = " ".join(word(rnd.choice([3, 4, 5, 6])) for _ in range(rnd.choice([60, 100, 200])))
+        rows.append((i, text, int(i % 6 > 1)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    known, rest = df.where("doc_id < 800"), df.where("doc_id >= 800")
+    stats = quality_rules.statistics(known.select("doc_id", "text")).join(known.select("doc_id", "quality"), "doc_id")
+    rules = quality_rules.learn_rules(stats, F.col("quality") == 0)
+    assert len(rules) >= 2 and any(len(r.conditions) > 1 for r in rules)
+    assert [r.conditions for r in quality_rules.learn_rules(stats.repartition(7), F.col("quality") == 0)] == [r.conditions for r in rules]
+    got = quality_rules.judged(quality_rules.statistics(rest.select("doc_id", "text")), rules).select("doc_id", "kept").collect()
+    assert sum(r.kept == (r.doc_id % 6 > 1) for r in got) >= 0.97 * len(got)
+
+
 def test_contamination(docs, spark):
     items = spark.createDataFrame([(1, "W5 w6 w7"), (2, " ".join(f"w{i}" for i in range(30, 50))), (3, None), (4, ""), (5, "not there at all"), (2, "w1")], "item_id long, text string")
     word = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -190,6 +223,29 @@ def test_contamination(docs, spark):
     assert rows_of(got, "doc_id", "n_words", "n_hit", "items", "contaminated") == sorted(want, key=str)
 
 
+def test_proximity(spark):
+    word = re.compile(r"[a-z0-9]+")
+    rnd = random.Random(8)
+    texts = [(d, " ".join(rnd.choice([f"c{k % 4}" for k in range(20)] + [f"r{k}" for k in range(9)]) for _ in range(rnd.choice([3, 40, 160])))) for d in range(40)] + [(40, None), (41, "")]
+    items = [(1, "r0 c0 r1"), (2, "r2 c1 c1 c2 r3 c3"), (3, "r4"), (4, "r0 nowhere r1"), (5, None), (6, texts[5][1][:40].rsplit(" ", 1)[0])]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    counts = Counter(w for _, t in texts for w in word.findall(t or ""))
+    want = {d: set() for d, _ in texts}
+    for item, t in items:
+        w = word.findall(t or "")
+        for x in [w[i : i + 5] for i in range(max(1, len(w) - 4))] if w else []:
+            terms = sorted((counts[y], i, y) for i, y in enumerate(x))[:2]
+            if all(counts[y] for y in x):
+                for d, text in texts:
+                    at = [[i for i, y in enumerate(word.findall(text or "")) if y == term] for _, _, term in terms]
+                    if any(all(any(abs(p - q) <= 9 for q in other) for other in at[1:]) for p in at[0]):
+                        want[d].add(str(item))
+    got = decontamination.contamination(docs, bench, window=5, near=9).collect()
+    assert {r.doc_id: r.near_items for r in got} == {d: sorted(x) for d, x in want.items()}
+    assert all(set(r["items"]) <= set(r.near_items) for r in got) and any(set(r.near_items) - set(r["items"]) for r in got)
+    assert "near_items" not in decontamination.contamination(docs, bench, window=5).columns
+
+
 def test_language_id(spark):
     texts = {"aa": "the cat and the dog went to the old house ", "bb": "el gato y el perro van a la casa vieja "}
     rows = [(i, texts[lang] * (1 + i % 3), lang) for i, lang in enumerate(["aa", "bb"] * 20)] + [(98, None, "aa"), (99, "12 34", "bb")]
@@ -214,6 +270,25 @@ def test_warc_round_trip(spark):
     assert [r.page_id for r in placed] == [3, 2, 4, 5, 1, None]
 
 
+def test_capture_histories_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 5)  # read on the driver
+    rows = [(i, f"http://www.h{i % 3 if i % 4 else 0}.com/", "x", f"2024-0{1 + i % 7}-01") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, day string").withColumn("fetched", F.to_date("day")).repartition(4)
+    index = warc.merged_index(warc.write_archives(pages.select("page_id", "url", "html", "fetched"), warc.work_dir(spark, "warc")).withColumn("mark", F.lit(True)))
+    got = warc.histories(index).collect()
+    assert len({r.range for r in got}) > 3
+    history = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[3], r[0])):
+        history.setdefault(r[1], []).append(r[0])
+    assert {r.page_id: r.capture for r in got} == {page: i for x in history.values() for i, page in enumerate(x, 1)}
+
+
+def test_warc_of_an_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string, fetched date")
+    assert warc.archived(pages).count() == 0
+    assert warc.opened("file:///tmp/x")[1] == "/tmp/x"
+
+
 def test_loser_tree():
     rnd = random.Random(1)
     for k in (1, 2, 3, 7):
