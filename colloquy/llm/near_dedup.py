@@ -219,7 +219,7 @@ def _plausible_joins(threshold: float):
     return run
 
 
-def _verified_joins(percent: int):
+def _verified_joins(percent: int, bitmap_bytes: int):
     """Links, by the full sets, that join the components in one block pair of a plausible cluster."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -231,7 +231,7 @@ def _verified_joins(percent: int):
         shared = counts[number] > 1
         number, owner = (np.cumsum(counts > 1) - 1)[number[shared]], owner[shared]
         width = (int((counts > 1).sum()) + 63) // 64
-        if len(sets) * width * 8 <= BITMAP_BYTES:
+        if len(sets) * width * 8 <= bitmap_bytes:
             bits = np.zeros((len(sets), width), B.U64)
             np.bitwise_or.at(bits, (owner, number // 64), B.U64(1) << (number % 64).astype(B.U64))
             common = lambda i, others: np.bitwise_count(bits[i] & bits[others]).sum(axis=1, dtype=np.int64)
@@ -254,11 +254,26 @@ def _verified_joins(percent: int):
     return run
 
 
+def _crowded(placed: DataFrame, key: str) -> DataFrame:
+    """(key, _top, _n_top, _n_rest) of each `key` whose rows (key, comp) are of several components: the largest, its rows, and all others'."""
+    sizes = placed.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("n"))
+    groups = sizes.groupBy(key).agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    return groups.where("k > 1").select(key, F.col("top.comp").alias("_top"), F.col("top.n").alias("_n_top"), (F.col("n") - F.col("top.n")).alias("_n_rest"))
+
+
 def _blocked(df: DataFrame, key: str, others: list[str]) -> DataFrame:
-    """Rows of each `key` (n rows) dealt to pairs (i, j) of blocks of BLOCK rows; side says on which side of the pair a row is."""
-    last = (F.ceil(F.col("n") / BLOCK) - 1).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("_last") + 1).cast("int")
-    dealt = df.withColumn("_last", last).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    """Rows of each crowded `key` dealt to pairs (i, j) of blocks of BLOCK rows; side says on which side of the pair a row is.
+
+    Rows of the largest component need no comparison with each other: they have blocks of their
+    own, which meet the other components' blocks only. So a large group in which few rows are
+    still apart is copied a few times, not once for each of its blocks.
+    """
+    rest, top = (F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int") for c in ("_n_rest", "_n_top"))
+    inner = F.col("comp") == F.col("_top")
+    draw = F.xxhash64("node")
+    own = F.when(inner, rest + F.pmod(draw, top)).otherwise(F.pmod(draw, rest)).cast("int")
+    meets = F.sequence(F.lit(0), F.when(inner, rest).otherwise(rest + top) - 1)
+    dealt = df.withColumn("_own", own).withColumn("_other", F.explode(meets))
     side = F.when(F.col("_own") == F.col("_other"), 3).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
     return dealt.select(key, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), side.alias("side"), "node", "comp", *others)
 
@@ -294,7 +309,7 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bitmap_bytes: int = BITMAP_BYTES) -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept), one for each of `docs`.
 
     A-Z are lower-cased; a text's set is its distinct shingles of `words` words
@@ -308,11 +323,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     after that, estimates across components tell which may belong together; these clusters are
     compared on the full sets, in blocks. Only edges that join components leave a block, so a
     large group makes as many rows as it has members; no cap applies, and no link is reported
-    that does not hold.
+    that does not hold, as far as 64-bit hashes tell sets and shingles apart. Blocks of sets
+    are compared as bitmaps of `bitmap_bytes` or less, and by posting lists beyond.
 
     Null or empty text, or one without words: an empty set, linked with nothing. A null id
-    counts as the least. Rows with equal ids are
-    each a text of their own. Extra columns of `docs` are not read. An empty table gives an
+    counts as the least. Rows with equal ids are each a text of their own. Extra columns of `docs` are not read. An empty table gives an
     empty result.
     """
     spark, threshold = docs.sparkSession, percent / 100
@@ -343,18 +358,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     # buckets that hold several components: which of these may belong together
     placed = bands.join(comps, "node", "left").select("band", "node", F.coalesce("root", "node").alias("comp"))
-    several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("band", "n")
-    spread = _blocked(placed.join(several, "band").join(side, "node"), "band", ["filled", "registers"])
+    spread = _blocked(placed.join(_crowded(placed, "band"), "band").join(side, "node"), "band", ["filled", "registers"])
     may = stored(spread.groupBy("band", "i", "j").applyInArrow(_plausible_joins(threshold), "a long, b long").distinct(), "plausible-joins")
-    del placed, several, spread
+    del placed, spread
     if not may.isEmpty():
         # clusters of components that plausible edges hold together, verified on the full sets
         clusters = components(may.unionByName(links), "a", "b").withColumnRenamed("root", "cluster")
         named = clusters.join(comps, "node", "left").select("cluster", "node", F.coalesce("root", "node").alias("comp"))
-        open_ = named.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("cluster", "n")
-        inside = stored(named.join(open_, "cluster"), "open-clusters")
+        inside = stored(named.join(_crowded(named, "cluster"), "cluster"), "open-clusters")
         spread = _blocked(inside.join(members_of(inside.select("node")), "node"), "cluster", ["members"])
-        more = stored(spread.groupBy("cluster", "i", "j").applyInArrow(_verified_joins(percent), "a long, b long"), "links")
+        more = stored(spread.groupBy("cluster", "i", "j").applyInArrow(_verified_joins(percent, bitmap_bytes), "a long, b long"), "links")
         comps = components(links.unionByName(more), "a", "b")
     least = comps.join(classes.select("node", "least"), "node")
     by_root = least.groupBy("root").agg(F.min("least").alias("smallest"))

@@ -88,7 +88,9 @@ def brute_components(rows, n, percent):
     return sorted((d, len(s), root(d)) for d, s in sets)
 
 
-def test_near_duplicates_in_a_large_group(spark):
+@pytest.mark.parametrize("bitmap_bytes,block", [(near_dedup.BITMAP_BYTES, near_dedup.BLOCK), (0, 40)])
+def test_near_duplicates_in_a_large_group(spark, monkeypatch, bitmap_bytes, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)  # read on the driver
     rnd = random.Random(5)
     base = [f"b{i}" for i in range(260)]
     rows = []
@@ -99,10 +101,28 @@ def test_near_duplicates_in_a_large_group(spark):
         rows.append((d + 10, " ".join(w)))
     rows += [(d + 500, rows[d % 7][1].upper()) for d in range(40)] + [(900, "short one"), (901, "short one"), (902, ""), (903, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = near_dedup.near_duplicates(df, words=3, percent=85)
+    got = near_dedup.near_duplicates(df, words=3, percent=85, bitmap_bytes=bitmap_bytes)
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(brute_components(rows, 3, 85), key=str)
 
 
+def test_near_duplicates_find_short_texts_close_to_the_limit(spark):
+    rnd, rows = random.Random(9), []
+    for d in range(0, 900, 2):
+        w = [f"v{rnd.randrange(10**6)}" for _ in range(rnd.randrange(8, 60))]
+        other = list(w)
+        if len(w) > 24:
+            other[rnd.randrange(len(w))] = "changed"
+        else:
+            other = other[1:]
+        rows += [(d, " ".join(w)), (d + 1, " ".join(other))]
+    want = {d: root for d, _, root in brute_components(rows, 3, 85)}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()}
+    linked = [d for d, root in want.items() if root != d]
+    assert len(linked) > 150
+    assert sum(got[d] == want[d] for d in linked) >= 0.99 * len(linked)
+    assert all(got[d] == d for d, root in want.items() if root == d)
+
+
 def test_near_duplicates_of_awkward_rows(docs):
     got = near_dedup.near_duplicates(docs).collect()
     assert len(got) == docs.count()
