@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,8 +38,8 @@ def collapse(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """A form in which texts are alike that differ in case only, also where an upper form is longer (`ß`, `SS`)."""
-    return F.lower(F.upper(text))
+    """A form in which texts are alike that differ in case only; `ß` is `ss`."""
+    return F.replace(F.lower(F.upper(text)), F.lit("ß"), F.lit("ss"))
 
 
 def numbered_id(prefix: str, number: Column, width: int = 6) -> Column:
@@ -140,15 +142,25 @@ def custom_id(task: Column, model: Column, *parts: Column) -> Column:
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, row by row of the table."""
+    """Length of the longest common subsequence of two arrays; in Arrow batches, with one row of the table at a time."""
 
-    def row_after(row: Column, x: Column, right: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(right), F.lit(1)))
-        cell = lambda now, j: F.when(F.get(right, j - 1) == x, F.get(row, j - 1) + 1).otherwise(F.greatest(F.get(row, j), F.get(now, j - 1)))
-        return F.aggregate(places, F.array(F.lit(0)), lambda now, j: F.when(j > F.size(right), now).otherwise(F.concat(now, F.array(cell(now, j)))))
+    @F.pandas_udf("int")
+    def lengths(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([_common(x, y) for x, y in zip(left, right)], dtype="Int32")
 
-    zeros = lambda right: F.transform(F.sequence(F.lit(0), F.size(right)), lambda _: F.lit(0))
-    return bound(b, lambda right: F.aggregate(a, zeros(right), lambda row, x: row_after(row, x, right), lambda row: F.element_at(row, -1)))
+    return lengths(a, b)
+
+
+def _common(x, y) -> int | None:
+    if x is None or y is None:
+        return None
+    number: dict[str, int] = {}
+    short, long = sorted((np.array([number.setdefault(t, len(number)) for t in side], np.int64) for side in (x, y)), key=len)
+    row = np.zeros(len(long) + 1, np.int32)
+    for token in short:
+        # the best of leaving this token out and of pairing it, carried on from left to right
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(long == token, row[:-1] + 1, 0)))
+    return int(row[-1])
 
 
 def f1(hits: Column, predicted: Column, wanted: Column) -> Column:

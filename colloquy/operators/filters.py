@@ -68,16 +68,26 @@ def marker_mismatch(df: DataFrame, text: str, images: str) -> DataFrame:
 
 
 def required(df: DataFrame, condition: Column, message: str) -> DataFrame:
-    """`df`, failing with `message` on the first row where `condition` doesn't hold; all columns depend on it, so it isn't pruned."""
-    ok = F.coalesce(condition, F.lit(False))
+    """`df`, failing with `message` on the first row where `condition` doesn't hold.
+
+    A row number that is never negative keeps the check where it stands: Spark moves other
+    filters below joins and filters before them, to rows that were to drop out first.
+    """
+    ok = F.coalesce(condition, F.lit(False)) | (F.monotonically_increasing_id() < 0)
     return df.where(F.when(ok, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
 
 
-def valid_rows(df: DataFrame, turns: str, row_id: str, metadata_id: str, system_prompt: str) -> Column:
-    """Exactly one system turn with the frozen prompt and one human turn, and equal ids."""
+def valid_rows(turns: str, row_id: str, metadata_id: str, system_prompt: str, text_hash: str | None = None, images: str | None = None) -> Column:
+    """Exactly one system turn with the frozen prompt and one human turn, equal ids; the human text's hash if one is given, and as many markers as images if these are."""
     count = lambda role: F.size(F.filter(turns, lambda t: t["from"] == role))
     first = F.get(F.filter(turns, lambda t: t["from"] == "system"), F.lit(0))["value"]
-    return (count("system") == 1) & (count("human") == 1) & (F.col(row_id) == F.col(metadata_id)) & (strip(first) == system_prompt.strip())
+    ok = (count("system") == 1) & (count("human") == 1) & (F.col(row_id) == F.col(metadata_id)) & (strip(first) == system_prompt.strip())
+    human = F.get(F.filter(turns, lambda t: t["from"] == "human"), F.lit(0))["value"]
+    if text_hash:
+        ok = ok & (F.col(text_hash).isNull() | (sha256(human) == F.col(text_hash)))
+    if images:
+        ok = ok & (marker_count(human) == F.coalesce(F.size(images), F.lit(0)))
+    return F.coalesce(ok, F.lit(False))
 
 
 def reference_free(df: DataFrame, keep_reference: bool = False) -> DataFrame:
@@ -104,7 +114,11 @@ def repeated_ids(df: DataFrame, key: str) -> DataFrame:
 
 
 def subset_by_id(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    return df.join(wanted.select(key).distinct(), key, "left_semi")
+    """The rows that `wanted` names, and a failure if it names one that isn't there."""
+    ids = wanted.select(key).distinct()
+    there = df.select(key).distinct().withColumn("_there", F.lit(True))
+    known = required(ids.join(there, key, "left"), F.col("_there"), "an id of the subset isn't in the table").select(key)
+    return df.join(known, key, "left_semi")
 
 
 def covered_share(box: Column, people: Column) -> Column:

@@ -32,19 +32,46 @@ def align_max_overlap(utterances: DataFrame, slides: DataFrame, key: str = "reco
     return utterances.join(best, [key, uid], "left")
 
 
-def within_cases(utterances: DataFrame, cases: DataFrame, key: str = "recording") -> DataFrame:
-    """Utterances with each case that holds them whole, bounds included; overlapping cases give a row each."""
+def within_cases(utterances: DataFrame, cases: DataFrame, key: str = "recording", width: float = 3600.0) -> DataFrame:
+    """Utterances with each case that holds them whole, bounds included; overlapping cases give a row each.
+
+    Cases are dealt to all stretches of `width` seconds that they touch, utterances to the one they begin in.
+    """
+    w = float(width)
     c = cases.select(F.col(key), "case_id", F.col("start_sec").alias("case_start"), F.col("end_sec").alias("case_end"))
-    return utterances.join(c, key).where((F.col("start_sec") >= F.col("case_start")) & (F.col("end_sec") <= F.col("case_end")))
+    c = c.withColumn("_b", F.explode(_buckets(F.col("case_start"), F.col("case_end"), w)))
+    u = utterances.withColumn("_b", F.floor(F.col("start_sec") / w))
+    return u.join(c, [key, "_b"]).where((F.col("start_sec") >= F.col("case_start")) & (F.col("end_sec") <= F.col("case_end"))).drop("_b")
 
 
-def slide_context(slides: DataFrame, utterances: DataFrame, key: str = "recording", back: float = 60.0) -> DataFrame:
-    """`slides` with the text of utterances from `back` seconds before the slide until its end, in order; empty if none."""
-    s = slides.select(key, "slide_id", F.col("start_sec").alias("s"), F.col("end_sec").alias("e"))
-    u = utterances.select(F.col(key).alias("_k"), "pos", "text", F.col("start_sec").alias("us"), F.col("end_sec").alias("ue"))
-    near = (F.col("_k") == F.col(key)) & (F.col("ue") >= F.greatest(F.lit(0.0), F.col("s") - back)) & (F.col("us") <= F.col("e"))
-    found = s.join(u, near, "left").groupBy(key, "slide_id").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "text")))).alias("_c"))
-    return slides.join(found.select(key, "slide_id", F.array_join("_c.text", " ").alias("context")), [key, "slide_id"])
+def slide_context(slides: DataFrame, utterances: DataFrame, key: str = "recording", back: float = 60.0, width: float = 600.0) -> DataFrame:
+    """`slides` with the text of utterances from `back` seconds before the slide until its end, in order; empty if none.
+
+    Both sides are dealt to the stretches of `width` seconds that they touch; a pair counts in the first they share.
+    """
+    w = float(width)
+    s = slides.select(key, "slide_id", F.greatest(F.lit(0.0), F.col("start_sec") - back).alias("_s"), F.col("end_sec").alias("_e"))
+    s = s.withColumn("_b", F.explode(_buckets(F.col("_s"), F.col("_e"), w)))
+    u = utterances.select(key, "pos", "text", F.col("start_sec").alias("_us"), F.col("end_sec").alias("_ue"))
+    u = u.withColumn("_b", F.explode(_buckets(F.col("_us"), F.col("_ue"), w)))
+    near = (F.col("_ue") >= F.col("_s")) & (F.col("_us") <= F.col("_e")) & (F.col("_b") == F.floor(F.greatest("_us", "_s") / w))
+    found = s.join(u, [key, "_b"]).where(near).groupBy(key, "slide_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_c"))
+    context = found.select(key, "slide_id", F.array_join("_c.text", " ").alias("context"))
+    return slides.join(context, [key, "slide_id"], "left").withColumn("context", F.coalesce("context", F.lit("")))
+
+
+def most_overlapping_speaker(segments: DataFrame, turns: DataFrame, key: str = "recording", uid: str = "utterance_id", width: float = 600.0) -> DataFrame:
+    """`segments` with the label whose turns overlap each for the longest time in all; the first label on ties, null without overlap."""
+    pairs = overlap_pairs(segments.select(key, uid, "start_sec", "end_sec"), turns.select(key, "label", "start_sec", "end_sec"), key, width)
+    summed = pairs.groupBy(key, uid, "r_label").agg(F.sum("overlap").alias("t"))
+    best = summed.groupBy(key, uid).agg(F.min_by("r_label", F.struct(-F.col("t"), "r_label")).alias("label"))
+    return segments.join(best, [key, uid], "left")
+
+
+def speaker_segments(turns: DataFrame, key: str = "recording", label: str = "label") -> DataFrame:
+    """(key, label, segments in time order) with bounds rounded to 3 digits."""
+    one = F.struct(F.round("start_sec", 3).alias("start_sec"), F.round("end_sec", 3).alias("end_sec"))
+    return turns.groupBy(key, label).agg(F.array_sort(F.collect_list(one)).alias("segments"))
 
 
 def with_role(utterances: DataFrame, profiles: DataFrame, valid: list[str] | None = None, key: str = "recording") -> DataFrame:

@@ -131,3 +131,19 @@ def reward(df: DataFrame) -> DataFrame:
     out = df.withColumn("judge_called", F.col("format_failure_reason") == 0)
     out = out.withColumn("match_score", F.when(F.col("judge_called"), match).otherwise(INVALID_REWARD))
     return out.withColumn("score", F.col("match_score") + FORMAT_WEIGHT * F.col("format_score"))
+
+
+def default_details() -> dict[str, Column]:
+    """The conclusion's details of a response that isn't judged: zeros, -1 for each decision, and the invalid reward."""
+    zeros = {c: F.lit(0.0) for c in ("alignment_score", "alignment_normalized", "applicable_decision_count", "decisions_normalized", "judge_called")}
+    return zeros | {f"decision_{n}_score": F.lit(-1.0) for n in DIMENSION_WEIGHTS} | {"match_score": F.lit(INVALID_REWARD)}
+
+
+def assembled_details(df: DataFrame, judged: str = "judge_called") -> DataFrame:
+    """`df` with the details of both rubrics where `judged` holds and scores are there, and the default record elsewhere."""
+    rows = conclusion_details(df)
+    here = F.coalesce(F.col(judged), F.lit(False)) & F.col("alignment_score").isNotNull()
+    count = sum((F.when(F.col(f"scope_{n}") != "absent", 1).otherwise(0) for n in DIMENSION_WEIGHTS), F.lit(0))
+    made = {"alignment_score": F.col("alignment_score"), "alignment_normalized": F.col("alignment_normalized"), "applicable_decision_count": count, "decisions_normalized": F.col("decisions_normalized"), "judge_called": F.lit(1.0), "match_score": F.col("anchor_score")}
+    made |= {f"decision_{n}_score": F.col(n) for n in DIMENSION_WEIGHTS}
+    return rows.select(*(c for c in df.columns if c not in made), *(F.when(here, made[k].cast("double")).otherwise(v).alias(k) for k, v in default_details().items()))

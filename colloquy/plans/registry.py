@@ -14,8 +14,10 @@ from colloquy.operators import deleak as D
 from colloquy.operators import filters as L
 from colloquy.operators import intervals as I
 from colloquy.operators import joins as K
+from colloquy.operators import requests as M
 from colloquy.operators import scoring as R
 from colloquy.operators import sequences as Q
+from colloquy.operators import training as N
 from colloquy.plans import fixtures as fx
 from colloquy.plans.fixtures import C, J, S, U, table
 from colloquy.sources.readers import vtt_text
@@ -669,3 +671,145 @@ def sanity_star(spark, sf):
     o, c, n = (table(spark, sf, x) for x in ("orders", "customer", "nation"))
     joined = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
     return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+SYSTEM_PROMPT = "Answer from the case <image>."
+
+
+def records(spark, sf):
+    """A record a conversation: its last text concludes, its first begins the human turn; pictures, discussion and conclusion are missing by id."""
+    k = F.col("conv_id")
+    c = turns(spark, sf).groupBy("conv_id").agg(F.min_by("text", "pos").alias("first"), F.max_by("text", "pos").alias("last"), F.count(F.lit(1)).alias("n"))
+    inline = c.select(F.col("conv_id").alias("id"), F.when(k % 5 != 0, F.col("last")).alias("conclusion"), F.when(k % 4 == 0, F.lit("inline")).alias("discussion"), F.concat("first", F.repeat(F.lit("<image>"), (k % 3 + (k % 11 == 0).cast("int")).cast("int"))).alias("user_turn"), k.cast("string").alias("video_uid"), F.lit("c1").alias("case_id"))
+    recorded = c.where(k % 7 != 0).select(F.col("conv_id").alias("id"), F.concat(F.lit("turns "), "n").alias("discussion"))
+    index = c.select(F.col("conv_id").alias("id"), F.lit("board").alias("task"), F.when(k % 9 == 0, "test").otherwise("train").alias("split"), F.transform(F.sequence(F.lit(1), F.greatest(k % 3, F.lit(1)).cast("int")), lambda i: F.format_string("%d-%d.png", k, i)).alias("images"))
+    files = index.where(F.col("id") % 13 != 0).select(F.explode("images").alias("path"))
+    return N.skip_reason(N.with_images(N.with_recorded(inline, recorded, "id"), index, "board", "train"), files)
+
+
+RECORDS = """
+c AS (SELECT conv_id AS k, arg_min(text, turn) AS f, arg_max(text, turn) AS l, count(*) AS n FROM conversations GROUP BY conv_id),
+r AS (
+  SELECT *, CASE WHEN k % 5 <> 0 THEN l END AS conclusion, CASE WHEN k % 4 = 0 THEN 'inline' WHEN k % 7 <> 0 THEN 'turns ' || n ELSE '' END AS discussion, f || repeat('<image>', (k % 3 + (k % 11 = 0)::INT)::INT) AS user_turn,
+         CASE WHEN k % 9 <> 0 THEN greatest(k % 3, 1) END AS images FROM c
+),
+s AS (SELECT *, CASE WHEN trim(coalesce(conclusion, '')) = '' THEN 'no conclusion' WHEN discussion = '' THEN 'no discussion' WHEN images IS NULL THEN 'no images' WHEN k % 3 + (k % 11 = 0)::INT <> images THEN 'marker count' WHEN k % 13 = 0 THEN 'missing file' END AS reason FROM r)"""
+
+
+@query(f"WITH {RECORDS} SELECT k AS id, reason AS skip_reason, discussion, images FROM s")
+def training_eligibility(spark, sf):
+    return records(spark, sf).select("id", "skip_reason", "discussion", F.size("images").cast("long").alias("n")).select("id", "skip_reason", "discussion", F.when(F.col("n") >= 0, F.col("n")).alias("images"))
+
+
+@query(f"WITH {RECORDS} SELECT reason AS skip_reason, count(*) AS n FROM s WHERE reason IS NOT NULL GROUP BY reason")
+def training_skips(spark, sf):
+    return N.skipped(records(spark, sf))
+
+
+@query(f"WITH {RECORDS} SELECT k AS source_id, sha256('system:Answer from the case <image>.|human:' || user_turn || '|gpt:' || discussion || chr(10) || '<conclusion>' || trim(conclusion, ' ' || chr(10) || chr(9)) || '</conclusion>') AS turns, images AS n_images, 'user=' || user_turn AS mapped FROM s WHERE reason IS NULL")
+def sft_samples(spark, sf):
+    rows = N.sft_rows(records(spark, sf), SYSTEM_PROMPT, "v1", "multimodal", "discussion_conclusion")
+    line = F.array_join(F.transform("conversations", lambda t: F.concat_ws(":", t["from"], t["value"])), "|")
+    human = N.mapped_turns(F.col("conversations"))[1]
+    return rows.select("source_id", F.sha2(line, 256).alias("turns"), F.size("images").cast("long").alias("n_images"), F.concat_ws("=", human["role"], human["content"]).alias("mapped"))
+
+
+@query(f"WITH {RECORDS} SELECT k AS source_id, 'train' AS split, images::BIGINT AS n_images, sha256(user_turn) AS evidence, sha256(discussion || chr(10) || '<conclusion>' || trim(conclusion, ' ' || chr(10) || chr(9)) || '</conclusion>') AS truth, 2 AS n_prompt FROM s WHERE reason IS NULL")
+def preference_samples(spark, sf):
+    rows = N.sft_rows(records(spark, sf), "another prompt", "v1", "multimodal", "discussion_conclusion").withColumn("row", F.col("source_id"))
+    made = N.preference_rows(rows, "train", SYSTEM_PROMPT, True, "boards", "discussion", system_markers=1)
+    return made.select("extra_info.source_id", "extra_info.split", F.col("extra_info.n_images").cast("long").alias("n_images"), F.sha2("extra_info.case_evidence", 256).alias("evidence"), F.sha2("reward_model.ground_truth", 256).alias("truth"), F.size("prompt").alias("n_prompt"))
+
+
+@query("SELECT conv_id, turn AS pos, text AS question, role AS answer FROM conversations WHERE trim(coalesce(text, '')) <> '' AND turn % 3 <> 2")
+def question_samples(spark, sf):
+    pair = F.struct("pos", F.coalesce("text", F.lit("")).alias("question"), F.when(F.col("pos") % 3 == 2, " ").otherwise(F.col("speaker_id")).alias("answer"))
+    tasks = turns(spark, sf).groupBy("conv_id").agg(F.array_sort(F.collect_list(pair)).alias("p"))
+    return N.question_samples(tasks.select("conv_id", F.transform("p", lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer"))).alias("qa_pairs"))).select("conv_id", F.col("pos").cast("long").alias("pos"), "question", "answer")
+
+
+@query("SELECT conv_id, turn AS pos, CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN 'CASE SUMMARY:' || chr(10) || role || chr(10) || chr(10) || 'SLIDES:' ELSE trim(text) END AS case_summary, CASE turn % 3 WHEN 0 THEN trim(text) ELSE 'No slide descriptions are available.' END AS slides FROM conversations WHERE trim(text) <> '' AND text = trim(text)")
+def evidence_split(spark, sf):
+    t = turns(spark, sf).where((X.strip(F.col("text")) != "") & (F.col("text") == F.trim("text")))
+    made = M.case_evidence(F.col("speaker_id"), F.when(F.col("pos") % 3 == 0, F.col("text")))
+    e = M.evidence_parts(F.when(F.col("pos") % 3 == 2, F.col("text")).otherwise(made))
+    return t.select("conv_id", "pos", e.alias("e")).select("conv_id", "pos", "e.case_summary", "e.slides")
+
+
+@query("SELECT page_id, 'text:' || coalesce(url, '') || '|image/png:' || base64(encode(coalesce(url, ''))) AS blocks FROM pages")
+def content_blocks(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"))
+    part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.cast("string").alias("text"), url.cast("string").alias("url"))
+    parts = F.array(part("text", F.col("url"), F.lit(None)), part("image_url", F.lit(None), X.data_uri(F.encode("url", "UTF-8"), F.lit("image/png"))))
+    block = F.transform(M.provider_blocks(parts), lambda b: F.when(b["type"] == "text", F.concat(F.lit("text:"), b["text"])).otherwise(F.concat(b["source"]["media_type"], F.lit(":"), b["source"]["data"])))
+    return p.select("page_id", F.array_join(block, "|").alias("blocks"))
+
+
+@query("SELECT item_id, '<s>be brief<u>' || text || '<a></think>' AS chat_text FROM benchmark WHERE text IS NOT NULL")
+def chat_texts(spark, sf):
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    items = table(spark, sf, "benchmark").where("text is not null").withColumn("turns", F.array(message("system", F.lit("be brief")), message("user", F.col("text"))))
+    return M.chat_text(items, "turns", "<s>", "<u>", "<a>", "</think>").select("item_id", "chat_text")
+
+
+@query("""
+SELECT item_id, 'judge-1' AS model, text AS content, 700 AS max_tokens, CASE WHEN item_id % 3 = 0 THEN '[-1]' END AS therapy_enum, CASE WHEN item_id % 2 = 0 THEN NULL ELSE 5 END AS surgery_most, 5 AS n_required FROM benchmark WHERE text IS NOT NULL
+""")
+def judge_payloads(spark, sf):
+    k = F.col("item_id")
+    names = list(R.DIMENSION_WEIGHTS)
+    scope = {n: F.when(k % (3 - i) == 0, "absent").otherwise("positive") if i < 2 else F.lit("positive") for i, n in enumerate(names)}
+    rows = table(spark, sf, "benchmark").where("text is not null")
+    request = M.judge_request(k.cast("string"), "judge it", F.col("text"), "decisions", M.decision_schema_of(*(scope[n] for n in names)), 700)
+    p = M.chat_payload(rows.withColumn("request", request), "request", "judge-1")
+    field = lambda path: F.get_json_object("payload", "$." + path)
+    schema = "response_format.json_schema.schema."
+    return p.select("item_id", field("model").alias("model"), field("messages[1].content").alias("content"), field("max_tokens").cast("int").alias("max_tokens"), field(f"{schema}properties.{names[0]}.enum").alias("therapy_enum"), field(f"{schema}properties.{names[1]}.maximum").cast("int").alias("surgery_most"), F.size(F.from_json(field(f"{schema}required"), "array<string>")).alias("n_required"))
+
+
+@query("SELECT page_id, coalesce(url, '') AS name, page_id % 2 = 0 AS fine, CASE WHEN page_id % 3 = 0 THEN page_id END AS n FROM pages")
+def literal_metadata(spark, sf):
+    k = F.col("page_id")
+    name = F.concat(F.lit('"'), F.coalesce("url", F.lit("")), F.lit('"'))
+    text = F.concat(F.lit("{'name': "), name, F.lit(", 'fine': "), F.when(k % 2 == 0, "True").otherwise("False"), F.lit(", 'n': "), F.when(k % 3 == 0, k.cast("string")).otherwise("None"), F.lit(", 'note': 'None of \"these\"'}"))
+    return table(spark, sf, "pages").select("page_id", M.literal_fields(text, "name string, fine boolean, n long, note string").alias("f")).select("page_id", "f.name", "f.fine", "f.n")
+
+
+@query(f"""
+WITH {U}, {S}, p AS (
+  SELECT u.recording, u.utterance_id, s.slide_id % 3 AS label, sum(least(u.end_sec, s.end_sec) - greatest(u.start_sec, s.start_sec)) AS t
+  FROM utt u JOIN sl s ON u.recording = s.recording AND least(u.end_sec, s.end_sec) > greatest(u.start_sec, s.start_sec) GROUP BY ALL
+)
+SELECT u.recording, u.utterance_id, l.label FROM utt u LEFT JOIN (SELECT recording, utterance_id, arg_min(label, {{'t': -round(t, 6), 'l': label}}) AS label FROM p GROUP BY ALL) l USING (recording, utterance_id)
+""")
+def speaker_overlap(spark, sf):
+    u = fx.utterances(spark, sf)
+    labels = fx.slides(spark, sf).withColumn("label", F.col("slide_id") % 3)
+    return I.most_overlapping_speaker(u, labels).select("recording", "utterance_id", "label")
+
+
+@query(f"WITH {U} SELECT recording, speaker_id, count(*) AS n, min(round(start_sec, 3)) AS first_start, max(round(end_sec, 3)) AS last_end FROM utt GROUP BY ALL")
+def speaker_segments(spark, sf):
+    s = I.speaker_segments(fx.utterances(spark, sf), label="speaker_id")
+    return s.select("recording", "speaker_id", F.size("segments").cast("long").alias("n"), F.col("segments")[0]["start_sec"].alias("first_start"), F.array_max("segments.end_sec").alias("last_end"))
+
+
+@query("SELECT count(*) AS completed, count(*) FILTER (status = 'parsed') AS parsed, count(*) FILTER (status = 'parsed_after_cleanup') AS parsed_after_cleanup, count(*) FILTER (status = 'raw_fallback') AS raw_fallback, 0 AS errors, count(*) + 10 AS completed_total, 99990 - count(*) AS remaining, count(*) / 50.0::DOUBLE AS per_second, round((99990 - count(*)) / (count(*) / 50.0::DOUBLE), 6) AS seconds_left FROM (SELECT CASE WHEN turn % 7 = 0 THEN 'parsed' WHEN turn % 7 IN (1, 2, 3, 5) THEN 'parsed_after_cleanup' ELSE 'raw_fallback' END AS status FROM conversations WHERE text IS NOT NULL)")
+def run_counters(spark, sf):
+    rows = parse_qa(spark, sf).withColumn("error", F.lit(None).cast("string"))
+    return N.run_counters(rows, 100_000, 10, 50.0).withColumn("seconds_left", F.round("seconds_left", 6))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT conv_id AS k FROM conversations), d AS (SELECT k, unnest([1.0, 1.25, 1.15, 2.0]::DOUBLE[]) AS w, unnest([0, 1, 2, 3]) AS i FROM s),
+w AS (SELECT k, coalesce(sum(CASE WHEN (k + i) % 3 <> 0 THEN w * ((k + i) % 6) / 5 END) / sum(CASE WHEN (k + i) % 3 <> 0 THEN w END), 0) AS dn, count(*) FILTER ((k + i) % 3 <> 0) AS n FROM d GROUP BY k)
+SELECT k AS conv_id, CASE WHEN k % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS judge_called, CASE WHEN k % 2 = 0 THEN n::DOUBLE ELSE 0.0::DOUBLE END AS applicable_decision_count, round(CASE WHEN k % 2 = 0 THEN dn ELSE 0.0 END, 6) AS decisions_normalized,
+       round(CASE WHEN k % 2 = 0 THEN 0.45::DOUBLE * ((k % 5) / 4.0::DOUBLE) + 0.55::DOUBLE * dn ELSE -0.2 END, 6)::DOUBLE AS match_score FROM w
+""")
+def default_records(spark, sf):
+    k = F.col("conv_id")
+    rows = table(spark, sf, "conversations").select("conv_id").distinct().withColumns({"alignment_score": k % 5 + 1, "judge_called": k % 2 == 0})
+    for i, n in enumerate(R.DIMENSION_WEIGHTS):
+        rows = rows.withColumn(f"scope_{n}", F.when((k + i) % 3 == 0, "absent").otherwise("positive")).withColumn(n, F.when((k + i) % 3 == 0, -1).otherwise((k + i) % 6))
+    out = R.assembled_details(rows)
+    return out.select("conv_id", "judge_called", "applicable_decision_count", F.round("decisions_normalized", 6).alias("decisions_normalized"), F.round("match_score", 6).alias("match_score"))
