@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import strip
+from colloquy.operators.storage import stored
 
 
 def speaker_profiles(utterances: DataFrame, key: str = "recording") -> DataFrame:
@@ -78,10 +79,12 @@ def placed_values(df: DataFrame, by: str, value: str, places: dict[str, Column])
     """Of each group, the values at the 0-based `places` of its sorted values, which may use `_n`, their number; nulls don't count.
 
     Values are counted and the counts dealt by ranges of (group, value). Sums of the ranges say
-    in which of them a place lies, and only these are summed up in order, each by itself.
+    in which of them a place lies, and only these are summed up in order, each by itself. The
+    dealt counts are stored below `spark.checkpoint.dir`, and not deleted.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_c"))
-    dealt = counts.repartitionByRange("_by", "_value").withColumn("_range", F.spark_partition_id()).persist()
+    dealt = counts.repartitionByRange("_by", "_value").withColumn("_range", F.spark_partition_id())
+    dealt = stored(dealt, "placed")
     group = Window.partitionBy("_by")
     sums = dealt.groupBy("_by", "_range").agg(F.sum("_c").alias("_sum"))
     sums = sums.withColumn("_n", F.sum("_sum").over(group)).withColumn("_to", F.sum("_sum").over(group.orderBy("_range")))
@@ -103,12 +106,17 @@ def floor_rank_distributed(df: DataFrame, by: str, value: str, fraction: float)
 
 
 def token_usage(rows: DataFrame, by: str) -> DataFrame:
-    """Finish reasons and token sums over successful rows; a null count is 0."""
+    """Number and token sums of successful rows; a null count is 0."""
     ok = F.col("error").isNull()
     sums = [F.sum(F.when(ok, F.coalesce(F.col(c), F.lit(0))).otherwise(0)).alias(c) for c in ("prompt_tokens", "completion_tokens")]
     return rows.groupBy(by).agg(F.count_if(ok).alias("successes"), *sums)
 
 
+def finish_reasons(rows: DataFrame, by: str) -> DataFrame:
+    """Successful rows by finish reason; a missing reason is one of its own, null."""
+    return rows.where("error is null").groupBy(by, "finish_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def drop_counters(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Total, kept and dropped pairs by case, by recording and over all, and the drops by reason."""
     sets = [[*keys[:i], "drop_reason"] for i in range(len(keys) + 1)]

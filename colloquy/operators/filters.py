@@ -113,6 +113,13 @@ def repeated_ids(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).count().where(F.col("count") > 1)
 
 
+def bad_ids(outputs: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """(id, reason) of outputs whose id is empty, repeated or not of the batch; null ids are empty."""
+    ids = outputs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(batch.select(key).distinct().withColumn("_there", F.lit(True)), key, "left")
+    reason = F.when(F.coalesce(F.col(key).cast("string"), F.lit("")) == "", "empty").when(F.col("_n") > 1, "repeated").when(F.col("_there").isNull(), "unknown")
+    return ids.select(key, reason.alias("reason")).where("reason is not null")
+
+
 def subset_by_id(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """The rows that `wanted` names, and a failure if it names one that isn't there."""
     ids = wanted.select(key).distinct()

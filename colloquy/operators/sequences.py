@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import rstrip, strip
+from colloquy.operators.storage import stored
 
 
 def runs(df: DataFrame, partition: list[str], order: list[str], same: str) -> DataFrame:
@@ -73,10 +73,12 @@ def numbered(df: DataFrame, order: list[str], name: str, ranges: int | None = No
     """`df` with its 0-based place in the global `order`, without a task that holds all rows.
 
     Rows are dealt by ranges of the order, numbered in each, and moved on by the rows of the
-    ranges before, of which there are as many as partitions.
+    ranges before, of which there are as many as partitions. The dealt rows are stored below
+    `spark.checkpoint.dir`, since a range must hold the same rows both times, and not deleted.
     """
     dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
-    dealt = dealt.withColumn("_range", F.spark_partition_id()).persist()
+    dealt = dealt.withColumn("_range", F.spark_partition_id())
+    dealt = stored(dealt, "numbered")
     sizes = dealt.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return dealt.join(F.broadcast(sizes.select("_range", "_before")), "_range").withColumn(name, (F.col("_before") + place).cast("long")).drop("_range", "_before")
@@ -103,6 +105,8 @@ def kept_greedily(vectors: np.ndarray, threshold: float) -> np.ndarray:
     return kept
 
 
+_stored = functools.partial(stored, label="greedy")
+
 #: Rows of a group that one task scans, or filters, at most.
 SCAN_ROWS = 1024
 
@@ -143,15 +147,6 @@ def greedy_dedup(crops: DataFrame, partition: str, order: str, vector: str = "em
     return functools.reduce(DataFrame.unionByName, found) if found else crops.limit(0)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet below the folder that driver and executors share, and read again; this cuts the lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/colloquy-checkpoints"
-    path = f"{base.rstrip('/')}/greedy-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Words with inner apostrophes or hyphens, or single CJK characters (fixed pattern).
 REPEAT_TOKEN = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)?|[\u4e00-\u9fff]"
 

@@ -266,3 +266,22 @@ def utterance_rows(spark, sf):
     one = F.struct((F.col("pos") + F.lit(0.1234)).alias("start_sec"), "end_sec", "text")
     lists = turns(spark, sf).groupBy(F.col("conv_id").alias("recording")).agg(F.array_sort(F.collect_list(one)).alias("utterances"))
     return utterance_table(lists)
+
+
+@query("SELECT event_type, CASE event_id % 5 WHEN 0 THEN 'length' WHEN 1 THEN NULL ELSE 'stop' END AS finish_reason, count(*) AS n FROM events WHERE NOT coalesce(value < 1, false) GROUP BY ALL")
+def finish_reasons(spark, sf):
+    k = F.col("event_id")
+    rows = table(spark, sf, "events").select("event_type", F.when(F.col("value") < 1, "failed").alias("error"), F.when(k % 5 == 0, "length").when(k % 5 != 1, "stop").alias("finish_reason"))
+    return A.finish_reasons(rows, "event_type")
+
+
+@query("""
+WITH o AS (SELECT CASE WHEN conv_id % 5 = 0 AND turn = 0 THEN '' ELSE (CASE WHEN conv_id % 3 = 0 THEN conv_id * 1000 + turn ELSE conv_id * 1000 END)::VARCHAR END AS id FROM conversations), b AS (SELECT DISTINCT (conv_id * 1000)::VARCHAR AS id FROM conversations),
+g AS (SELECT id, CASE WHEN id = '' THEN 'empty' WHEN count(*) > 1 THEN 'repeated' WHEN id NOT IN (SELECT id FROM b) THEN 'unknown' END AS reason FROM o GROUP BY id)
+SELECT id, reason FROM g WHERE reason IS NOT NULL
+""")
+def bad_output_ids(spark, sf):
+    c = turns(spark, sf)
+    base = F.col("conv_id") * 1000
+    outputs = c.select(F.when((F.col("conv_id") % 5 == 0) & (F.col("pos") == 0), "").otherwise(F.when(F.col("conv_id") % 3 == 0, base + F.col("pos")).otherwise(base).cast("string")).alias("id"))
+    return L.bad_ids(outputs, c.select(base.cast("string").alias("id")), "id")

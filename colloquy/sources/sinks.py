@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.operators.storage import stored
+
 
 def json_documents(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.partitionBy(*by).mode("overwrite").json(path)
@@ -35,8 +37,12 @@ def parquet_with_manifest(df: DataFrame, path: str, split: str) -> DataFrame:
 
 
 def with_rejects(df: DataFrame, good, path: str, rejects: str) -> None:
-    """Rows where `good` holds to `path`; the others to `rejects`, which is only written if there are any."""
-    df.where(good).write.mode("overwrite").json(path)
-    bad = df.where(~F.coalesce(good, F.lit(False)))
+    """Rows where `good` holds to `path`; the others to `rejects`, which is only written if there are any.
+
+    The rows are stored with their verdict first, so that `df` is computed once.
+    """
+    rows = stored(df.withColumn("_good", F.coalesce(good, F.lit(False))), "verdicts")
+    rows.where("_good").drop("_good").write.mode("overwrite").json(path)
+    bad = rows.where("not _good").drop("_good")
     if not bad.isEmpty():
         bad.write.mode("overwrite").json(rejects)
