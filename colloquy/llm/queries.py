@@ -15,10 +15,15 @@ from colloquy.llm.quality_rules import quality
 from colloquy.llm.shared import table
 from colloquy.llm.substring_dedup import dedup_substrings
 from colloquy.llm.suffix_dedup import dedup_strings
+from colloquy.llm.token_alignment import aligned
 from colloquy.llm.url_filters import filtered, host_of
 from colloquy.llm.warc import archived
+from colloquy.llm.whitening import whitened
 
-documents, pages, benchmark, labels = (table(x) for x in ("documents", "pages", "benchmark", "labels"))
+documents, pages, benchmark, labels, embeddings = (table(x) for x in ("documents", "pages", "benchmark", "labels", "embeddings"))
+#: Folder of the tokenizers' files, and the two that are aligned.
+TOKENIZERS = "/opt/tokenizers"
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +96,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, held_out(10, 0)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = aligned(documents(spark, sf_dir).select("doc_id", "text"), f"{TOKENIZERS}/{BYTE_BPE}", f"{TOKENIZERS}/{PIECE_BPE}")
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(embeddings(spark, sf_dir).select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
@@ -102,6 +117,8 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
