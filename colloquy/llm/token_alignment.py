@@ -20,8 +20,8 @@ from colloquy.llm.shared import Scratch, small
 
 #: Bytes of text whose chunks share one table; one longer document has its own.
 BLOCK_BYTES = 16 << 20
-#: Chunks that go to a tokenizer at once.
-ENCODED = 8192
+#: Chunks that are encoded and aligned at once, and links of texts that are sorted at once (or one text's).
+CHUNKS, LINKS = 16384, 1 << 20
 #: Fixed value: how byte-level vocabularies cut text before their merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: U+2581, which stands for a space in pieces.
@@ -35,18 +35,9 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Ragged:
-    """Lists of numbers gathered into one array."""
-
-    def __init__(self):
-        self.values, self.counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-
-    def add(self, lists: list[list[int]]) -> None:
-        self.values.append(np.fromiter(chain.from_iterable(lists), np.int32))
-        self.counts.append(np.fromiter(map(len, lists), np.int64, len(lists)))
-
-    def joined(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate(self.values), np.concatenate(self.counts)
+def in_a_row(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lists, and how many each has."""
+    return np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
 
 
 def ranked_encoding(path: str, entries: list[bytes]):
@@ -85,18 +76,15 @@ class Tokenizers:
         self.b_lengths = np.array([len(x) for x in self.b_bytes])
         names = range(max(self.a_size, b_size))
         self.names = [f"{i}{end}" for i in names for end in ",|;"]
+        self.name_lengths = np.array([len(x) for x in self.names])
         #: No piece goes on over a space, so that texts can be cut before single spaces.
         self.splits = not any(MARK in p.lstrip(MARK) for p in pieces)
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A of space+chunk for all chunks in a row, their number in each chunk, and the same of B."""
-        a, b = Ragged(), Ragged()
-        for at in range(0, len(chunks), ENCODED):
-            part = chunks[at : at + ENCODED]
-            spaced = [" " + c for c in part]
-            a.add([*map(self.ranked.encode_ordinary, spaced)] if self.ranked else [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)])
-            b.add(self.b.encode(part, num_threads=1))
-        return *a.joined(), *b.joined()
+        spaced = [" " + c for c in chunks]
+        a = [*map(self.ranked.encode_ordinary, spaced)] if self.ranked else [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
+        return *in_a_row(a), *in_a_row(self.b.encode(chunks, num_threads=1))
 
 
 @functools.lru_cache(2)
@@ -188,7 +176,7 @@ def totals(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def aligned_chunks(tok: Tokenizers, chunks: list[str]) -> dict:
-    """Of each chunk: whether both sides give its bytes, n_a, n_b, n_groups, its groups as text, and n_links; and all links' id pairs in a row."""
+    """Of each chunk: whether both sides give its bytes, n_a, n_b, n_groups, n_links and the length of its groups as text; and in a row all these texts and all links' id pairs."""
     a, n_a, b, n_b = tok.encode(chunks)
     raw = [(" " + c).encode() for c in chunks]
     size = np.array([len(x) for x in raw], np.int64)
@@ -207,13 +195,13 @@ def aligned_chunks(tok: Tokenizers, chunks: list[str]) -> dict:
     order = np.argsort(np.concatenate([to[: len(a)] * 2, to[len(a) :] * 2 + 1]), kind="stable")
     ids, group, side = np.concatenate([a, b])[order], to[order], order >= len(a)
     ends = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True)[: len(ids)]
-    said = list(map(tok.names.__getitem__, (ids.astype(np.int64) * 3 + np.where(ends, np.where(side, 2, 1), 0)).tolist()))
-    n_said = np.cumsum(n_a + n_b)
-    texts = ["".join(said[s:e]) for s, e in zip((n_said - n_a - n_b).tolist(), n_said.tolist())]
+    names = (ids.astype(np.int64) * 3 + np.where(ends, np.where(side, 2, 1), 0)).tolist()
+    said = "".join(map(tok.names.__getitem__, names)).encode()
+    n_said = totals(tok.name_lengths[names], n_a + n_b)
     cuts = distinct(np.concatenate([a_ends, b_ends]))
     pairs = a[np.searchsorted(a_ends, cuts)].astype(np.int64) << 32 | b[np.searchsorted(b_ends, cuts)]
     n_links = np.diff(np.append(0, np.searchsorted(cuts, chunk_ends, side="right")))
-    return {"ok": ok, "n_a": n_a, "n_b": n_b, "n_groups": totals(last, n_a), "n_links": n_links, "texts": texts, "pairs": pairs}
+    return {"ok": ok, "n_a": n_a, "n_b": n_b, "n_groups": totals(last, n_a), "n_links": n_links, "n_said": n_said, "said": said, "pairs": pairs}
 
 
 def _texts(column: pa.Array) -> list[str | None]:
@@ -228,27 +216,36 @@ def _texts(column: pa.Array) -> list[str | None]:
     return [read(x) for x in column.cast(pa.binary()).to_pylist()]
 
 
+def holding(texts: list[np.ndarray], n_links: np.ndarray, first: np.ndarray, which: np.ndarray, n_pairs: int) -> np.ndarray:
+    """In how many of some texts, given by their chunks, each pair is linked."""
+    wide = max(len(n_links), 1)
+    text, chunk = np.divmod(distinct(np.repeat(np.arange(len(texts)), [len(x) for x in texts]) * wide + np.concatenate(texts)), wide)
+    held = distinct(np.repeat(text, n_links[chunk]) * max(n_pairs, 1) + which[spread(n_links[chunk], first[chunk])])
+    return np.bincount(held % max(n_pairs, 1), minlength=n_pairs)
+
+
 def _block(tok: Tokenizers, texts: list[str | None]) -> dict[str, np.ndarray]:
     """The arrays of a block: chunks of each text, links of each chunk, the distinct pairs and in how many texts each is linked."""
     known, none = Chunks(), np.zeros(0, np.int32)
     cut = [known.of(t, tok.splits) if t else none for t in texts]
-    found = aligned_chunks(tok, known.texts)
+    parts = [aligned_chunks(tok, known.texts[at : at + CHUNKS]) for at in range(0, max(len(known.texts), 1), CHUNKS)]
+    found = {k: np.concatenate([p[k] for p in parts]) for k in parts[0] if k != "said"}
     cut = [x if found["ok"][x].all() else none for x in cut]
     n_chunks, chunks = np.array([len(x) for x in cut], np.int64), np.concatenate([none, *cut])
     pairs = distinct(found["pairs"])
     which = np.searchsorted(pairs, found["pairs"])
-    docs = np.repeat(np.arange(len(cut)), n_chunks)
-    once = distinct(docs * max(len(known.texts), 1) + chunks)
-    doc, chunk = np.divmod(once, max(len(known.texts), 1))
     n_links = found["n_links"]
-    first = np.cumsum(n_links) - n_links
-    held = distinct(np.repeat(doc, n_links[chunk]) * max(len(pairs), 1) + which[spread(n_links[chunk], first[chunk])])
-    said = "".join(found["texts"]).encode()
+    first, docs, at = np.cumsum(n_links) - n_links, np.zeros(len(pairs), np.int64), 0
+    ends = np.cumsum([n_links[x].sum() for x in cut])
+    while at < len(cut):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LINKS, side="right")))
+        docs += holding(cut[at:to], n_links, first, which, len(pairs))
+        at = to
     return {
         "n_chunks": slim(n_chunks), "chunks": slim(chunks), "n_links": slim(n_links), "which": slim(which),
-        "a": slim(pairs >> 32), "b": slim(pairs & 0xFFFFFFFF), "docs": slim(np.bincount(held % max(len(pairs), 1), minlength=len(pairs))),
+        "a": slim(pairs >> 32), "b": slim(pairs & 0xFFFFFFFF), "docs": slim(docs),
         "n_a": slim(found["n_a"]), "n_b": slim(found["n_b"]), "n_groups": slim(found["n_groups"]),
-        "n_said": slim(np.array([len(x) for x in found["texts"]], np.int64)), "said": np.frombuffer(said, np.uint8),
+        "n_said": slim(found["n_said"]), "said": np.frombuffer(b"".join(p["said"] for p in parts), np.uint8),
     }
 
 
