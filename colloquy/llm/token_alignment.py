@@ -19,7 +19,7 @@ from colloquy.llm.blobs import opened, slim, squeezed
 from colloquy.llm.shared import Scratch, small
 
 #: Bytes of text whose chunks share one table; one longer document has its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Chunks that are encoded and aligned at once, and links of texts that are sorted at once (or one text's).
 CHUNKS, LINKS = 16384, 1 << 20
 #: Fixed value: how byte-level vocabularies cut text before their merges.
