@@ -135,3 +135,14 @@ b AS (SELECT page_id, arg_max({'d': domain, 'a': action, 'f': valid_from}, lengt
 SELECT c.page_id, host, fetched::VARCHAR AS fetched, m.d AS matched_domain, m.a AS action, m.f::VARCHAR AS valid_from, coalesce(m.a = 'block', false) AS blocked
 FROM c LEFT JOIN b USING (page_id)
 """
+
+#: The given pages hold their article in `article`, in paragraphs with bold starts and line breaks; this states the text that the field has to find.
+HTML_EXTRACTION = r"""
+WITH b AS (SELECT page_id, url, unnest(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>')) AS x, generate_subscripts(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'), 1) AS i FROM pages),
+t AS (SELECT page_id, url, i, regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM b),
+d AS (SELECT page_id, url, i, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS x FROM t),
+c AS (SELECT page_id, url, i, trim(regexp_replace(x, '[\s\x{a0}\x{85}\x{2028}\x{3000}]+', ' ', 'g')) AS x FROM d)
+SELECT page_id, url, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY i) FILTER (WHERE x <> ''), '') AS text,
+       coalesce(length(string_agg(x, chr(10) || chr(10) ORDER BY i) FILTER (WHERE x <> '')), 0)::BIGINT AS n_chars
+FROM c GROUP BY page_id, url
+"""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import oracles
 from colloquy.llm.decontamination import contamination
+from colloquy.llm.html_extraction import extracted
+from colloquy.llm.html_extraction import learn as learn_layout
 from colloquy.llm.language_id import identify, learn
 from colloquy.llm.mixing import mix_sources
 from colloquy.llm.near_dedup import near_duplicates
@@ -96,6 +98,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, held_out(10, 0)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages(spark, sf_dir).select("page_id", "url", "html")
+    return extracted(found, learn_layout(found))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = aligned(documents(spark, sf_dir).select("doc_id", "text"), f"{TOKENIZERS}/{BYTE_BPE}", f"{TOKENIZERS}/{PIECE_BPE}")
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
@@ -117,6 +124,7 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_language_id": op9_language_id,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_html_extraction": op11_html_extraction,
     "op12_token_alignment": op12_token_alignment,
     "op13_whitening": op13_whitening,
 }
@@ -128,4 +136,5 @@ ORACLES = {
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_minhash": oracles.NEAR_DEDUP,
     "op7_url_filters": oracles.URL_FILTERS,
+    "op11_html_extraction": oracles.HTML_EXTRACTION,
 }
