@@ -7,7 +7,6 @@ from colloquy.functions import parsers as P
 from colloquy.functions import text as X
 from colloquy.operators import aggregates as A
 from colloquy.operators import deleak as D
-from colloquy.operators import external as E
 from colloquy.operators import filters as L
 from colloquy.operators import intervals as I
 from colloquy.operators import joins as K
@@ -257,24 +256,6 @@ def test_leakage_and_resume(spark):
     assert {r.id for r in K.remaining(df.select("id").distinct(), done, "id", False).collect()} == {"c"}
 
 
-def test_plug_in_keeps_errors_as_columns(spark):
-    calls = {"x": 0}
-
-    def make():
-        def client(row):
-            if row["text"] == "bad":
-                raise ValueError("no")
-            if row["text"] == "late":
-                raise E.Transient("again")
-            return {"label": row["text"].upper()}
-
-        return client
-
-    df = spark.createDataFrame([("ok",), ("bad",), ("late",)], "text string")
-    got = {r.text: (r.label, r.status, r.attempts) for r in E.called(df, make, "label string", retries=2, wait=0.01).collect()}
-    assert got == {"ok": ("OK", "ok", 1), "bad": (None, "error", 1), "late": (None, "error", 2)} and calls["x"] == 0
-
-
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([("a", "train", 1), ("b", "test", 2)], "id string, split string, n int")
     manifest = {r.split: r.rows for r in sinks.parquet_with_manifest(df, str(tmp_path / "p"), "split").collect()}
