@@ -307,7 +307,7 @@ class Restaurants:
         at = self.context[self.busy]
         others = self.whole(self.tables_of(tables), sums.sliced_tables)[at] - tables
         key = step_key(2 * sweep, self.contexts[at], self.words[self.word_of])
-        return seated(self.customers[self.busy], others, parent[self.word_of], DISCOUNT, STRENGTH, key)
+        return seated(self.customers[self.busy], others, parent[self.word_of], DISCOUNT, STRENGTH, key, tables)
 
 
 def _sweep_contexts(deal: Deal, sums: Sums, sweep: int):
@@ -354,7 +354,7 @@ def _sweep_words(sums: Sums, sweep: int):
         tables = (customers > 0).astype(np.int64) if tables is None else tables
         even = np.full(len(words), 1.0 / (sums.vocabulary + 1))
         key = step_key(2 * sweep + 1, words)
-        tables = seated(customers, sums.tables - tables, even, PARENT_DISCOUNT, PARENT_STRENGTH, key)
+        tables = seated(customers, sums.tables - tables, even, PARENT_DISCOUNT, PARENT_STRENGTH, key, tables)
         kept = {k: x for k, x in (state[0].items() if state else ()) if k.startswith(("guests", "held"))}
         if sweep > BURN_IN:
             kept |= {f"guests{sweep}": slim(customers), f"held{sweep}": slim(tables)}

@@ -1,5 +1,6 @@
 """Pitman-Yor scoring against exact distributions, a plain chain over the whole corpus, and customer-by-customer Gibbs sampling."""
 
+import functools
 import math
 import random
 from collections import Counter, defaultdict
@@ -16,29 +17,62 @@ from test_brute import WORD
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+@functools.lru_cache(2)
+def logs_of(customers, discount):
+    """Logs of the weights of each number of tables before what new tables weigh, by the recursion over customers."""
+    logs, tables = np.full(customers + 2, -np.inf), np.arange(customers + 2)
+    logs[1] = 0
+    for seated in range(1, customers):
+        joined = logs[1 : seated + 2] + np.log(np.maximum(seated - discount * tables[1 : seated + 2], 1e-300))
+        logs[1 : seated + 2] = np.logaddexp(joined, logs[: seated + 1])
+    return logs
+
+
 def exact(customers, weight, step, discount):
     """Chances of each number of tables."""
-    chance = np.zeros(customers + 2)
-    chance[1], tables = 1, np.arange(customers + 2)
-    for seated in range(1, customers):
-        joined = chance * np.maximum(seated - discount * tables, 0)
-        joined[1:] += chance[:-1] * (weight + step * tables[:-1])
-        chance = joined / joined.sum()
-    return chance
+    logs = logs_of(customers, discount).copy()
+    logs[2:] += np.cumsum(np.log(weight + step * np.arange(1, customers + 1)))
+    chance = np.exp(logs - logs.max())
+    return chance / chance.sum()
 
 
 @pytest.mark.parametrize("discount,strength", [(P.DISCOUNT, P.STRENGTH), (P.PARENT_DISCOUNT, P.PARENT_STRENGTH)])
 def test_seatings_have_the_chances_of_the_restaurant(discount, strength):
     rng = np.random.default_rng(4)
-    for customers in (1, 2, 3, 5, 12, 60):
-        for others, parent in ((0, 1e-6), (3, 0.2), (20, 0.01), (500, 0.05), (3000, 0.3)):
-            n = 20_000
-            key = rng.integers(0, 2**63, n).astype(np.uint64)
-            got = S.seated(np.full(n, customers), np.full(n, others), np.full(n, parent), discount, strength, key)
+    for customers in (1, 2, 3, 5, 12, 60, 1024, 1025, 3000, 10_000):
+        for others, parent in ((0, 1e-6), (3, 0.2), (20, 0.01), (20, 0.9), (500, 0.05), (3000, 0.3), (50_000, 0.05), (5000, 0.9)):
+            n = 20_000 if customers < 100 else 2000
             want = exact(customers, (strength + discount * others) * parent, discount * parent, discount)
             mean = (want * np.arange(len(want))).sum()
             spread = math.sqrt(max((want * np.arange(len(want)) ** 2).sum() - mean**2, 0))
-            assert abs(got.mean() - mean) <= 4 * spread / math.sqrt(n) + 0.01 * mean
+            got = np.ones(n, np.int64)
+            for _ in range(1 if customers <= S.TABLE else 3):  # a chain begins far off
+                key = rng.integers(0, 2**63, n).astype(np.uint64)
+                got = S.seated(np.full(n, customers), np.full(n, others), np.full(n, parent), discount, strength, key, got)
+            assert abs(got.mean() - mean) <= 4 * spread / math.sqrt(n) + 1e-3, (customers, others, parent)
+            assert abs(got.std() - spread) <= 0.1 * spread + 0.02, (customers, others, parent)
+
+
+def test_a_chain_that_has_the_right_chances_keeps_them():
+    customers, others, parent, n = 1500, 40, 0.4, 20_000
+    want = exact(customers, (P.STRENGTH + P.DISCOUNT * others) * parent, P.DISCOUNT * parent, P.DISCOUNT)
+    rng = np.random.default_rng(6)
+    got = rng.choice(len(want), n, p=want)
+    for _ in range(5):
+        got = S.seated(np.full(n, customers), np.full(n, others), np.full(n, parent), P.DISCOUNT, P.STRENGTH, rng.integers(0, 2**63, n).astype(np.uint64), got)
+    places = np.flatnonzero(want * n > 20)
+    off = (np.bincount(got, minlength=len(want))[places] - n * want[places]) ** 2 / (n * want[places])
+    assert off.sum() < len(places) + 4 * math.sqrt(2 * len(places))
+
+
+@pytest.mark.parametrize("discount", [P.DISCOUNT, P.PARENT_DISCOUNT])
+def test_stirling_numbers_without_the_recursion(discount):
+    for c in (300, S.TABLE):
+        t = np.arange(1.0, c)
+        off = S.log_stirling(np.full(len(t), float(c)), t, discount) + math.lgamma(c) - S.stirling_table(discount)[c, 1:c]
+        few = t <= S.SUMMED * c**discount
+        assert np.abs(off[few]).max() < 1e-7 and np.abs(off[~few]).max() < 0.01 and np.abs(np.diff(off[~few])).max() < 1e-2
+        assert np.abs(np.diff(off)[: int(0.9 * c)]).max() < 4e-3
 
 
 def test_gamma():
@@ -85,7 +119,7 @@ class Chain:
             own = np.array([self.tables[d] for d in dishes])
             others = np.array([all_of[u] for u, _ in dishes]) - own
             keys = P.step_key(2 * n, np.array([u for u, _ in dishes], np.uint64), np.array([w for _, w in dishes], np.uint64))
-            new = S.seated(np.array([self.counts[d] for d in dishes]), others, np.array([self.parent(w) for _, w in dishes]), P.DISCOUNT, P.STRENGTH, keys)
+            new = S.seated(np.array([self.counts[d] for d in dishes]), others, np.array([self.parent(w) for _, w in dishes]), P.DISCOUNT, P.STRENGTH, keys, own)
             self.tables = dict(zip(dishes, new.tolist()))
         self.guests = Counter()
         for (_, w), t in self.tables.items():
@@ -93,7 +127,7 @@ class Chain:
         words = list(self.guests)
         own = np.array([self.held[w] for w in words])
         even = np.full(len(words), 1 / (self.v + 1))
-        new = S.seated(np.array([self.guests[w] for w in words]), sum(self.held.values()) - own, even, P.PARENT_DISCOUNT, P.PARENT_STRENGTH, P.step_key(2 * n + 1, np.array(words, np.uint64)))
+        new = S.seated(np.array([self.guests[w] for w in words]), sum(self.held.values()) - own, even, P.PARENT_DISCOUNT, P.PARENT_STRENGTH, P.step_key(2 * n + 1, np.array(words, np.uint64)), own)
         self.held = dict(zip(words, new.tolist()))
         self.sums = P.Sums(sum(self.guests.values()), sum(self.held.values()), self.v, np.zeros(0), np.zeros(0))
         self.here, self.all_of = Counter(), Counter()
