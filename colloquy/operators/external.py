@@ -157,7 +157,7 @@ def _asked(batches: Iterator[pa.RecordBatch], rows_a_call: int) -> Iterator[Aske
             yield Asked(batch, list(range(at, min(at + rows_a_call, batch.num_rows))))
 
 
-def called(df: DataFrame, make_client: Callable[[], Client], schema: str, rule: Rule = RULES["generate"], concurrency: int = 16, per_second: float | None = None, rows_a_call: int = 1) -> DataFrame:
+def called(df: DataFrame, make_client: Callable[[], Client], schema: str, rule: Rule = RULES["generate"], concurrency: int = 16, per_second: float | None = None, rows_a_call: int = 1, tally=None) -> DataFrame:
     """`df` with the client's columns, attempts, status (`ok` or `error`), error and latency_seconds.
 
     Each task keeps `concurrency` calls going, over the borders of Arrow batches, and rows come out
@@ -165,7 +165,8 @@ def called(df: DataFrame, make_client: Callable[[], Client], schema: str, rule:
     over 1 the client is given a list of rows and must return as many dicts; any other reply is a
     failure of all of them. A reply that doesn't fit `schema` is a failure too. Rows of a failed
     call go as `rule` says. Null values are given to the client as None, and an empty table
-    makes no call.
+    makes no call. A `tally` (see `streaming.progress`) is told of each row that is `ok` or an
+    `error`, and of attempts.
     """
     made = T.StructType.fromDDL(schema)
     names, kinds = made.fieldNames(), list(to_arrow_schema(made).types)
@@ -212,6 +213,8 @@ def called(df: DataFrame, make_client: Callable[[], Client], schema: str, rule:
                     if outcome.error and rule.failure == "raise":
                         raise CallFailed(outcome.error)
                     held.append((asked, outcome))
+                    if tally is not None:
+                        tally.add({"error" if outcome.error else "ok": len(asked.places), "attempts": outcome.attempts})
                 if held and (len(held) * rows_a_call >= OUT_ROWS or time.monotonic() - since >= OUT_SECONDS):
                     yield from sent(held)
                     held, since = [], time.monotonic()

@@ -11,24 +11,35 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def resumable(spark: SparkSession, source: str, schema: str, work, log: str, checkpoint: str, key: str = "id", files_at_once: int = 8) -> StreamingQuery:
-    """Runs `work` over new JSON lines of `source` and appends its rows to `log`, each key once.
+def resumable(spark: SparkSession, source: str, schema: str, work, log: str, checkpoint: str, key: str = "id", files_at_once: int = 8, most_attempts: int = 3, known_for: tuple[str, str] | None = None) -> StreamingQuery:
+    """Runs `work` over new JSON lines below `source` and puts its rows into `log`, each key once.
 
-    The checkpoint knows which files are done. A batch that is run again, or a key that comes
-    again in another file, is held against the log first.
+    Keys that came before are held in the stream's state store, so no batch reads the log, and a
+    batch costs what is new in it. With `known_for`, a time column and an interval, a key is forgotten
+    once the watermark has passed it by that much; else none is. A batch's rows are a partition of
+    `log` that a batch run again writes anew, so what is run again adds nothing.
+
+    Rows that `work` gives the status `error` are written below `source` once more with the next
+    number in `attempt`, up to `most_attempts` of them, and a later run finds them there. `schema` and
+    the rows of `work` must have the columns of the items; `attempt` is added and counts from 1.
     """
+    kept = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def batch(items: DataFrame, number: int) -> None:
-        session = items.sparkSession
-        todo = items.dropDuplicates([key])
-        try:
-            todo = todo.join(session.read.parquet(log).select(key).distinct(), key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        work(todo).write.mode("append").parquet(log)
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(source)
+        path = f"{log}/batch={number}"
+        work(items).write.mode("overwrite").parquet(path)
+        done = items.sparkSession.read.parquet(path)
+        if "status" in done.columns:
+            failed = done.where((F.col("status") == "error") & (F.col("attempt") < most_attempts)).select(*kept, (F.col("attempt") + 1).alias("attempt"))
+            if not failed.isEmpty():
+                failed.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{source}/again-{number}")
+
+    stream = spark.readStream.schema(f"{schema}, attempt int").option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", True).json(source)
+    stream = stream.withColumn("attempt", F.coalesce("attempt", F.lit(1)))
+    if known_for:
+        stream = stream.withWatermark(*known_for).dropDuplicatesWithinWatermark([key, "attempt"])
+    else:
+        stream = stream.dropDuplicates([key, "attempt"])
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

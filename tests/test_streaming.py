@@ -1,16 +1,110 @@
-from colloquy.streaming import jobs
+import datetime
+import json
+import time
+
+from colloquy.operators import external
+from colloquy.streaming import jobs, progress
 from pyspark.sql import functions as F
 
 
+def put(spark, rows, path):
+    spark.createDataFrame(rows, "id string, at timestamp").coalesce(1).write.mode("append").json(path)
+
+
 def test_resumable_log_does_each_key_once(spark, tmp_path):
     source, log, mark = (str(tmp_path / x) for x in ("in", "log", "mark"))
-    items = spark.createDataFrame([("a",), ("b",)], "id string")
-    items.write.json(source)
-    work = lambda df: df.withColumn("done", F.lit(True))
-    jobs.resumable(spark, source, "id string", work, log, mark).awaitTermination()
-    spark.createDataFrame([("b",), ("c",)], "id string").write.mode("append").json(source)
-    jobs.resumable(spark, source, "id string", work, log, mark).awaitTermination()
+    seen = []
+
+    def work(items):
+        seen.append(items.count())
+        return items.withColumn("done", F.lit(True))
+
+    for ids in ("ab", "bc", "abc"):
+        put(spark, [(i, None) for i in ids], source)
+        jobs.resumable(spark, source, "id string, at timestamp", work, log, mark).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(log).collect()) == ["a", "b", "c"]
+    assert seen[:2] == [2, 1] and sum(seen) == 3
+    jobs.resumable(spark, source, "id string, at timestamp", work, log, mark).awaitTermination()
+    assert sum(seen) == 3, "nothing new, nothing done"
+
+
+def test_a_batch_that_is_run_again_adds_nothing(spark, tmp_path):
+    source, log, mark = (str(tmp_path / x) for x in ("in", "log", "mark"))
+    put(spark, [("a", None), ("b", None)], source)
+    runs = []
+
+    def work(items):
+        runs.append(1)
+        return items.withColumn("done", F.lit(len(runs)))
+
+    jobs.resumable(spark, source, "id string, at timestamp", work, log, mark).awaitTermination()
+    for f in (tmp_path / "mark" / "commits").iterdir():  # as if the driver had been lost before it took note of the batch
+        f.unlink()
+    jobs.resumable(spark, source, "id string, at timestamp", work, log, mark).awaitTermination()
+    assert len(runs) == 2 and sorted((r.id, r.done) for r in spark.read.parquet(log).collect()) == [("a", 2), ("b", 2)]
+
+
+def test_failed_rows_come_again_in_a_later_run(spark, tmp_path):
+    source, log, mark = (str(tmp_path / x) for x in ("in", "log", "mark"))
+    put(spark, [("a", None), ("bad", None)], source)
+    work = lambda items: items.withColumn("status", F.when((F.col("id") == "bad") & (F.col("attempt") < 3), "error").otherwise("ok"))
+    for _ in range(5):
+        jobs.resumable(spark, source, "id string, at timestamp", work, log, mark).awaitTermination()
+    assert sorted((r.id, r.attempt, r.status) for r in spark.read.parquet(log).collect()) == [("a", 1, "ok"), ("bad", 1, "error"), ("bad", 2, "error"), ("bad", 3, "ok")]
+
+
+def test_keys_are_forgotten_after_their_time(spark, tmp_path):
+    source, log, mark = (str(tmp_path / x) for x in ("in", "log", "mark"))
+    day = lambda d: datetime.datetime(2024, 1, d)
+    work = lambda items: items
+    for rows in ([("a", day(1))], [("a", day(2))], [("b", day(20))], [("a", day(21))]):
+        put(spark, rows, source)
+        jobs.resumable(spark, source, "id string, at timestamp", work, log, mark, known_for=("at", "5 days")).awaitTermination()
+    assert sorted((r.id, r["at"].day) for r in spark.read.parquet(log).collect()) == [("a", 1), ("a", 21), ("b", 20)]
+
+
+def test_counters_of_a_batch_equal_the_result(spark, tmp_path):
+    def client_maker():
+        def client(row):
+            if row["id"] % 5 == 0:
+                raise ValueError("no")
+            time.sleep(0.01)
+            return {"answer": row["id"]}
+
+        return client
+
+    counts, path = progress.tally(spark), str(tmp_path / "summary.json")
+    df = external.called(spark.range(0, 200, 1, 8), client_maker, "answer long", concurrency=2, tally=counts)
+    df, seen = progress.observed(df, "calls", errors=F.col("status") == "error")
+    summaries = []
+    with progress.Watch(spark, path, counts, selected=200, seconds=0.1) as watch:
+        put, watch.summary = watch.summary, lambda final: summaries.append(put(final)) or summaries[-1]
+        rows = df.collect()
+    final = json.loads((tmp_path / "summary.json").read_text())
+    errors = sum(r.status == "error" for r in rows)
+    assert (len(rows), errors) == (200, 40) and seen.get == {"rows": 200, "errors": 40}
+    assert final["final"] and final["counts"] == {"ok": 160, "error": 40, "attempts": 200} and final["tasks_done"] == final["tasks"] == 8
+    assert final["remaining"] == 40 and final["per_second"] > 0 and any(not s["final"] for s in summaries)
+
+
+def test_counters_of_a_stream_equal_the_result(spark, tmp_path):
+    source, log, path = (str(tmp_path / x) for x in ("in", "log", "summary.json"))
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").json(source)
+    listener = progress.StreamProgress(spark, path, "seen")
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).json(source).observe("seen", *progress.counters(odd=F.col("id") % 2 == 1))
+        stream.writeStream.format("parquet").option("path", log).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if (tmp_path / "summary.json").exists() and json.loads((tmp_path / "summary.json").read_text())["final"]:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    written = spark.read.parquet(log)
+    said = json.loads((tmp_path / "summary.json").read_text())
+    assert said == {"final": True, "batches": 3, "counts": {"rows": written.count(), "odd": written.where("id % 2 = 1").count()}}
 
 
 def test_merged_stream(spark, tmp_path):
