@@ -20,10 +20,6 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
-def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+", "")
-
-
 def rstrip(text: Column) -> Column:
     return F.regexp_replace(text, rf"{SPACE}+$", "")
 
@@ -89,16 +85,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def mixed_tokens(text: Column) -> Column:
-    """Latin words, single CJK characters, and other single visible characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+|[一-鿿]|[^\s]"), F.lit(0))
-
-
-def sentence_count(text: Column) -> Column:
-    """Parts that end marks and white space separate, blank ones apart."""
-    return F.size(F.filter(F.split(strip(text), r"(?<=[.!?])\s+"), lambda x: strip(x) != ""))
-
-
 def interleaved(text: Column, images: Column, marker: str = "<image>") -> Column:
     """Content parts: the text between markers, and for each marker its image in turn; empty text parts go."""
     pieces = F.split(text, r"\Q" + marker + r"\E", -1)
@@ -174,5 +160,28 @@ def clamp_linear(x: Column, low: float, high: float) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - low) / (high - low)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def round_binary(x: Column, digits: int = 3) -> Column:
+    """`x` rounded to `digits` places by its exact binary value, as Python does: 2.675 is a little less and goes to 2.67; true ties go to the even digit.
+
+    x * 10**digits is split into a rounded product and its exact error (both factors are cut in
+    halves whose products have no error), and what is over a whole number is held against a half.
+    Doubles so large that the product has no places are left as they are.
+    """
+    scale, cut = float(10**digits), 134217729.0  # 2**27 + 1
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        high = v * cut - (v * cut - v)
+        return high, v - high
+
+    def rounded(a: Column) -> Column:
+        (high, low), upper = halves(a), scale * cut - (scale * cut - scale)
+        lower, product = scale - upper, a * scale
+        error = ((high * upper - product) + high * lower + low * upper) + low * lower
+        whole = F.floor(product).cast("double")
+        over = (product - whole) - 0.5  # exact: both are multiples of the product's last place
+        up = (over + error > 0) | ((over == -error) & (whole % 2 == 1))
+        down = (over == -0.5) & (error < 0) & (-error > 0.5)
+        return F.when(product >= 2.0**52, a).otherwise((whole + F.when(up, 1.0).when(down, -1.0).otherwise(0.0)) / scale)
+
+    size = F.abs(x)
+    return F.when(F.isnan(x) | (size == float("inf")), x).otherwise(bound(size, rounded) * F.when(x < 0, -1.0).otherwise(1.0))

@@ -35,10 +35,6 @@ def long_enough(df: DataFrame, text: str, least: int = MIN_TEXT) -> DataFrame:
     return df.where(F.length(strip(F.col(text))) >= least)
 
 
-def normalized_role(role: Column) -> Column:
-    return F.when(role.isin(VALID_ROLES), role).otherwise("other")
-
-
 def normalized_reason(reason: Column) -> Column:
     cleaned = F.lower(strip(F.coalesce(reason, F.lit(""))))
     return F.when(cleaned.isin(DROP_REASONS), cleaned).otherwise("non_answer")

@@ -12,9 +12,17 @@ def last_by(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_l")).select(*key, "_l.*")
 
 
-def completed(items: DataFrame, responses: DataFrame, key: str, order: str) -> DataFrame:
-    """Items with their last response; extra responses drop out, and a missing one is marked so that a check can fail."""
-    return items.join(last_by(responses, [key], order).withColumn("_found", F.lit(True)), key, "left").withColumn("missing", F.col("_found").isNull()).drop("_found")
+def completed(items: DataFrame, responses: DataFrame, key: str, order: str, must: bool = False) -> DataFrame:
+    """Items with their last response; extra responses drop out, and a missing one is marked, or fails the job if it `must` be there."""
+    missing = F.col("_found").isNull()
+    if must:
+        missing = failing(missing, F.concat(F.lit("no response to "), F.coalesce(F.col(key).cast("string"), F.lit("a null key"))))
+    return items.join(last_by(responses, [key], order).withColumn("_found", F.lit(True)), key, "left").withColumn("missing", missing).drop("_found")
+
+
+def failing(bad: Column, said: Column) -> Column:
+    """`bad` where it is false; where it holds the job ends with `said`. It stands in a column that is read, so nothing moves ahead of it or drops it."""
+    return F.when(bad, F.raise_error(said).cast("boolean")).otherwise(F.lit(False))
 
 
 def judged(manifest: DataFrame, outputs: DataFrame, valid: Column, key: str = "custom_id") -> DataFrame:
@@ -30,10 +38,15 @@ def remaining(items: DataFrame, done: DataFrame, key: str, retry_errors: bool =
     return items.join(finished.select(key).distinct(), key, "left_anti")
 
 
-def frozen_scope(records: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Records with the scope frozen for their source and reference; null scope where there is none."""
+def frozen_scope(records: DataFrame, scopes: DataFrame, must: bool = False) -> DataFrame:
+    """Records with the scope frozen for their source and reference; without one it is null, or the job fails if it `must` be there."""
     keyed = records.withColumn("reference_sha256", F.sha2("reference", 256))
-    return keyed.join(scopes, ["source_id", "reference_sha256"], "left")
+    found = keyed.join(scopes.withColumn("_found", F.lit(True)), ["source_id", "reference_sha256"], "left")
+    if must:
+        said = F.concat_ws(" ", F.lit("no frozen scope for"), F.col("source_id").cast("string"), F.lit("and reference"), F.col("reference_sha256"))
+        scope = F.when(failing(F.col("_found").isNull(), said), F.lit(None)).otherwise(F.col("scope"))
+        found = found.withColumn("scope", scope)
+    return found.drop("_found")
 
 
 def leaked(df: DataFrame, split: str, identities: list[Column]) -> DataFrame:

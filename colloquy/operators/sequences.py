@@ -53,9 +53,9 @@ def previous_text(utterances: DataFrame, partition: list[str]) -> DataFrame:
     return utterances.withColumn("previous", F.lag("text").over(Window.partitionBy(*partition).orderBy("pos")))
 
 
-def until_next(df: DataFrame, partition: list[str], at: str, last: Column) -> DataFrame:
-    """`df` with end_sec: the next row's `at`, and `last` for the last row."""
-    return df.withColumn("end_sec", F.coalesce(F.lead(at).over(Window.partitionBy(*partition).orderBy(at)), last))
+def until_next(df: DataFrame, partition: list[str], order: list[str], last: Column) -> DataFrame:
+    """`df` with end_sec: the first column of `order` in the next row, and `last` for the last row; the other columns part ties."""
+    return df.withColumn("end_sec", F.coalesce(F.lead(order[0]).over(Window.partitionBy(*partition).orderBy(*order)), last))
 
 
 def turn_numbers(turns: DataFrame, partition: list[str]) -> DataFrame:

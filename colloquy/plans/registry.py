@@ -65,6 +65,14 @@ def event_runs(spark, sf):
     return Q.merged_runs(fx.utterances(spark, sf), ["recording"])
 
 
+@query(r"""
+SELECT conv_id, count(*) AS n_turns, string_agg('[' || role || '] ' || regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10) ORDER BY turn) AS transcript
+FROM conversations WHERE regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') <> '' GROUP BY conv_id
+""")
+def assembled_transcripts(spark, sf):
+    return A.assembled(turns(spark, sf), ["conv_id"], ["pos"], "speaker_id", "text").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "transcript")
+
+
 @query("""
 SELECT conv_id AS id, count(*) AS n_turns, string_agg('[' || CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END || '] ' || text, chr(10) ORDER BY turn) AS rendered, sum(length(text))::BIGINT AS n_chars
 FROM conversations WHERE trim(coalesce(text, '')) <> '' GROUP BY conv_id
@@ -119,8 +127,7 @@ SELECT recording, case_id, utterance_id, start_sec, coalesce(lead(start_sec) OVE
 """)
 def slide_ends(spark, sf):
     shown = I.within_cases(fx.utterances(spark, sf).where("speaker_id = 'view'"), fx.cases(spark, sf)).drop("end_sec")
-    w = Window.partitionBy("recording", "case_id").orderBy("start_sec", "utterance_id")
-    return shown.withColumn("end_sec", F.coalesce(F.lead("start_sec").over(w), F.col("case_end"))).select("recording", "case_id", "utterance_id", "start_sec", "end_sec")
+    return Q.until_next(shown, ["recording", "case_id"], ["start_sec", "utterance_id"], F.col("case_end")).select("recording", "case_id", "utterance_id", "start_sec", "end_sec")
 
 
 @query("""
@@ -281,11 +288,10 @@ def run_key(spark, sf):
 
 
 @query(r"""
-SELECT page_id, concat_ws('_', 'task2', substr(regexp_replace(url, '[^a-zA-Z0-9]', '_', 'g'), 1, 20), substr(sha256('task2' || chr(31) || url || chr(31) || page_id), 1, 20)) AS custom_id FROM pages
+SELECT page_id, concat_ws('_', 'task2', substr(regexp_replace(url, '[^a-zA-Z0-9]', '_', 'g'), 1, 20), substr(sha256('task2' || chr(0) || coalesce(url, '') || chr(0) || coalesce(page_id::VARCHAR, '')), 1, 20)) AS custom_id FROM pages
 """)
 def custom_id(spark, sf):
-    digest = F.substring(X.sha256(F.concat_ws("\u001f", F.lit("task2"), F.col("url"), F.col("page_id").cast("string"))), 1, 20)
-    return table(spark, sf, "pages").select("page_id", F.concat_ws("_", F.lit("task2"), X.safe_id(F.col("url")), digest).alias("custom_id"))
+    return table(spark, sf, "pages").select("page_id", X.custom_id(F.lit("task2"), F.col("url"), F.col("page_id")).alias("custom_id"))
 
 
 @query(r"""
