@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +81,51 @@ def merged_stream(utterances: DataFrame) -> DataFrame:
 def windowed_activity(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Rows and sums of each kind in windows of event time; what comes later than `late` drops out."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def _unlike(threshold: float):
+    """Holds a group's rows until the watermark has passed them, then takes them in order of time and number, as the batch form does."""
+
+    def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        width, kept, micros, numbers, held = state.get if state.exists else (0, b"", [], [], b"")
+        micros, numbers = list(micros), list(numbers)
+        rows = [] if state.hasTimedOut else [p for p in pdfs if len(p)]
+        vectors = [np.array(p["_vector"].tolist(), np.float64) for p in rows]
+        width = width or next((v.shape[1] for v in vectors), 0)
+        kept, held = (np.frombuffer(x).reshape(-1, max(width, 1)) for x in (kept, held))
+        held = np.concatenate([held, *vectors])
+        for p in rows:
+            micros += p["_micros"].tolist()
+            numbers += p["_number"].tolist()
+        order = np.lexsort((numbers, micros))
+        passed = [i for i in order if micros[i] < state.getCurrentWatermarkMs() * 1000]
+        out, chosen = [], list(kept)
+        for i in passed:
+            norm = np.linalg.norm(held[i])
+            unit = held[i] / (norm or 1)
+            if not chosen or (np.array(chosen) @ unit).max() < threshold:
+                chosen.append(unit)
+                out.append((key[0], micros[i], numbers[i]))
+        left = np.setdiff1d(np.arange(len(micros)), passed)
+        state.update((width, np.array(chosen, np.float64).tobytes(), [micros[i] for i in left], [numbers[i] for i in left], held[left].tobytes()))
+        if len(left):
+            state.setTimeoutTimestamp(max(min(micros[i] for i in left) // 1000, state.getCurrentWatermarkMs()) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["_group", "_micros", "_number"])
+
+    return run
+
+
+def greedy_stream(crops: DataFrame, group: str, at: str, number: str, vector: str = "embedding", threshold: float = 0.92, late: str = "1 minute") -> DataFrame:
+    """(group, at, number) of the rows of a stream that a scan of each group by time, and number in ties, keeps: those unlike all kept before.
+
+    Rows wait in the group's state until the watermark, `late` behind the latest time seen, has passed
+    them, so the result is the batch's whatever order they come in within that; what comes later still
+    drops out. A group's state holds the vectors kept and the rows that wait, so it is as large as
+    what its recording shows. Vectors of a group have one length; null vectors and times drop out.
+    """
+    rows = crops.where(F.col(vector).isNotNull() & F.col(at).isNotNull()).withWatermark(at, late)
+    rows = rows.select(F.col(group).cast("string").alias("_group"), at, F.unix_micros(at).alias("_micros"), F.col(number).cast("long").alias("_number"), F.col(vector).cast("array<double>").alias("_vector"))
+    state = "width int, kept binary, micros array<long>, numbers array<long>, held binary"
+    kept = rows.groupBy("_group").applyInPandasWithState(_unlike(threshold), "_group string, _micros long, _number long", state, "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.select(F.col("_group").alias(group), F.timestamp_micros("_micros").alias(at), F.col("_number").alias(number))

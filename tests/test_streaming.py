@@ -2,7 +2,8 @@ import datetime
 import json
 import time
 
-from colloquy.operators import external
+import numpy as np
+from colloquy.operators import external, sequences
 from colloquy.streaming import jobs, progress
 from pyspark.sql import functions as F
 
@@ -120,3 +121,28 @@ def test_merged_stream(spark, tmp_path):
 def test_windows_over_event_time(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type", "value")
     assert jobs.windowed_activity(df).agg(F.sum("n")).first()[0] == df.count()
+
+
+def test_greedy_stream_equals_the_batch_in_any_order_within_the_watermark(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    schema, start = "recording string, at timestamp, n long, embedding array<float>", datetime.datetime(2024, 1, 1)
+    centres = rng.normal(size=(6, 8))
+    rows = [(r, start + datetime.timedelta(seconds=i // 2), i, [float(x) for x in centres[rng.integers(6)] + 0.15 * rng.normal(size=8)]) for r in ("r", "s") for i in range(60)]
+    rows[7] = (*rows[7][:3], [0.0] * 8)
+    want = set()
+    for r in ("r", "s"):
+        own = [x for x in rows if x[0] == r]
+        kept = sequences.kept_greedily(np.array([np.float32(x[3]) for x in own], np.float64), 0.92)
+        want |= {(x[0], x[1], x[2]) for x, k in zip(own, kept) if k}
+    assert 10 < len(want) < 110
+    for turn in range(2):
+        source = str(tmp_path / f"in{turn}")
+        come = sorted(rows, key=lambda x: x[1] + datetime.timedelta(seconds=float(rng.random() * 8)))
+        end = [("end", start + datetime.timedelta(hours=1), 0, [1.0] * 8)]
+        for at in range(0, len(come), 30):
+            spark.createDataFrame(come[at : at + 30], schema).coalesce(1).write.mode("append").parquet(source)
+        spark.createDataFrame(end, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.greedy_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "recording", "at", "n", late="10 seconds")
+        q = stream.writeStream.format("memory").queryName(f"greedy{turn}").option("checkpointLocation", str(tmp_path / f"c{turn}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert {(r.recording, r["at"], r.n) for r in spark.table(f"greedy{turn}").collect()} == want
