@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.shared import small, stored
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
+#: Hosts that are addresses, which have no parent domains.
+ADDRESS = r"^(\[.*|[0-9.]+)$"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of a URL without user, port and last dot; null if there is none."""
+    """Lower-case host of a URL without user, port and last dot; null if there is none. An IPv6 address keeps its brackets."""
     return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.+$", ""), F.lit(""))
 
 
 def domains_of(host: Column) -> Column:
-    """The host and its parent domains of two labels or more, longest first."""
+    """The host and its parent domains of two labels or more, longest first; an address is all there is of it."""
     labels = F.split(host, r"\.")
+    return F.when(host.rlike(ADDRESS), F.array(host)).otherwise(_parents(labels))
+
+
+def _parents(labels: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
@@ -38,7 +44,8 @@ def filtered(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
 
     A capture without a host, or a null fetch time, meets no entry: the results are null, and
     blocked is false. Entries with a null are left out; repeated entries count once. Repeated
-    captures are each judged. Columns of `captures` with a result's name are replaced. Empty
+    captures are each judged. Columns of `captures` with a result's name are replaced; names
+    that begin with `_` are reserved. URLs of any length are read whole. Empty
     tables give an empty result, or one without matches. A host that has many of the captures is
     no group here: the list's intervals are joined by domain, and broadcast if few.
     """

@@ -324,6 +324,19 @@ def test_url_filters(spark):
     assert got.count() == 7
 
 
+def test_url_filters_of_addresses(spark):
+    urls = ["http://1.2.3.4/x", "http://u@1.2.3.4:80/", "http://9.2.3.4", "http://[2001:db8::1]:8080/a", "http://[2001:DB8::1]", "http://a.2.3.4x.com/", "http://[bad/x"]
+    entries = spark.createDataFrame([("2.3.4", "block"), ("1.2.3.4", "block"), ("[2001:db8::1]", "block"), ("3.4x.com", "block")], "domain string, action string").withColumn("dated", F.to_date(F.lit("2024-01-01")))
+    seen = spark.createDataFrame([(u,) for u in urls], "url string").withColumns({"fetched": F.to_date(F.lit("2024-02-01")), "blocked": F.lit("x")})
+    got = {r.url: (r.host, r.matched_domain, r.blocked) for r in url_filters.filtered(seen, entries).collect()}
+    assert got == {
+        urls[0]: ("1.2.3.4", "1.2.3.4", True), urls[1]: ("1.2.3.4", "1.2.3.4", True), urls[2]: ("9.2.3.4", None, False), urls[3]: ("[2001:db8::1]", "[2001:db8::1]", True),
+        urls[4]: ("[2001:db8::1]", "[2001:db8::1]", True), urls[5]: ("a.2.3.4x.com", "3.4x.com", True), urls[6]: ("[bad", None, False),
+    }
+    assert url_filters.filtered(seen.limit(0), entries).count() == 0
+    assert [r.blocked for r in url_filters.filtered(seen, entries.limit(0)).collect()] == [False] * len(urls)
+
+
 def test_empty_tables(docs, spark):
     none = docs.limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
