@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions import parsers as P
+from colloquy.functions import schemas as V
 from colloquy.functions import text as X
 from colloquy.operators import aggregates as A
 from colloquy.operators import deleak as D
@@ -285,3 +286,30 @@ def bad_output_ids(spark, sf):
     base = F.col("conv_id") * 1000
     outputs = c.select(F.when((F.col("conv_id") % 5 == 0) & (F.col("pos") == 0), "").otherwise(F.when(F.col("conv_id") % 3 == 0, base + F.col("pos")).otherwise(base).cast("string")).alias("id"))
     return L.bad_ids(outputs, c.select(base.cast("string").alias("id")), "id")
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN '$: json' WHEN 2 THEN '$: type' WHEN 3 THEN '$: required' WHEN 4 THEN '$: additionalProperties' WHEN 5 THEN '$.clinical_equivalence_score: maximum'
+  WHEN 6 THEN '$.clinical_equivalence_score: minimum' WHEN 7 THEN '$.clinical_equivalence_score: type' WHEN 8 THEN '$.critical_error: type' END AS broken FROM documents
+""")
+def rubric_checks(spark, sf):
+    part = lambda *values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % 9 + 1).cast("int"))
+    score, flag = part("3", "3", "3", "3", "3", "6", "0", "3.0", "3"), part(*["true"] * 8, '"no"')
+    tail = part(', "rationale": ', ', "rationale": ', ', "rationale": ', ', "unsupported_claim": true}', ', "more": 1, "rationale": ', *[', "rationale": '] * 4)
+    said = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t")))
+    text = F.substring(said, F.lit(6), F.length(said) - 6)
+    body = F.concat(F.lit('{"clinical_equivalence_score": '), score, F.lit(', "critical_error": '), flag, F.when(F.col("doc_id") % 9 == 3, "").otherwise(', "unsupported_claim": false'), tail, F.when(F.col("doc_id") % 9 == 3, "").otherwise(F.concat(text, F.lit("}"))))
+    body = F.when(F.col("doc_id") % 9 == 1, F.concat(body, F.lit(" {}"))).when(F.col("doc_id") % 9 == 2, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
+    return table(spark, sf, "documents").select("doc_id", V.violation(body, V.rubric("clinical_equivalence")).alias("broken"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, doc_id % 7 - 1 AS s, unnest(['therapy', 'surgery', 'next_action', 'clinical_trial']) AS name, unnest([0, 1, 2, 3]) AS i FROM documents),
+b AS (SELECT doc_id, arg_min(CASE WHEN (doc_id + i) % 3 = 0 AND s > -1 THEN '$.' || name || ': maximum' WHEN (doc_id + i) % 3 <> 0 AND s < 0 THEN '$.' || name || ': minimum' END, i) AS broken FROM d GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN '$: required' WHEN broken IS NOT NULL THEN broken WHEN text = '' THEN '$.rationale: minLength' WHEN length(text) > 1200 THEN '$.rationale: maxLength' END AS broken FROM documents JOIN b USING (doc_id)
+""")
+def scoped_checks(spark, sf):
+    k = F.col("doc_id")
+    body = F.to_json(F.struct(*[(k % 7 - 1).alias(n) for n in V.DECISIONS], F.col("text").alias("rationale")))
+    scope = {n: F.when((k + i) % 3 == 0, "absent").otherwise("positive") for i, n in enumerate(V.DECISIONS)}
+    return table(spark, sf, "documents").select("doc_id", V.violation(body, V.scoped(scope)).alias("broken"))
