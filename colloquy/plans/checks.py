@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from colloquy.functions import edits as E
 from colloquy.functions import parsers as P
 from colloquy.functions import schemas as V
 from colloquy.functions import text as X
@@ -313,3 +314,72 @@ def scoped_checks(spark, sf):
     body = F.to_json(F.struct(*[(k % 7 - 1).alias(n) for n in V.DECISIONS], F.col("text").alias("rationale")))
     scope = {n: F.when((k + i) % 3 == 0, "absent").otherwise("positive") for i, n in enumerate(V.DECISIONS)}
     return table(spark, sf, "documents").select("doc_id", V.violation(body, V.scoped(scope)).alias("broken"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, i AS p, 'removed' AS kind, i || '.' || w AS words FROM w WHERE i % 3 = 2 UNION ALL
+      SELECT doc_id, CASE WHEN i % 3 = 2 THEN i ELSE i + 1 END, 'added', i || '+' || w FROM w WHERE i % 7 = 3),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'removed') AS n_removed, count(*) FILTER (kind = 'added') AS n_added, sha256(string_agg(kind || ':' || p || ':' || words, chr(10) ORDER BY p, kind DESC)) AS spans_sha256 FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_added, 0)::BIGINT AS n_added, coalesce(spans_sha256, sha256('')) AS spans_sha256 FROM documents LEFT JOIN g USING (doc_id) WHERE text IS NOT NULL
+""")
+def deleak_spans(spark, sf):
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    mark = lambda sign: lambda w, i: F.concat(i.cast("string"), F.lit(sign), w)
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", words.alias("w"))
+    left = F.transform("w", lambda w, i: F.concat_ws(" ", F.when(i % 3 != 2, mark(".")(w, i)), F.when(i % 7 == 3, mark("+")(w, i))))
+    docs = docs.select("doc_id", F.array_join(F.transform("w", mark(".")), " ").alias("before"), F.array_join(left, "\n").alias("after"))
+    found = docs.select("doc_id", E.edit_spans(F.col("before"), F.col("after")).alias("s"))
+    n = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long")
+    text = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["kind"], x["at"].cast("string"), x["words"])), "\n")
+    return found.select("doc_id", n("removed").alias("n_removed"), n("added").alias("n_added"), F.sha2(text, 256).alias("spans_sha256"))
+
+
+@query("""
+WITH s AS (SELECT conv_id, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z0-9]+')))) AS known FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id)
+SELECT conv_id, turn AS pos, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')), lambda x: length(x) >= 4 AND NOT list_contains(coalesce(known, []), x))), ' ') AS outside
+FROM conversations LEFT JOIN s USING (conv_id) WHERE role = 'assistant'
+""")
+def deleak_vocabulary(spark, sf):
+    c = turns(spark, sf)
+    out = D.outside_vocabulary(c.where("speaker_id = 'assistant'"), ["conv_id", "pos"], "conv_id", "text", c.where("speaker_id = 'user'"))
+    return out.select("conv_id", "pos", F.array_join("outside", " ").alias("outside"))
+
+
+VERDICTS = "v AS (SELECT doc_id, lang, CASE WHEN doc_id % 10 = 0 THEN 'drop' WHEN doc_id % 10 < 9 THEN 'keep' END AS verdict FROM documents)"
+
+
+def _verdicts(spark, sf):
+    k = F.col("doc_id")
+    return table(spark, sf, "documents").select("doc_id", "lang", F.when(k % 10 == 0, "drop").when(k % 10 < 9, "keep").alias("verdict"))
+
+
+@query(f"""
+WITH {VERDICTS}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('audit:' || doc_id)) AS n FROM v WHERE verdict = 'keep')
+SELECT doc_id, lang, false AS kept FROM v WHERE verdict IS DISTINCT FROM 'keep' UNION ALL SELECT doc_id, lang, true FROM r WHERE n <= CASE WHEN lang = 'en' THEN 40 ELSE 15 END
+""")
+def audit_sample(spark, sf):
+    return D.audit_sample(_verdicts(spark, sf), "lang", "doc_id", {"en": 40}, 15, "audit").select("doc_id", "lang", "kept")
+
+
+@query(f"""
+WITH {VERDICTS}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('audit:' || doc_id)) AS n FROM v WHERE verdict = 'keep'), s AS (SELECT * FROM r WHERE n <= CASE WHEN lang = 'en' THEN 40 ELSE 15 END),
+a AS (SELECT lang, count(*) AS sampled, count(*) FILTER (doc_id % 5 >= 2) AS repaired FROM s GROUP BY lang)
+SELECT v.lang, v.keeps, coalesce(sampled, 0)::BIGINT AS sampled, coalesce(repaired, 0)::BIGINT AS repaired, round(repaired / sampled, 9) AS rate FROM (SELECT lang, count(*) FILTER (verdict = 'keep') AS keeps FROM v GROUP BY lang) v LEFT JOIN a ON v.lang IS NOT DISTINCT FROM a.lang
+""")
+def audit_report(spark, sf):
+    found = F.element_at(F.array(*map(F.lit, D.AUDIT_CLASSES)), (F.col("doc_id") % 5 + 1).cast("int"))
+    audited = D.audit_sample(_verdicts(spark, sf), "lang", "doc_id", {"en": 40}, 15, "audit").withColumn("class", found)
+    return D.audit_report(_verdicts(spark, sf), audited, "lang").withColumn("rate", F.round("rate", 9))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN false WHEN doc_id % 6 = 0 THEN true ELSE doc_id % 4 <> 0 AND contains(text, 'a') AND (doc_id % 3 = 0 OR contains(text, 'e ')) END AS holds FROM documents WHERE text IS NOT NULL
+""")
+def audit_evidence(spark, sf):
+    k = F.col("doc_id")
+    found = F.element_at(F.array(*map(F.lit, [*D.AUDIT_CLASSES, "F"])), (k % 6 + 1).cast("int"))
+    one = F.struct(F.lit("a").alias("new_text"), F.when(k % 3 != 0, "e ").alias("where_supported"))
+    evidence = F.when((k % 6 == 0) | (k % 4 == 0), F.array().cast("array<struct<new_text:string,where_supported:string>>")).otherwise(F.array(one))
+    docs = table(spark, sf, "documents").where("text is not null")
+    return docs.select("doc_id", D.evidence_holds(found, evidence, F.col("text"), F.col("text")).alias("holds"))
