@@ -91,11 +91,12 @@ def hits_of(keyed: DataFrame, lists: DataFrame, postings: DataFrame, text_col: s
     return stored(kept.distinct(), "hits")
 
 
-def near_of(lists: DataFrame, postings: DataFrame, near: int) -> DataFrame:
-    """Stored (_key, words) for each window whose chosen terms stand in a text within `near` words of a place of the rarest, in any order.
+def near_of(keyed: DataFrame, lists: DataFrame, postings: DataFrame, near: int, text_col: str) -> DataFrame:
+    """Stored (_key, words) for each window all of whose words stand, in any order, in some `near` words in a row of a text.
 
-    Places are met by stretches of `near` words, so a frequent term costs its postings and not
-    their pairs.
+    Such a stretch holds a place of the rarest term with the other chosen terms less than `near`
+    words away. Their places are met by stretches, so a frequent term costs its postings and not
+    their pairs; what is left is looked for in the texts themselves, with all of its words.
     """
     found = anchored(lists, postings)
     for k in range(1, TERMS):
@@ -104,8 +105,19 @@ def near_of(lists: DataFrame, postings: DataFrame, near: int) -> DataFrame:
         spread = found.withColumns({"_word": nth_term(k)["word"], "_stretch": F.explode(F.array(stretch - 1, stretch, stretch + 1))}).alias("a")
         b = other.alias("b")
         same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("_key", "_word", "_stretch")]
-        found = spread.join(b, [*same, F.abs(F.col("a.pos") - F.col("b._pos")) <= near], "left_semi").select("_key", "pos", "words", "lists").distinct()
-    return stored(found.select("_key", "words").distinct(), "near")
+        found = spread.join(b, [*same, F.abs(F.col("a.pos") - F.col("b._pos")) < near], "left_semi").select("_key", "pos", "words", "lists").distinct()
+    places = stored(found.groupBy("_key").agg(F.collect_set(F.struct("pos", "words")).alias("places")), "near-places")
+    marks = stored(places.select(F.pmod(F.xxhash64("_key"), F.lit(MARKS)).alias("_mark")).distinct(), "near-marks")
+    marked = keyed.select("_key", text_col, F.pmod(F.xxhash64("_key"), F.lit(MARKS)).alias("_mark"))
+    texts = marked.join(F.broadcast(marks), "_mark", "left_semi").select("_key", text_col).join(places.hint("shuffle_hash"), "_key")
+
+    def holds(words: Column, p: Column) -> Column:
+        inside = lambda start, n: F.size(F.array_except(p["words"], F.slice(words, start + 1, n))) == 0
+        low = F.greatest(p["pos"] - (near - 1), F.lit(0))
+        return inside(low, F.lit(2 * near - 1)) & F.exists(F.sequence(low, p["pos"]), lambda start: inside(start, F.lit(near)))
+
+    held = let(F.transform(words_of(F.col(text_col)), lowered), lambda words: F.filter("places", lambda p: holds(words, p)))
+    return stored(texts.select("_key", F.explode(held).alias("p")).select("_key", "p.words").distinct(), "near")
 
 
 def by_text(found: DataFrame, item_windows: DataFrame, name: str) -> DataFrame:
@@ -127,9 +139,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent:
     each position is moved back by the term's place in the window; what is left is compared
     word by word. No text is cut, and no list is capped.
 
-    With `near`, a column near_items holds the ids of items with a proximity match: one of their
-    windows has its rarest terms within `near` words of each other's rarest, in any order. It
-    comes from the same posting lists, takes no part in the verdict, and holds all of items.
+    With `near`, a column near_items holds the ids of items with a proximity match: all words of one
+    of their windows stand, in any order and others between them, in `near` words in a row (`window`
+    at least). It comes from the same posting lists, takes no part in the verdict, and holds all of
+    items.
 
     Null or empty text: no words, not contaminated. Null items or ones without words have no
     window; a null item id is written as an empty one. Rows alike in id and text have equal
@@ -148,7 +161,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent:
     n_hit = spans.select("_key", fresh.alias("n")).groupBy("_key").agg(F.sum("n").cast("long").alias("_n_hit"))
     found = n_hit.join(by_text(hits, item_windows, "_items"), "_key")
     if near is not None:
-        found = found.join(by_text(near_of(lists, postings, max(near, window)), item_windows, "_near_items"), "_key", "full")
+        found = found.join(by_text(near_of(texts, lists, postings, max(near, window), text_col), item_windows, "_near_items"), "_key", "full")
     found = stored(found, "contaminated")
     n_bytes = found.agg(F.sum(sum(F.coalesce(F.size(c), F.lit(0)) * 32 for c in found.columns if c.endswith("_items")) + 128)).first()[0] or 0
     joined = keyed.join(small(found, 1, n_bytes), "_key", "left")

@@ -249,21 +249,21 @@ def test_proximity(spark):
     texts = [(d, " ".join(rnd.choice([f"c{k % 4}" for k in range(20)] + [f"r{k}" for k in range(9)]) for _ in range(rnd.choice([3, 40, 160])))) for d in range(40)] + [(40, None), (41, "")]
     items = [(1, "r0 c0 r1"), (2, "r2 c1 c1 c2 r3 c3"), (3, "r4"), (4, "r0 nowhere r1"), (5, None), (6, texts[5][1][:40].rsplit(" ", 1)[0])]
     docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    counts = Counter(w for _, t in texts for w in word.findall(t or ""))
     want = {d: set() for d, _ in texts}
     for item, t in items:
         w = word.findall(t or "")
         for x in [w[i : i + 5] for i in range(max(1, len(w) - 4))] if w else []:
-            terms = sorted((counts[y], i, y) for i, y in enumerate(x))[:2]
-            if all(counts[y] for y in x):
-                for d, text in texts:
-                    at = [[i for i, y in enumerate(word.findall(text or "")) if y == term] for _, _, term in terms]
-                    if any(all(any(abs(p - q) <= 9 for q in other) for other in at[1:]) for p in at[0]):
-                        want[d].add(str(item))
+            for d, text in texts:
+                said = word.findall(text or "")
+                if any(set(x) <= set(said[s : s + 9]) for s in range(len(said))):
+                    want[d].add(str(item))
     got = decontamination.contamination(docs, bench, window=5, near=9).collect()
     assert {r.doc_id: r.near_items for r in got} == {d: sorted(x) for d, x in want.items()}
     assert all(set(r["items"]) <= set(r.near_items) for r in got) and any(set(r.near_items) - set(r["items"]) for r in got)
     assert "near_items" not in decontamination.contamination(docs, bench, window=5).columns
+    docs = spark.createDataFrame([(1, "r0 r1 z0 z1 z2 z3"), (2, "z r3 r1 y r0 R2 x c z"), (3, "r0 r1 r2 z z z z z r3 c")], "doc_id long, text string")
+    got = decontamination.contamination(docs, spark.createDataFrame([(7, "r0 r1 r2 r3 c")], "item_id long, text string"), window=5, near=7).collect()
+    assert {r.doc_id: r.near_items for r in got} == {1: [], 2: ["7"], 3: []}
 
 
 def test_language_id(spark):
