@@ -89,10 +89,20 @@ dw AS (
 ),
 h AS (SELECT doc_id, n, i, item_id FROM dw JOIN iw USING (s)),
 c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id),
+wn AS (SELECT row_number() OVER () AS k, s, len(list_distinct(s)) AS n FROM (SELECT DISTINCT s FROM iw)),
+ut AS (SELECT DISTINCT k, n, x FROM (SELECT k, n, unnest(s) AS x FROM wn)),
+tok AS (SELECT doc_id, x, p FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) WHERE x IN (SELECT x FROM ut)),
+ct AS (SELECT x, count(*) AS c FROM tok GROUP BY x),
+an AS (SELECT k, any_value(n) AS n, arg_min(x, c) AS x FROM ut LEFT JOIN ct USING (x) GROUP BY k HAVING count(c) = count(*)),
+pl AS (SELECT doc_id, k, n, p AS a, unnest(range(p - 25, p + 26)) AS p FROM an JOIN tok USING (x)),
+nb AS (SELECT doc_id, k, n, a, p, x FROM pl JOIN tok USING (doc_id, p) SEMI JOIN ut USING (k, x)),
+al AS (SELECT doc_id, k, n, a FROM nb GROUP BY ALL HAVING count(DISTINCT x) = n),
+st AS (SELECT doc_id, k, l.n, a, f.p FROM al JOIN nb f USING (doc_id, k, a) JOIN nb l USING (doc_id, k, a) WHERE l.p BETWEEN f.p AND f.p + 25 GROUP BY ALL HAVING count(DISTINCT l.x) = l.n),
+ne AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM st JOIN wn USING (k) JOIN iw USING (s) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN ne USING (doc_id)
 """
 
 WARC = r"""

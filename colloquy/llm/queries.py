@@ -48,8 +48,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir), window=13, percent=5)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    found = contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark(spark, sf_dir), window=13, percent=5, near=26)
+    counts = [F.size(c).cast("long").alias(f"n_{c.removesuffix('_items')}") for c in ("items", "near_items")]
+    return found.select("doc_id", "n_words", "n_hit", *counts, F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
