@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What Java's `\\s` matches, so that words are the same here and in expressions.
 GAP = re.compile(r"[ \t\n\x0B\f\r]+")
+#: Words up to which all rows of lengths are kept, 2 MB.
+SHORT = 4096
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("at", "integer").add("words", "string"))
 
 
@@ -28,9 +30,26 @@ def edit_spans(before: Column, after: Column) -> Column:
     return _edit_spans(before, after)
 
 
-@F.pandas_udf(SPANS)
-def _edit_spans(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None or a is None else spans(_words(b), _words(a)) for b, a in zip(before, after)], dtype=object)
+#: Rows whose spans are Python objects at a time; then they are Arrow columns.
+ROWS = 64
+
+
+@F.arrow_udf(SPANS)
+def _edit_spans(before: pa.Array, after: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_columns(before.slice(i, ROWS).to_pylist(), after.slice(i, ROWS).to_pylist()) for i in range(0, max(len(before), 1), ROWS)])
+
+
+def _columns(before: list[str | None], after: list[str | None]) -> pa.Array:
+    """One list of spans a row; an offset of null makes the row null."""
+    offsets, found = [], []
+    for b, a in zip(before, after):
+        offsets.append(None if b is None or a is None else len(found))
+        if offsets[-1] is not None:
+            found += spans(_words(b), _words(a))
+    offsets.append(len(found))
+    kinds = {"kind": pa.string(), "at": pa.int32(), "words": pa.string()}
+    fields = [pa.array([s[name] for s in found], kind) for name, kind in kinds.items()]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, list(kinds)))
 
 
 def _words(text: str) -> list[str]:
@@ -62,6 +81,9 @@ def kept_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     for i, w in enumerate(a):
         places.setdefault(w, []).append(i)
     often: dict[str, int] = {}
+    if n <= SHORT:
+        for w, at in places.items():
+            often[w] = sum(1 << i for i in at)
 
     def bits(word: str) -> int:
         at = places.get(word)
@@ -82,9 +104,10 @@ def kept_words(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         hit = row & bits(word)
         return ((row + hit) | (row - hit)) & full
 
-    step = math.isqrt(len(b)) + 1
-    row, marks = full, []
-    for j, w in enumerate(b):
+    # short texts keep all rows; of others every step-th, and a block of rows is found again on the way back
+    step = len(b) if n <= SHORT and len(b) <= SHORT else math.isqrt(len(b)) + 1
+    row, marks = full, [full] if step == len(b) else []
+    for j, w in enumerate(b if not marks else []):
         if j % step == 0:
             marks.append(row)
         row = after(row, w)
