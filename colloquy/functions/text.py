@@ -85,14 +85,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def interleaved(text: Column, images: Column, marker: str = "<image>") -> Column:
-    """Content parts: the text between markers, and for each marker its image in turn; empty text parts go."""
-    pieces = F.split(text, r"\Q" + marker + r"\E", -1)
-    part = lambda kind, t, u: F.struct(F.lit(kind).alias("type"), t.cast("string").alias("text"), u.cast("string").alias("url"))
-    pairs = F.transform(pieces, lambda p, i: F.array(part("text", p, F.lit(None)), part("image", F.lit(None), F.get(images, i))))
-    return F.filter(F.flatten(pairs), lambda p: F.when(p["type"] == "text", p["text"] != "").otherwise(p["url"].isNotNull()))
-
-
 def text_parts(parts: Column) -> Column:
     return F.filter(parts, lambda p: p["type"] == "text")
 

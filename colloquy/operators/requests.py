@@ -70,12 +70,12 @@ def decision_schema(scopes: dict[str, str], extra: dict | None = None, most: int
     return json.dumps({"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False})
 
 
-def decision_schema_of(*scopes: Column) -> Column:
-    """`decision_schema` of each row, in the order of the dimensions: a lookup among all cases there are."""
+def decision_schema_of(*scopes: Column, extra: dict | None = None, most: int = 1200) -> Column:
+    """`decision_schema` of each row, scopes in the order of the dimensions: a lookup among all cases there are."""
     names, cases = list(DIMENSION_WEIGHTS), {}
     for mask in range(1 << len(names)):
         absent = [bool(mask >> i & 1) for i in range(len(names))]
-        cases["".join("a" if a else "p" for a in absent)] = decision_schema(dict(zip(names, ("absent" if a else "present" for a in absent))))
+        cases["".join("a" if a else "p" for a in absent)] = decision_schema(dict(zip(names, ("absent" if a else "present" for a in absent))), extra, most)
     key = F.concat(*(F.when(s == "absent", "a").otherwise("p") for s in scopes))
     return F.element_at(F.create_map(*[F.lit(x) for pair in cases.items() for x in pair]), key)
 
@@ -111,6 +111,45 @@ def chat_payload(df: DataFrame, request: str, model: str, seed: int = 0, tempera
     return checked.withColumn("payload", F.to_json(payload)).drop("_r")
 
 
+SCOPE_LABELS = ["positive", "negative", "absent"]
+
+
+def scope_schema(most: int = 800) -> str:
+    """JSON Schema of a reference's scope: a label for each dimension and a rationale."""
+    fields = {n: {"type": "string", "enum": SCOPE_LABELS} for n in DIMENSION_WEIGHTS} | {"rationale": {"type": "string", "minLength": 1, "maxLength": most}}
+    return json.dumps({"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False})
+
+
+def consistency_fields() -> dict:
+    """What a judge of a whole response says beside its decisions."""
+    marks = {n: {"type": "integer", "minimum": 0, "maximum": 5} for n in ("discussion_quality", "discussion_conclusion_consistency", "grounding_and_safety")}
+    return marks | {n: {"type": "boolean"} for n in ("major_contradiction", "unsafe_addition")}
+
+
+def reward_payload(system: str, user: Column, name: str, schema: Column, model: str, max_tokens: int) -> Column:
+    """A chat request in JSON with decoding fixed and thinking off; `schema` is JSON text and goes in as it is."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    form = F.struct(F.lit(name).alias("name"), F.lit(True).alias("strict"), F.parse_json(schema).alias("schema"))
+    fields = {
+        "model": F.lit(model), "messages": F.array(message("system", F.lit(system.strip())), message("user", user)), "temperature": F.lit(0.0), "top_p": F.lit(1.0), "seed": F.lit(0),
+        "max_tokens": F.lit(max_tokens), "chat_template_kwargs": F.struct(F.lit(False).alias("enable_thinking")), "response_format": F.struct(F.lit("json_schema").alias("type"), form.alias("json_schema")),
+    }
+    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+
+
+def scope_payload(system: str, reference: Column, evidence: Column, model: str, name: str = "reference_scope", max_tokens: int = 384) -> Column:
+    """The request that asks which dimensions a reference's conclusion takes a stand on."""
+    return reward_payload(system, sections(case_evidence=evidence, reference_conclusion=reference), name, F.lit(scope_schema()), model, max_tokens)
+
+
+def consistency_payload(system: str, evidence: Column, scopes: dict[str, Column], reference: tuple[Column, Column], candidate: tuple[Column, Column], model: str, name: str = "consistency", max_tokens: int = 768) -> Column:
+    """The request that asks whether a candidate's (discussion, conclusion) agrees with itself and the reference's, decisions bound by scope."""
+    scope = F.to_json(F.struct(*(c.alias(n) for n, c in scopes.items())))
+    user = sections(case_evidence=evidence, scope=scope, reference_discussion=reference[0], reference_conclusion=reference[1], candidate_discussion=candidate[0], candidate_conclusion=candidate[1])
+    schema = decision_schema_of(*(scopes[n] for n in DIMENSION_WEIGHTS), extra=consistency_fields(), most=1600)
+    return reward_payload(system, user, name, schema, model, max_tokens)
+
+
 def repair_prompt(head: str, pairs: Column) -> Column:
     """`head` and the pairs (question, answer) as a JSON array with their places."""
     return F.concat(F.lit(head), F.to_json(F.transform(pairs, lambda p, i: F.struct(i.alias("index"), p["question"].alias("question"), p["answer"].alias("answer")))))

@@ -29,7 +29,11 @@ def only_block(text: Column, pattern: str) -> Column:
 
 
 def serialization(df: DataFrame, text: str) -> DataFrame:
-    """`df` with discussion, conclusion and format_base_score: a quarter for the weighted parts, three for all of them exact."""
+    """`df` with discussion, conclusion and format_base_score: a quarter for the weighted parts, three for all of them exact.
+
+    Reported beside the score and no part of it: counts of turns, roles and the conclusion's
+    sentences, and whether the discussion has two roles or more and a moderator first.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumns({"discussion": only_block(t, DISCUSSION), "conclusion": only_block(t, CONCLUSION)})
     lines = F.when(F.col("discussion").isNull(), F.array().cast("array<string>")).otherwise(F.split("discussion", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"))
@@ -48,6 +52,16 @@ def serialization(df: DataFrame, text: str) -> DataFrame:
     }
     out = out.withColumns({f"format_{k}": v for k, v in parts.items()})
     dense = sum((F.col(f"format_{k}") * w for k, w in FORMAT_WEIGHTS.items()), F.lit(0.0))
+    roles = F.transform("_turns", lambda x: strip(F.regexp_extract(x, TURN, 2)))
+    several, led = F.size(F.array_distinct(roles)) >= 2, F.coalesce(F.lower(F.get(roles, F.lit(0))) == "moderator", F.lit(False))
+    out = out.withColumns({
+        "format_turn_count": F.size("_turns"),
+        "format_role_count": F.size(F.array_distinct(roles)),
+        "format_conclusion_sentence_count": n,
+        "format_dialogue_roles": several.cast("double"),
+        "format_moderator_first": led.cast("double"),
+        "format_dialogue_structure": (several.cast("double") + led.cast("double")) / 2,
+    })
     exact = F.size("_turns") > 0
     for k in FORMAT_WEIGHTS:
         exact = exact & (F.abs(F.col(f"format_{k}") - 1) < 1e-12)

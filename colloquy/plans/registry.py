@@ -470,16 +470,6 @@ def token_usage(spark, sf):
     return A.token_usage(rows, "event_type")
 
 
-@query("""
-SELECT c.conv_id, concat('[', string_agg(text, '|' ORDER BY turn), ']') AS parts, count(*) AS n_text FROM conversations c WHERE text <> '' GROUP BY c.conv_id
-""")
-def interleaved_parts(spark, sf):
-    rows = turns(spark, sf).where("text <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))
-    joined = rows.withColumn("joined", F.array_join("t.text", "<image>")).withColumn("urls", F.transform("t", lambda x: x["pos"].cast("string")))
-    parts = X.text_parts(X.interleaved(F.col("joined"), F.col("urls")))
-    return joined.withColumn("p", parts).select("conv_id", F.concat(F.lit("["), F.array_join("p.text", "|"), F.lit("]")).alias("parts"), F.size("p").cast("long").alias("n_text"))
-
-
 @query("SELECT page_id, sha256('{\"html\":' || to_json(length(html)) || ',\"page_id\":' || page_id || ',\"url\":' || to_json(url) || '}') AS h FROM pages")
 def canonical_hash(spark, sf):
     p = table(spark, sf, "pages")
@@ -492,9 +482,11 @@ def union_boxes(spark, sf):
     return A.union_box(boxes, ["user_id"], F.lit(40), F.lit(20))
 
 
-def responses(spark, sf):
+def responses(spark, sf, speaker=None):
     """Each conversation as a tagged response of numbered turns; the last turn is the conclusion."""
     c = turns(spark, sf)
+    if speaker is not None:
+        c = c.withColumn("speaker_id", speaker)
     last = F.max("pos").over(Window.partitionBy("conv_id"))
     rows = c.withColumn("last", last).withColumn("text", X.collapse(F.col("text")))
     line = F.concat(F.lit("<turn "), (F.col("pos") + 1).cast("string"), F.lit("> "), F.col("speaker_id"), F.lit(": "), F.col("text"))

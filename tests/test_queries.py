@@ -1,6 +1,7 @@
 """Every registered query of the domain against its oracle, or at least that it runs."""
 
 import colloquy.plans.checks  # noqa: F401 -- adds its queries to the registry's
+import colloquy.plans.multimodal  # noqa: F401 -- and so does this
 import pytest
 from colloquy.plans.registry import ORACLES, QUERIES
 
