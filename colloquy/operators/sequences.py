@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,37 +152,87 @@ def greedy_dedup(crops: DataFrame, partition: str, order: str, vector: str = "em
 REPEAT_TOKEN = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)?|[\u4e00-\u9fff]"
 
 
-def _longest_block_run(tail: list, width: int) -> int:
-    """Most times in a row that a block of `width` tokens stands, looking on after each run or block."""
-    n = len(tail)
-    follow = [0] * (n + 1)  # tokens from here on that equal the one `width` later
-    for i in range(n - width - 1, -1, -1):
-        follow[i] = follow[i + 1] + 1 if tail[i] == tail[i + width] else 0
-    best, at = 1, 0
-    while at + 2 * width <= n:
-        times = 1 + follow[at] // width
-        best = max(best, times)
-        at += times * width
-    return best
-
-
-def repetition(text: str | None, tail: int = 2048, widths: int = 8, gram: int = 4) -> tuple[bool, int, int, float]:
-    """(detected, longest run of a block, count of the commonest gram, share of the tail it fills) in the text's last tokens."""
-    t = [x.casefold() for x in re.findall(REPEAT_TOKEN, text or "")][-tail:]
-    longest = max((_longest_block_run(t, w) for w in range(1, widths + 1)), default=1) if len(t) >= 8 else 1
-    counts = Counter(zip(*(t[k:] for k in range(gram))))
-    top = max(counts.values(), default=0)
-    share = min(1.0, gram * top / len(t)) if top else 0.0
-    return longest >= 8 or (top >= 12 and share >= 0.15), longest, top, share
+def tail_tokens(text: str, tail: int) -> list[str]:
+    """The last `tail` tokens; of a long text only as much is read as holds them, from white space on, which no token spans."""
+    size = 8 * tail
+    while size < len(text):
+        end = text[-size:]
+        gap = re.search(r"\s", end)
+        if gap and len(found := re.findall(REPEAT_TOKEN, end[gap.start() :])) >= tail:
+            return found[-tail:]
+        size *= 2
+    return re.findall(REPEAT_TOKEN, text)[-tail:]
+
+
+def _longest_block_runs(codes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """For each text the most times in a row that a block of `width` tokens stands, blocks counted from its first token."""
+    blocks = np.diff(first) // width
+    longest = np.ones(len(blocks), np.int64)
+    texts = np.repeat(np.arange(len(blocks)), blocks)
+    if not len(texts):
+        return longest
+    within = np.arange(len(texts)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    at = first[texts] + within * width
+    change = within == 0
+    # a block continues a run if each of its tokens is the one `width` before
+    same = np.zeros(len(codes) + 1, np.int64)
+    same[width + 1 :] = codes[width:] == codes[:-width]
+    same = np.cumsum(same)
+    change |= same[at + width] - same[at] < width
+    heads = np.flatnonzero(change)
+    np.maximum.at(longest, texts[heads], np.diff(np.append(heads, len(texts))))
+    return longest
+
+
+def _commonest_grams(codes: np.ndarray, first: np.ndarray, gram: int) -> np.ndarray:
+    """For each text how often its commonest run of `gram` tokens stands."""
+    sizes = np.maximum(np.diff(first) - gram + 1, 0)
+    most = np.zeros(len(sizes), np.int64)
+    texts = np.repeat(np.arange(len(sizes)), sizes)
+    if not len(texts):
+        return most
+    at = np.arange(len(texts)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[texts]
+    # numbered anew after each token, so that a number stays below the tokens there are
+    numbers = texts
+    for k in range(gram):
+        _, numbers = np.unique(numbers * len(codes) + codes[at + k], return_inverse=True)
+    _, lead, counts = np.unique(numbers, return_index=True, return_counts=True)
+    np.maximum.at(most, texts[lead], counts)
+    return most
+
+
+def repetitions(texts: Iterable[str | None], tail: int = 2048, widths: int = 8, gram: int = 4) -> pd.DataFrame:
+    """(detected, longest_run of a block, top_count of the commonest gram, top_share of the tail it fills) in each text's last tokens."""
+    tokens, sizes = [], []
+    for text in texts:
+        found = tail_tokens(text or "", tail)
+        tokens += found
+        sizes.append(len(found))
+    # tokens hold ASCII letters and characters without case only, so lower case is the folded one
+    codes = pc.utf8_lower(pa.array(tokens, pa.string())).dictionary_encode().indices.to_numpy().astype(np.int64)
+    sizes = np.array(sizes, np.int64)
+    first = np.append(0, np.cumsum(sizes))
+    longest = np.ones(len(sizes), np.int64)
+    for width in range(1, widths + 1):
+        longest = np.maximum(longest, _longest_block_runs(codes, first, width))
+    longest[sizes < 8] = 1
+    top = _commonest_grams(codes, first, gram)
+    share = np.minimum(1.0, gram * top / np.maximum(sizes, 1))
+    return pd.DataFrame({"detected": (longest >= 8) | ((top >= 12) & (share >= 0.15)), "longest_run": longest.astype(np.int32), "top_count": top.astype(np.int32), "top_share": share})
+
+
+#: Texts whose tokens are worked on together, at most 2,048 each.
+TEXTS = 256
 
 
 def with_repetition(df: DataFrame, text: str) -> DataFrame:
-    """`df` with repetition, a struct of what `repetition` finds in the text."""
+    """`df` with repetition, a struct of what `repetitions` finds in the text."""
 
     @F.pandas_udf("detected boolean, longest_run int, top_count int, top_share double")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([repetition(x) for x in batch], columns=["detected", "longest_run", "top_count", "top_share"])
+            parts = [repetitions(batch.iloc[i : i + TEXTS]) for i in range(0, len(batch), TEXTS)]
+            yield pd.concat(parts, ignore_index=True) if parts else repetitions([])
 
     return df.withColumn("repetition", found(text))
 

@@ -10,6 +10,7 @@ from colloquy.operators import requests as M
 from colloquy.operators import scoring as R
 from colloquy.operators import training as N
 from colloquy.plans.fixtures import table
+from colloquy.plans.forms import forms_sql
 from colloquy.plans.registry import query, responses, turns
 
 
@@ -79,23 +80,10 @@ def best_slides(spark, sf):
     return W.best_slides(events, ["user_id"], "event_id").select("user_id", "box.region", "box.w", F.round("score", 9).alias("score"), "verdict")
 
 
-@query(r"""
-WITH t AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 AND turn = 0 THEN 'Moderator' ELSE role END AS role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
-r AS (
-  SELECT conv_id, max(x) FILTER (turn = last) AS c, count(*) FILTER (turn < last AND x IS NOT NULL AND role IS NOT NULL) AS m,
-         coalesce(list({'t': turn, 'r': role} ORDER BY turn) FILTER (turn < last AND x <> '' AND role IS NOT NULL), []) AS v FROM t GROUP BY conv_id
-),
-k AS (SELECT conv_id, coalesce(c, '') AS c, c IS NULL AS gone, CASE WHEN c IS NULL THEN 0 ELSE m END AS m, CASE WHEN c IS NULL THEN [] ELSE v END AS v FROM r),
-n AS (
-  SELECT *, len(v) AS nt, len(list_distinct(list_transform(v, lambda e: e.r))) AS nr, coalesce(lower(v[1].r) = 'moderator', false)::INT::DOUBLE AS led, len(list_filter(range(1, len(v) + 1), lambda i: v[i].t + 1 = i)) AS rt,
-         len(regexp_extract_all(c, '[.!?]["''”]*(\s|$)')) - len(regexp_extract_all(c, '\b(Mr|Ms|Dr|[A-Z])[.!?]["''”]*(\s|$)')) AS s FROM k
-),
-p AS (
-  SELECT *, ((m > 0)::INT + (c <> '')::INT) / 2.0::DOUBLE AS blocks, (NOT gone AND c <> '')::INT::DOUBLE AS env, coalesce(nt / nullif(m, 0)::DOUBLE, 0) AS syn, coalesce(rt / nullif(nt, 0)::DOUBLE, 0) AS num,
-         CASE WHEN s BETWEEN 2 AND 4 THEN 1.0 WHEN s IN (1, 5) THEN 0.5 ELSE 0 END::DOUBLE AS sen, (NOT gone)::INT::DOUBLE AS outer_ FROM n
-),
-d AS (SELECT *, 0.25::DOUBLE * blocks + 0.1875::DOUBLE * (env + syn + num) + 0.125::DOUBLE * sen + 0.0625::DOUBLE * outer_ AS dense, (nt > 0 AND blocks = 1 AND env = 1 AND syn = 1 AND num = 1 AND sen = 1 AND outer_ = 1)::INT::DOUBLE AS exact FROM p)
-SELECT conv_id, nt::BIGINT AS turns, nr::BIGINT AS roles, s::BIGINT AS sentences, (nr >= 2)::INT::DOUBLE AS dialogue_roles, led AS moderator_first, ((nr >= 2)::INT + led) / 2 AS dialogue_structure, round(syn, 6) AS turn_syntax, round(num, 6) AS turn_numbering, round(dense, 6) AS dense, exact, round(0.25::DOUBLE * dense + 0.75::DOUBLE * exact, 6) AS base FROM d
+@query(f"""
+WITH {forms_sql("CASE WHEN conv_id % 2 = 0 AND turn = 0 THEN 'Moderator' ELSE role END")}
+SELECT conv_id, nt::BIGINT AS turns, nr::BIGINT AS roles, s::BIGINT AS sentences, (nr >= 2)::INT::DOUBLE AS dialogue_roles, led AS moderator_first, ((nr >= 2)::INT + led) / 2 AS dialogue_structure,
+       round(syn, 6) AS turn_syntax, round(num, 6) AS turn_numbering, round(dense, 6) AS dense, exact, round(base, 6) AS base FROM forms
 """)
 def response_forms(spark, sf):
     led = F.when((F.col("conv_id") % 2 == 0) & (F.col("pos") == 0), "Moderator").otherwise(F.col("speaker_id"))

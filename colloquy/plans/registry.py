@@ -20,6 +20,7 @@ from colloquy.operators import sequences as Q
 from colloquy.operators import training as N
 from colloquy.plans import fixtures as fx
 from colloquy.plans.fixtures import C, J, S, U, table
+from colloquy.plans.forms import repeated_sql, scored_sql
 from colloquy.sources.readers import vtt_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -623,13 +624,22 @@ def extract_final(spark, sf):
     return t.select("conv_id", "pos", P.parse_final(F.col("content"), F.col("reasoning")).alias("p")).select("conv_id", "pos", F.col("p.text").alias("final"), "p.method")
 
 
-@query()
+@query(f"WITH {scored_sql('conv_id % 11 = 0')} SELECT conv_id, reason AS format_failure_reason, round(base, 6) AS format_base_score, round(score, 6) AS format_score FROM scored")
 def format_score(spark, sf):
     r = responses(spark, sf).withColumns({"response_truncated": F.col("conv_id") % 11 == 0, "valid_response_length": F.length("response"), "response_length_limit": F.lit(None).cast("int")})
     return R.format_scores(r, "response").select("conv_id", "format_failure_reason", F.round("format_base_score", 6).alias("format_base_score"), F.round("format_score", 6).alias("format_score"))
 
 
-@query()
+@query(f"""
+WITH {scored_sql("false")},
+q AS (SELECT conv_id AS k, reason, score AS form, unnest([1.0, 1.25, 1.15, 2.0]::DOUBLE[]) AS w, unnest([0, 1, 2, 3]) AS i FROM scored),
+g AS (SELECT k, any_value(reason) AS reason, any_value(form) AS form, sum(w * ((k + i) % 6) / 5) / sum(w) AS dn, avg(((k + i) % 6) / 5.0::DOUBLE) AS plan FROM q WHERE (k + i) % 3 <> 0 GROUP BY k),
+e AS (SELECT *, (k % 5) / 4.0::DOUBLE AS an, (k % 6) / 5.0::DOUBLE AS disc, (k % 4 + 1) / 5.0::DOUBLE AS cons, (k % 5) / 5.0::DOUBLE AS ground, CASE WHEN k % 9 = 0 THEN 0.6 ELSE 1 END::DOUBLE * CASE WHEN k % 13 = 0 THEN 0.3 ELSE 1 END::DOUBLE AS safety FROM g),
+h AS (SELECT *, CASE WHEN reason = 0 THEN 0.4::DOUBLE * an + 0.35::DOUBLE * dn * cons + 0.25::DOUBLE * dn ELSE -0.2::DOUBLE END AS match_score FROM e)
+SELECT k AS conv_id, reason = 0 AS judge_called, round(0.45::DOUBLE * an + 0.55::DOUBLE * dn, 6) AS anchor_score, round(dn, 6) AS decisions_normalized,
+       round((0.45::DOUBLE * plan + 0.25::DOUBLE * disc + 0.15::DOUBLE * cons + 0.15::DOUBLE * ground) * CASE WHEN k % 4 = 0 THEN 0.7 ELSE 1 END::DOUBLE * safety, 6) AS consistency_match,
+       round((0.35::DOUBLE * plan + 0.2::DOUBLE * disc + 0.3::DOUBLE * plan * cons + 0.15::DOUBLE * ground) * safety, 6) AS audit_match, round(match_score, 6) AS match_score, round(match_score + 0.1::DOUBLE * form, 6) AS score FROM h
+""")
 def rewards(spark, sf):
     r = responses(spark, sf).withColumns({"response_truncated": F.lit(False), "valid_response_length": F.length("response"), "response_length_limit": F.lit(8192)})
     s = R.format_scores(r, "response")
@@ -657,7 +667,7 @@ def conclusion_scores(spark, sf):
     return out.select("conv_id", *[F.round(c, 6).alias(c) for c in ("alignment_normalized", "decisions_normalized", "anchor_score")])
 
 
-@query()
+@query(f"WITH {repeated_sql('documents', 'doc_id', 'text')} SELECT doc_id, detected, longest_run, top_count, round(top_share, 6) AS top_share FROM rep")
 def repetition_scan(spark, sf):
     d = Q.with_repetition(table(spark, sf, "documents").select("doc_id", "text"), "text")
     return d.select("doc_id", "repetition.detected", "repetition.longest_run", "repetition.top_count", F.round("repetition.top_share", 6).alias("top_share"))

@@ -1,6 +1,8 @@
 """Operators on small fixtures whose outcome follows from the rule."""
 
 import json
+import random
+import re
 
 import pytest
 from colloquy.functions import parsers as P
@@ -186,11 +188,42 @@ def test_webvtt(spark):
     assert spark.range(1).select(readers.vtt_text(F.lit(text))).first()[0] == "hello there"
 
 
+def plain_repetition(tokens, widths=8, gram=4):
+    """Block runs by walking on after each run, and grams counted one by one."""
+    longest = 1
+    for w in range(1, widths + 1) if len(tokens) >= 8 else ():
+        at = 0
+        while at + 2 * w <= len(tokens):
+            times = 1
+            while tokens[at + times * w : at + (times + 1) * w] == tokens[at : at + w]:
+                times += 1
+            longest, at = max(longest, times), at + times * w
+    grams = [tuple(tokens[i : i + gram]) for i in range(len(tokens) - gram + 1)]
+    top = max((grams.count(g) for g in set(grams)), default=0)
+    return longest, top
+
+
+def test_repetition_against_a_plain_walk():
+    draw = random.Random(11)
+    lists = [[]]
+    for _ in range(400):
+        lists.append([])
+        while len(lists[-1]) < draw.randrange(1, 60):
+            lists[-1] += draw.choices(["a", "b", "Cc", "d-e", "\u4e2d"], k=draw.randrange(1, 4)) * draw.randrange(1, 6)
+    for tail in (2048, 20, 3):
+        got = Q.repetitions([" ".join(x) for x in lists], tail)
+        assert list(zip(got.longest_run, got.top_count)) == [plain_repetition([t.casefold() for t in x[-tail:]]) for x in lists]
+    glued, spaced = "x\u4e2dy" * 3000, "word's end " * 9000
+    for text in (glued, spaced, spaced + glued, glued + spaced, glued + " " * 90_000, "!" * 50_000 + " a b"):
+        whole = re.findall(Q.REPEAT_TOKEN, text)
+        assert Q.tail_tokens(text, 2048) == whole[-2048:] and Q.tail_tokens(text, 5) == whole[-5:]
+
+
 def test_repetition():
-    assert not Q.repetition("ab cd " * 7 + "end of it all now")[0]
-    assert Q.repetition("ab cd " * 8)[:2] == (True, 8)
-    assert Q.repetition("a b c") == (False, 1, 0, 0.0)
-    assert Q.repetition(None)[0] is False
+    found = [tuple(x) for x in Q.repetitions(["ab cd " * 7 + "end of it all now", "ab cd " * 8, "a b c", None]).itertuples(index=False)]
+    assert [x[0] for x in found] == [False, True, False, False]
+    assert found[1][1] == 8 and found[2][1:] == (1, 0, 0.0) and found[3][1:] == (1, 0, 0.0)
+    assert len(Q.repetitions([])) == 0
 
 
 def test_marker_mask(spark):
