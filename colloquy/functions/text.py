@@ -90,7 +90,8 @@ def text_parts(parts: Column) -> Column:
 
 
 def data_uri(content: Column, mime: Column) -> Column:
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    """A data URI of bytes, its payload on one line: `base64` breaks lines at 76 characters."""
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def title_case(text: Column) -> Column:
