@@ -185,12 +185,16 @@ def one_format(rows: DataFrame) -> DataFrame:
     return counts.withColumn("ok", (F.col("n") > 0) & ((F.col("custom") == 0) | (F.col("sharegpt") == 0)))
 
 
-def run_counters(rows: DataFrame, selected: int, resumed: int, elapsed_seconds: float) -> DataFrame:
-    """One row of a run's counters: rows by status, what is done and left, the rate, and the seconds left at that rate (null at none)."""
+def run_counters(rows: DataFrame, selected: int, resumed: int, elapsed_seconds: float, overrun: bool = False) -> DataFrame:
+    """One row of a run's counters: rows by status, what is done and left, the rate, and the seconds left at that rate (null at none).
+
+    With more rows done than were selected nothing is left, or less than nothing if `overrun` is to be seen.
+    """
     count = lambda c: F.count_if(c)
     done = F.count(F.lit(1))
     statuses = ("parsed", "parsed_after_cleanup", "raw_fallback")
     out = rows.agg(done.alias("completed"), *(count(F.col("status") == s).alias(s) for s in statuses), count(F.col("error").isNotNull()).alias("errors"))
     rate = F.coalesce(F.try_divide(F.col("completed"), F.lit(float(elapsed_seconds))), F.lit(0.0))
-    left = F.greatest(F.lit(0), F.lit(selected) - F.lit(resumed) - F.col("completed"))
+    left = F.lit(selected) - F.lit(resumed) - F.col("completed")
+    left = left if overrun else F.greatest(F.lit(0), left)
     return out.withColumns({"completed_total": F.col("completed") + resumed, "remaining": left, "per_second": rate}).withColumn("seconds_left", F.try_divide(F.col("remaining"), F.nullif("per_second", F.lit(0.0))))

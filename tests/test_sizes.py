@@ -3,6 +3,7 @@
 import base64
 
 from colloquy.functions import text as X
+from colloquy.operators import training as N
 from colloquy.plans.registry import ORACLES, QUERIES
 from oracle import TABLES, assert_same
 from pyspark.sql import functions as F
@@ -31,3 +32,18 @@ def test_content_blocks_of_long_addresses(spark, tmp_path):
 
     pages = pd.DataFrame({"page_id": range(4), "url": ["https://example.com/" + "a" * n for n in (36, 37, 38, 300)]})
     assert_same(spark, QUERIES["content_blocks"], ORACLES["content_blocks"], folder(tmp_path, pages=pages))
+
+
+def test_counters_of_a_run_past_its_selection(spark):
+    rows = spark.range(7).select(F.lit("parsed").alias("status"), F.lit(None).cast("string").alias("error"))
+    r = N.run_counters(rows, 6, 3, 2.0, overrun=True).first()
+    assert (r.completed_total, r.remaining, round(r.seconds_left, 6)) == (10, -4, -1.142857)
+    assert N.run_counters(rows, 6, 3, 2.0).first().remaining == 0
+
+
+def test_run_counters_over_more_turns_than_the_run_selected(spark, tmp_path):
+    import pandas as pd
+
+    k = pd.Series(range(100_040))
+    turns = pd.DataFrame({"conv_id": k // 2, "turn": k % 2, "role": "user", "text": "Yes."})
+    assert_same(spark, QUERIES["run_counters"], ORACLES["run_counters"], folder(tmp_path, conversations=turns))
