@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 def _buckets(start: Column, end: Column, width: float) -> Column:
     return F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width))
 
 
+#: How many mean lengths of a recording's intervals one stretch lasts: on average an interval goes to 1.25 stretches at most.
+SPAN = 4.0
+
+
+def _stretches(key: str, least: float, *sides: DataFrame) -> DataFrame:
+    """(key, _w): seconds of a stretch, for each recording of the sides' intervals (start_sec, end_sec); never under `least`."""
+    lengths = [s.select(F.col(key), F.greatest(F.col("end_sec") - F.col("start_sec"), F.lit(0.0)).alias("_l")) for s in sides]
+    return reduce(DataFrame.unionAll, lengths).groupBy(key).agg(F.greatest(F.lit(float(least)), SPAN * F.avg("_l")).alias("_w"))
+
+
+def _dealt(rows: DataFrame, key: str, stretches: DataFrame, start: str, end: str) -> DataFrame:
+    """`rows` with _w, once for each stretch _b of their recording that they touch."""
+    at = lambda t: F.floor(t / F.col("_w"))
+    return rows.join(stretches, key).withColumn("_b", F.explode(F.sequence(at(F.col(start)), at(F.greatest(start, end)))))
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, key: str, width: float = 600.0) -> DataFrame:
     """Pairs of one recording whose intervals (start_sec, end_sec) share time, with overlap; the right columns as `r_*`.
 
-    Both sides are dealt out by recording and stretch of `width` seconds, so one long recording
-    is many join keys; a pair that meets in several stretches is kept in the first.
+    Both sides are dealt out by recording and stretch of time, so one long recording is many join
+    keys; a pair that meets in several stretches is kept in the first. A stretch is `width` seconds,
+    or more where a recording's intervals are longer: rows are copied no more for being long.
     """
-    w = float(width)
-    a = left.withColumn("_b", F.explode(_buckets(F.col("start_sec"), F.col("end_sec"), w)))
     b = right.select(F.col(key), *(F.col(c).alias(f"r_{c}") for c in right.columns if c != key))
-    b = b.withColumn("_b", F.explode(_buckets(F.col("r_start_sec"), F.col("r_end_sec"), w)))
-    share = F.least("end_sec", "r_end_sec") - F.greatest("start_sec", "r_start_sec")
-    first = F.greatest(F.floor(F.col("start_sec") / w), F.floor(F.col("r_start_sec") / w))
-    return a.join(b, [key, "_b"]).withColumn("overlap", share).where((F.col("overlap") > 0) & (F.col("_b") == first)).drop("_b")
+    stretches = _stretches(key, width, left, right)
+    a, b = _dealt(left, key, stretches, "start_sec", "end_sec"), _dealt(b, key, stretches, "r_start_sec", "r_end_sec").drop("_w")
+    share = F.when(F.col("end_sec").isNotNull() & F.col("r_end_sec").isNotNull(), F.least("end_sec", "r_end_sec") - F.greatest("start_sec", "r_start_sec"))
+    first = F.floor(F.greatest("start_sec", "r_start_sec") / F.col("_w"))
+    return a.join(b, [key, "_b"]).withColumn("overlap", share).where((F.col("overlap") > 0) & (F.col("_b") == first)).drop("_b", "_w")
 
 
 def align_max_overlap(utterances: DataFrame, slides: DataFrame, key: str = "recording", uid: str = "utterance_id", width: float = 600.0) -> DataFrame:
@@ -35,12 +52,13 @@ def align_max_overlap(utterances: DataFrame, slides: DataFrame, key: str = "reco
 def within_cases(utterances: DataFrame, cases: DataFrame, key: str = "recording", width: float = 3600.0) -> DataFrame:
     """Utterances with each case that holds them whole, bounds included; overlapping cases give a row each.
 
-    Cases are dealt to all stretches of `width` seconds that they touch, utterances to the one they begin in.
+    Cases are dealt to all stretches that they touch, utterances to the one they begin in. A stretch
+    is `width` seconds, or more where a recording's cases are longer.
     """
-    w = float(width)
+    stretches = _stretches(key, width, cases)
     c = cases.select(F.col(key), "case_id", F.col("start_sec").alias("case_start"), F.col("end_sec").alias("case_end"))
-    c = c.withColumn("_b", F.explode(_buckets(F.col("case_start"), F.col("case_end"), w)))
-    u = utterances.withColumn("_b", F.floor(F.col("start_sec") / w))
+    c = _dealt(c, key, stretches, "case_start", "case_end").drop("_w")
+    u = utterances.join(stretches, key).withColumn("_b", F.floor(F.col("start_sec") / F.col("_w"))).drop("_w")
     return u.join(c, [key, "_b"]).where((F.col("start_sec") >= F.col("case_start")) & (F.col("end_sec") <= F.col("case_end"))).drop("_b")
 
 

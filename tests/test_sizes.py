@@ -1,8 +1,10 @@
 """Rules that small tables don't reach: long values, more rows than a run selected, intervals of any length."""
 
 import base64
+import random
 
 from colloquy.functions import text as X
+from colloquy.operators import intervals as I
 from colloquy.operators import training as N
 from colloquy.plans.registry import ORACLES, QUERIES
 from oracle import TABLES, assert_same
@@ -47,3 +49,31 @@ def test_run_counters_over_more_turns_than_the_run_selected(spark, tmp_path):
     k = pd.Series(range(100_040))
     turns = pd.DataFrame({"conv_id": k // 2, "turn": k % 2, "role": "user", "text": "Yes."})
     assert_same(spark, QUERIES["run_counters"], ORACLES["run_counters"], folder(tmp_path, conversations=turns))
+
+
+def intervals(spark, n, seed):
+    """Utterances, slides and cases of two recordings, some a million million seconds long, some without an end."""
+    r = random.Random(seed)
+
+    def some(i):
+        start = r.choice([0.0, 100.0, 5e5, 1e12]) + r.randrange(4000) / 4
+        return ("r" + str(i % 2), i, start, r.choice([None, start, *(start + x for x in (0.25, 30.0, 900.0, 1e5, 1e12))]))
+
+    u, s = [some(i) for i in range(n)], [some(i) for i in range(n)]
+    utterances = spark.createDataFrame([(k, i, i, a, b, f"w{i}") for k, i, a, b in u], "recording string, pos int, utterance_id int, start_sec double, end_sec double, text string")
+    slides = spark.createDataFrame([(k, i, i, i % 3, a, b) for k, i, a, b in s], "recording string, slide_id int, slide_pos int, label int, start_sec double, end_sec double")
+    whole = lambda rows: [x for x in rows if x[3] is not None]
+    return utterances, slides, whole(u), whole(s)
+
+
+def shared(a, b):
+    return min(a[3], b[3]) - max(a[2], b[2]) if a[0] == b[0] else 0
+
+
+def test_slides_of_any_length_are_aligned(spark):
+    utterances, slides, u, s = intervals(spark, 60, 1)
+    got = {r.utterance_id: r.slide_id for r in I.align_max_overlap(utterances.where("end_sec is not null"), slides.where("end_sec is not null")).collect()}
+    best = {x[1]: max(((shared(x, y), -y[1]) for y in s if shared(x, y) > 0), default=(0, None)) for x in u}
+    assert got == {k: None if v[1] is None else -v[1] for k, v in best.items()}
+    pairs = I.overlap_pairs(utterances, slides, "recording").select("utterance_id", "r_slide_id").collect()
+    assert sorted(map(tuple, pairs)) == sorted((x[1], y[1]) for x in u for y in s if shared(x, y) > 0)
