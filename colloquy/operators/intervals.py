@@ -7,10 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def _buckets(start: Column, end: Column, width: float) -> Column:
-    return F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width))
-
-
 #: How many mean lengths of a recording's intervals one stretch lasts: on average an interval goes to 1.25 stretches at most.
 SPAN = 4.0
 
@@ -65,14 +61,14 @@ def within_cases(utterances: DataFrame, cases: DataFrame, key: str = "recording"
 def slide_context(slides: DataFrame, utterances: DataFrame, key: str = "recording", back: float = 60.0, width: float = 600.0) -> DataFrame:
     """`slides` with the text of utterances from `back` seconds before the slide until its end, in order; empty if none.
 
-    Both sides are dealt to the stretches of `width` seconds that they touch; a pair counts in the first they share.
+    Both sides are dealt to the stretches of time that they touch; a pair counts in the first they
+    share. A stretch is `width` seconds, or more where a recording's intervals are longer.
     """
-    w = float(width)
     s = slides.select(key, "slide_id", F.greatest(F.lit(0.0), F.col("start_sec") - back).alias("_s"), F.col("end_sec").alias("_e"))
-    s = s.withColumn("_b", F.explode(_buckets(F.col("_s"), F.col("_e"), w)))
     u = utterances.select(key, "pos", "text", F.col("start_sec").alias("_us"), F.col("end_sec").alias("_ue"))
-    u = u.withColumn("_b", F.explode(_buckets(F.col("_us"), F.col("_ue"), w)))
-    near = (F.col("_ue") >= F.col("_s")) & (F.col("_us") <= F.col("_e")) & (F.col("_b") == F.floor(F.greatest("_us", "_s") / w))
+    stretches = _stretches(key, max(width, back), slides, utterances)
+    s, u = _dealt(s, key, stretches, "_s", "_e"), _dealt(u, key, stretches, "_us", "_ue").drop("_w")
+    near = (F.col("_ue") >= F.col("_s")) & (F.col("_us") <= F.col("_e")) & (F.col("_b") == F.floor(F.greatest("_us", "_s") / F.col("_w")))
     found = s.join(u, [key, "_b"]).where(near).groupBy(key, "slide_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_c"))
     context = found.select(key, "slide_id", F.array_join("_c.text", " ").alias("context"))
     return slides.join(context, [key, "slide_id"], "left").withColumn("context", F.coalesce("context", F.lit("")))

@@ -77,3 +77,10 @@ def test_slides_of_any_length_are_aligned(spark):
     assert got == {k: None if v[1] is None else -v[1] for k, v in best.items()}
     pairs = I.overlap_pairs(utterances, slides, "recording").select("utterance_id", "r_slide_id").collect()
     assert sorted(map(tuple, pairs)) == sorted((x[1], y[1]) for x in u for y in s if shared(x, y) > 0)
+
+
+def test_contexts_of_slides_of_any_length(spark):
+    utterances, slides, u, s = intervals(spark, 60, 2)
+    got = {r.slide_id: r.context for r in I.slide_context(slides, utterances, back=60.0).collect()}
+    near = lambda y: [f"w{x[1]}" for x in u if x[0] == y[0] and x[3] >= max(0.0, y[2] - 60) and x[2] <= y[3]]
+    assert got == {r.slide_id: "" for r in slides.collect()} | {y[1]: " ".join(near(y)) for y in s}
