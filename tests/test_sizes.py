@@ -84,3 +84,17 @@ def test_contexts_of_slides_of_any_length(spark):
     got = {r.slide_id: r.context for r in I.slide_context(slides, utterances, back=60.0).collect()}
     near = lambda y: [f"w{x[1]}" for x in u if x[0] == y[0] and x[3] >= max(0.0, y[2] - 60) and x[2] <= y[3]]
     assert got == {r.slide_id: "" for r in slides.collect()} | {y[1]: " ".join(near(y)) for y in s}
+
+
+def test_speakers_of_segments_of_any_length(spark):
+    utterances, slides, u, s = intervals(spark, 60, 3)
+    got = {r.utterance_id: r.label for r in I.most_overlapping_speaker(utterances, slides).collect()}
+    times = {x[1]: {n: sum(shared(x, y) for y in s if y[1] % 3 == n and shared(x, y) > 0) for n in range(3)} for x in u}
+    best = {k: max((t, -n) for n, t in v.items()) for k, v in times.items()}
+    assert got == {r.utterance_id: None for r in utterances.collect()} | {k: -n if t > 0 else None for k, (t, n) in best.items()}
+
+
+def test_cases_of_any_length(spark):
+    utterances, cases, u, s = intervals(spark, 60, 4)
+    got = I.within_cases(utterances, cases.withColumnRenamed("slide_id", "case_id")).select("utterance_id", "case_id").collect()
+    assert sorted(map(tuple, got)) == sorted((x[1], y[1]) for x in u for y in s if x[0] == y[0] and x[2] >= y[2] and x[3] <= y[3])
