@@ -19,9 +19,9 @@ from colloquy.llm.blobs import opened, slim, squeezed
 from colloquy.llm.shared import Scratch, small
 
 #: Bytes of text whose chunks share one table; one longer document has its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Chunks that are encoded and aligned at once, and links of texts that are sorted at once (or one text's).
-CHUNKS, LINKS = 16384, 1 << 20
+CHUNKS, LINKS = 8192, 1 << 20
 #: Fixed value: how byte-level vocabularies cut text before their merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: U+2581, which stands for a space in pieces.
@@ -40,18 +40,16 @@ def in_a_row(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
 
 
-def ranked_encoding(path: str, entries: list[bytes]):
-    """The byte-level BPE of the file with merges found by rank, which is faster; None if ids don't follow the merges."""
+def ranked_encoding(said: dict, entries: list[bytes]):
+    """The byte-level BPE of a file with merges found by rank, which is faster; None if ids don't follow the merges."""
     import tiktoken
 
-    with open(path, encoding="utf-8") as file:
-        said = json.load(file)
     known = {e["id"] for e in said["added_tokens"]}
     ids = said["model"]["vocab"]
     merged = [ids.get("".join(m if isinstance(m, list) else m.split(" "))) for m in said["model"]["merges"]]
     if None in merged or any(x >= y for x, y in zip(merged, merged[1:])) or said.get("normalizer") or not (said["pre_tokenizer"] or {}).get("use_regex"):
         return None
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks={e: i for i, e in enumerate(entries) if i not in known}, special_tokens={})
+    return tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks={e: i for i, e in enumerate(entries) if i not in known}, special_tokens={})
 
 
 class Tokenizers:
@@ -60,18 +58,18 @@ class Tokenizers:
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        with open(a_path, encoding="utf-8") as file:
+            said = json.load(file)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         alphabet = byte_alphabet()
-        self.a_size, b_size = self.a.get_vocab_size(), len(self.b)
-        entries = (self.a.id_to_token(i) or "" for i in range(self.a_size))
+        known = {i: e for e, i in said["model"]["vocab"].items()} | {e["id"]: e["content"] for e in said["added_tokens"]}
+        self.a_size, b_size = max(known, default=-1) + 1, len(self.b)
+        entries = (known.get(i, "") for i in range(self.a_size))
         self.a_bytes = [bytes(alphabet[c] for c in e) if all(c in alphabet for c in e) else e.encode() for e in entries]
         pieces = [self.b.id_to_piece(i) for i in range(b_size)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.ranked = ranked_encoding(a_path, self.a_bytes)
+        self.ranked, self.a_path = ranked_encoding(said, self.a_bytes), a_path
         self.a_lengths = np.array([len(x) for x in self.a_bytes])
         self.b_lengths = np.array([len(x) for x in self.b_bytes])
         names = range(max(self.a_size, b_size))
@@ -80,6 +78,15 @@ class Tokenizers:
         #: No piece goes on over a space, so that texts can be cut before single spaces.
         self.splits = not any(MARK in p.lstrip(MARK) for p in pieces)
 
+    @functools.cached_property
+    def a(self):
+        """The tokenizer of A's file; its tables are the largest thing a worker holds, so they are loaded where it encodes."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.a_path)
+        made.encode_special_tokens = True
+        return made
+
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A of space+chunk for all chunks in a row, their number in each chunk, and the same of B."""
         spaced = [" " + c for c in chunks]

@@ -98,3 +98,12 @@ def test_cases_of_any_length(spark):
     utterances, cases, u, s = intervals(spark, 60, 4)
     got = I.within_cases(utterances, cases.withColumnRenamed("slide_id", "case_id")).select("utterance_id", "case_id").collect()
     assert sorted(map(tuple, got)) == sorted((x[1], y[1]) for x in u for y in s if x[0] == y[0] and x[2] >= y[2] and x[3] <= y[3])
+
+
+def test_token_alignment_loads_no_second_tokenizer_for_one_side():
+    from colloquy.llm.queries import BYTE_BPE, PIECE_BPE, TOKENIZERS
+    from colloquy.llm.token_alignment import Tokenizers, aligned_chunks
+
+    tok = Tokenizers(f"{TOKENIZERS}/{BYTE_BPE}", f"{TOKENIZERS}/{PIECE_BPE}")
+    assert aligned_chunks(tok, ["one", "two"])["ok"].all() and "a" not in vars(tok)
+    assert [tok.a.id_to_token(i) for i in range(tok.a_size)] and tok.a_size == tok.a.get_vocab_size()
