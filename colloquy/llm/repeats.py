@@ -28,10 +28,10 @@ from colloquy.llm.blobs import runs
 from colloquy.llm.shared import stored
 
 #: Anchors a hash range is planned for, and cells in each of the two rows of its sketch.
-RANGE_ANCHORS = 2_000_000
-SKETCH_CELLS_LOG2 = 24
+RANGE_ANCHORS = 1_000_000
+SKETCH_CELLS_LOG2 = 23
 #: Anchors (or windows) a task holds before it sends them.
-HELD = 1_500_000
+HELD = 750_000
 
 _SENT = "part int, block long, keys binary, cells binary, docs binary, at binary, twice binary, times binary, known binary, known_docs binary, known_at binary"
 

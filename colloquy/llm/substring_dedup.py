@@ -17,7 +17,7 @@ from colloquy.llm.blobs import runs
 from colloquy.llm.shared import text_bytes
 
 #: Candidate windows a hash range is planned for, if all windows were candidates.
-RANGE_WINDOWS = 2_000_000
+RANGE_WINDOWS = 1_000_000
 #: Words in the grams that serve as anchors.
 GRAM = 8
 

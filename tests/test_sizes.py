@@ -107,3 +107,24 @@ def test_token_alignment_loads_no_second_tokenizer_for_one_side():
     tok = Tokenizers(f"{TOKENIZERS}/{BYTE_BPE}", f"{TOKENIZERS}/{PIECE_BPE}")
     assert aligned_chunks(tok, ["one", "two"])["ok"].all() and "a" not in vars(tok)
     assert [tok.a.id_to_token(i) for i in range(tok.a_size)] and tok.a_size == tok.a.get_vocab_size()
+
+
+def test_a_full_hash_range_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from colloquy.llm import repeats as R
+
+    n, r = R.RANGE_ANCHORS // 10, np.random.default_rng(1)
+    rows = []
+    for block in range(10):
+        keys, cells, docs = r.integers(0, 2**62, n), r.integers(0, 2**32, n, dtype=np.uint32), np.arange(n, dtype=np.uint32)
+        rows.append((0, block, keys.tobytes(), cells.tobytes(), docs.tobytes(), docs.tobytes(), *[b""] * 5))
+    names = ["part", "block", "keys", "cells", "docs", "at", "twice", "times", "known", "known_docs", "known_at"]
+    group = pa.Table.from_batches(list(R.as_rows(rows, names, [pa.int32(), pa.int64()] + [pa.binary()] * 9)))
+    tracemalloc.start()
+    R._repeated(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
