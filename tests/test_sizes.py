@@ -128,3 +128,15 @@ def test_a_full_hash_range_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 120 << 20
+
+
+def test_scripts_of_one_way_take_no_rows_of_lengths():
+    import time
+
+    from colloquy.functions import edits as E
+
+    a = [str(i) for i in range(100_000)]
+    b = [w for i, w in enumerate(a) if i % 3 != 2 for w in ([w, "new"] if i % 7 == 3 else [w])]
+    began = time.perf_counter()
+    assert E.kept_words(a, b) == [(int(w), j) for j, w in enumerate(b) if w != "new"]
+    assert time.perf_counter() - began < 1
