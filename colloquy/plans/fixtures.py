@@ -12,13 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(recording, pos, utterance_id, speaker_id, start_sec, end_sec, text): each event until the user's next, ten minutes at most."""
-    ms = F.floor(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / 1000)
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("recording"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("event_id").alias("utterance_id"), F.col("event_type").alias("speaker_id"),
-        ms.alias("_s"), F.least(F.coalesce(F.lead(ms).over(w), ms + 600_000), ms + 600_000).alias("_e"), F.col("props").alias("text"), "value",
-    )
-    return rows.select("recording", "pos", "utterance_id", "speaker_id", (F.col("_s") / 1000.0).alias("start_sec"), (F.col("_e") / 1000.0).alias("end_sec"), "text", "value")
+    # The window is by `recording` and carries bare columns: what comes after is dealt by recording too, and equal parts shuffle once.
+    named = table(spark, sf_dir, "events").select(F.col("user_id").alias("recording"), F.col("event_id").alias("utterance_id"), F.col("event_type").alias("speaker_id"), "ts", F.col("props").alias("text"), "value")
+    w = Window.partitionBy("recording").orderBy("ts", "utterance_id")
+    rows = named.select("*", (F.row_number().over(w) - 1).cast("long").alias("pos"), F.lead("ts").over(w).alias("_next"))
+    ms = lambda t: F.floor(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"), F.col(t)) / 1000)
+    most = ms("ts") + 600_000
+    end = F.least(F.coalesce(ms("_next"), most), most)
+    return rows.select("recording", "pos", "utterance_id", "speaker_id", (ms("ts") / 1000.0).alias("start_sec"), (end / 1000.0).alias("end_sec"), "text", "value")
 
 
 U = """u AS (

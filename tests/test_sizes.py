@@ -6,8 +6,9 @@ import random
 from colloquy.functions import text as X
 from colloquy.operators import intervals as I
 from colloquy.operators import training as N
+from colloquy.plans import fixtures
 from colloquy.plans.registry import ORACLES, QUERIES
-from oracle import TABLES, assert_same
+from oracle import SF, TABLES, assert_same
 from pyspark.sql import functions as F
 
 
@@ -140,3 +141,26 @@ def test_scripts_of_one_way_take_no_rows_of_lengths():
     began = time.perf_counter()
     assert E.kept_words(a, b) == [(int(w), j) for j, w in enumerate(b) if w != "new"]
     assert time.perf_counter() - began < 1
+
+
+def test_speaker_overlap_shuffles_events_once_for_a_side(spark):
+    s = spark.newSession()
+    s.conf.set("spark.sql.adaptive.enabled", "false")
+    s.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = QUERIES["speaker_overlap"](s, SF)._jdf.queryExecution().executedPlan().toString()
+    # Events for both sides and for the result's left join, both sides by stretch, pairs by label, labels by utterance.
+    assert plan.count("- Exchange hashpartitioning") == 7
+
+
+def test_utterances_of_events_at_one_time_and_without_a_user(spark, tmp_path):
+    import pandas as pd
+
+    k = pd.Series(range(400))
+    at = pd.Timestamp("2024-01-01") + pd.to_timedelta((k * 7919 % 83) * 41_000_003, unit="us")
+    kind = k.map(lambda i: ["view", "click", None, "view", "error"][i * 31 % 5])
+    user = (k % 3).where(k % 10 > 0).astype("Int64")
+    events = pd.DataFrame({"event_id": k, "ts": at.astype("datetime64[us]"), "user_id": user, "event_type": kind, "value": k / 4, "props": "p" + k.astype(str)})
+    sf = folder(tmp_path, events=events)
+    assert_same(spark, fixtures.utterances, f"WITH {fixtures.U} SELECT * FROM utt", sf)
+    for name in ("speaker_overlap", "align_max_overlap"):
+        assert_same(spark, QUERIES[name], ORACLES[name], sf)
