@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import uuid
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +33,9 @@ class AuditLog(DataSource):
 
     Each task writes a part of its own, and removes it if it fails. The commit then writes one small file
     that names the parts of the tasks that counted, so that all of a job's records appear at once; parts no
-    commit names (lost executors, speculative tasks, aborted jobs) are never read. Records of null are
-    left out; a job without records commits nothing.
+    commit names (lost executors, speculative tasks) are never read. An aborted job leaves a small file in
+    `aborted` and no parts: the abort removes all that bear its id, and its tasks that still run see the file.
+    Records of null are left out; a job without records commits nothing.
     """
 
     @classmethod
@@ -51,25 +54,33 @@ class AuditLog(DataSource):
 class AuditWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = path.rstrip("/")
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator) -> Part:
         fs, base = _opened(self.path)
-        name = f"{uuid.uuid4().hex}.jsonl"
+        name = f"{self.job}-{uuid.uuid4().hex}.jsonl"
+        lines = (record.as_py().encode() + b"\n" for batch in iterator for record in batch.column(0).drop_null())
+        first = next(lines, None)
+        if first is None:
+            return Part(name, 0)
         fs.create_dir(f"{base}/parts", recursive=True)
+        self._check(fs, base)
         records = 0
         try:
             with fs.open_output_stream(f"{base}/parts/{name}") as out:
-                for batch in iterator:
-                    for record in batch.column(0).drop_null():
-                        out.write(record.as_py().encode() + b"\n")
-                        records += 1
+                for line in chain([first], lines):
+                    out.write(line)
+                    records += 1
+            self._check(fs, base)
         except BaseException:
             _removed(fs, f"{base}/parts/{name}")
             raise
-        if not records:
-            _removed(fs, f"{base}/parts/{name}")
         return Part(name, records)
 
+    def _check(self, fs: pafs.FileSystem, base: str) -> None:
+        if fs.get_file_info(f"{base}/aborted/{self.job}").type != pafs.FileType.NotFound:
+            raise RuntimeError(f"the job {self.job} was aborted")
+
     def commit(self, messages: list[Part | None]) -> None:
         parts = [m for m in messages if m is not None and m.records]
         if not parts:
@@ -85,14 +96,18 @@ class AuditWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[Part | None]) -> None:
         fs, base = _opened(self.path)
-        for m in messages:
-            if m is not None and m.records:
-                _removed(fs, f"{base}/parts/{m.name}")
+        # Tasks whose message never came wrote parts too, and some may still run: first they are told, then all parts go.
+        fs.create_dir(f"{base}/aborted", recursive=True)
+        fs.open_output_stream(f"{base}/aborted/{self.job}").close()
+        for part in fs.get_file_info(pafs.FileSelector(f"{base}/parts", allow_not_found=True)):
+            if part.base_name.startswith(f"{self.job}-"):
+                _removed(fs, part.path)
 
 
 def _removed(fs: pafs.FileSystem, path: str) -> None:
     if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_file(path)
+        with contextlib.suppress(FileNotFoundError):  # a task and its job's abort may both be at it
+            fs.delete_file(path)
 
 
 def append_audit(df: DataFrame, path: str) -> None:

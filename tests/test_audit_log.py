@@ -2,10 +2,11 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.sources.audit import append_audit, audit_records
+from colloquy.sources.audit import AuditWriter, append_audit, audit_records
 
 SCHEMA = "id long, note string"
 
@@ -39,6 +40,25 @@ def test_failed_jobs_leave_nothing(spark, tmp_path):
         notes(spark, 1, 1).select(F.lit("x").alias("record")).write.format("audit_log").mode("overwrite").save(path)
 
 
+def test_an_aborted_job_leaves_no_parts_of_tasks_it_did_not_hear_of(tmp_path):
+    path = f"file://{tmp_path}/log"
+    batch = pa.record_batch({"record": ["{}", None]})
+    other, job = AuditWriter(path), AuditWriter(path)
+    other.commit([other.write(iter([batch]))])
+    before = os.listdir(tmp_path / "log" / "parts")
+    job.write(iter([batch]))
+
+    def late():
+        yield batch
+        job.abort([None, None])
+        yield batch
+
+    for rows in (late(), iter([batch])):
+        with pytest.raises(RuntimeError, match="aborted"):
+            job.write(rows)
+        assert os.listdir(tmp_path / "log" / "parts") == before
+
+
 def test_parts_without_a_commit_are_not_read(spark, tmp_path):
     path = f"file://{tmp_path}/log"
     append_audit(notes(spark, 5, 2), path)
